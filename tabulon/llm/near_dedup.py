@@ -235,7 +235,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, side: int = S
     full = made.where("n_shingles > 0 and doc_id is not null")
     owner = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"))
     mapped = cut(full.select("doc_id", "n_shingles", "a", "b").join(owner, ["n_shingles", "a", "b"]).select("doc_id", "n_shingles", "rep"))
-    reps = full.join(owner.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = full.join(owner.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = reps.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # their keys take ten times their room
 
     # narrow rows of every table; then only those in buckets of two and more
     pairs = F.transform("keys_a", lambda p, i: F.transform("keys_b", lambda q, j: F.xxhash64(p, q, i, j)))
@@ -258,7 +259,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, side: int = S
     rows = rows.select("key", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "doc_id", "component", "n_shingles", "sketch")
     more = rows.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "blk", "doc_id").mapInArrow(_compare(least, percent), "x long, y long").distinct()
     tried = trial.select("x", "y")
-    links = links.unionByName(confirmed(more.join(tried, ["x", "y"], "left_anti"), docs, width, percent))
+    more = cut(more.join(tried, ["x", "y"], "left_anti"))
+    links = links.unionByName(confirmed(more, docs, width, percent))
     whole = components(links)
 
     known = mapped.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
