@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Entries of a worker's cache of encoded pieces, distinct words put into one trie, and characters of the texts whose new pieces are encoded together.
-CACHE_PIECES, TRIE_WORDS, GROUP_CHARS = 800_000, 20_000, 1 << 20
+#: Entries of a worker's cache of encoded pieces, distinct words put into one trie, and characters of the texts whose
+#: new pieces are encoded together, bytes of texts in hand, and joins of two tokens whose lawfulness is remembered.
+CACHE_PIECES, TRIE_WORDS, GROUP_CHARS, SLICE, JOINS_HELD = 400_000, 20_000, 1 << 20, 4 << 20, 200_000
 _SPACE = regex.compile(r"\p{White_Space}+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -90,7 +91,6 @@ class TrieBpe:
         self.rank_ids = self.ids.tolist()
         self.longest = max(map(len, [*self.mid, *self.end]))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.strings = pa.array(_by_id({**vocab, **self.special}), pa.string())
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._bytes = byte_alphabet()
         self._ascii = {i: c for i, c in enumerate(self._bytes)}
@@ -165,7 +165,7 @@ class TrieBpe:
             pair = (tokens[before], t)
             ok = valid.get(pair)
             if ok is None:
-                if len(valid) > 500_000:
+                if len(valid) > JOINS_HELD:
                     valid.clear()
                 ok = valid[pair] = self._joins(*pair)
             if ok:
@@ -244,14 +244,23 @@ class TrieBpe:
             out.extend(b"".join(x if isinstance(x, bytes) else b"".join(map(known, x)) for x in split) for split in held)
         return out
 
+
+class Decoder:
+    """What decoding needs of a vocabulary file, without merges and tries."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.strings = pa.array(_by_id({**spec["model"]["vocab"], **{x["content"]: x["id"] for x in spec["added_tokens"]}}), pa.string())
+        self.joined = spec["decoder"] is None
+        self.back = {ord(c): b for b, c in enumerate(byte_alphabet())}
+
     def decode_batch(self, ids: pa.ListArray) -> pa.Array:
         """Texts of id lists: for vocabularies without a decoder the tokens joined by a space, else the bytes they stand for."""
         lists = pa.ListArray.from_arrays(ids.offsets, pc.take(self.strings, ids.values))
-        if self.words:
+        if self.joined:
             return pc.binary_join(lists, " ")
-        back = {ord(c): b for b, c in enumerate(self._bytes)}
-        joined = pc.binary_join(lists, "").to_pylist()
-        return pa.array([bytes(back[ord(c)] for c in s).decode("utf-8", "replace") for s in joined], pa.string())
+        return pa.array([bytes(self.back[ord(c)] for c in s).decode("utf-8", "replace") for s in pc.binary_join(lists, "").to_pylist()], pa.string())
 
 
 def _by_id(vocab: dict[str, int]) -> list[str]:
@@ -262,6 +271,7 @@ def _by_id(vocab: dict[str, int]) -> list[str]:
 
 
 _LOADED: dict[str, TrieBpe] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
 def tokenizer(path: str) -> TrieBpe:
@@ -271,6 +281,13 @@ def tokenizer(path: str) -> TrieBpe:
     return _LOADED[path]
 
 
+def decoder(path: str) -> Decoder:
+    """The decoder of the vocabulary at `path`, loaded once in each process."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    return _DECODERS[path]
+
+
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
@@ -285,7 +302,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             got = bpe.encode_batch(b.column(b.schema.get_field_index(text)).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             yield _rows(b, to, pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), np.int32))))
@@ -297,12 +314,12 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
     """Adds `to`, the text that the ids stand for; null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
-        for b in slices(batches, ids):
+        own = decoder(path)
+        for b in slices(batches, ids, SLICE):
             lists = b.column(b.schema.get_field_index(ids))
             lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)), lists.flatten())
-            yield _rows(b, to, bpe.decode_batch(flat))
+            yield _rows(b, to, own.decode_batch(flat))
 
     return df.mapInArrow(run, _with(df, to, T.StringType()))
 
