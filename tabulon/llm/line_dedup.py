@@ -61,13 +61,13 @@ def line_dedup(docs: DataFrame, sites: int = SITES, to: str = "clean_text") -> D
     own = docs.select("doc_id", F.explode(F.split(text_of("text"), "\n")).alias("line")).where(trimmed(F.col("line")) != "")
     own = own.select("doc_id", line_key(F.col("line")).alias("k")).select("doc_id", "k.h", "k.g")
     # a document's own boilerplate, never more than its lines
-    marked = own.join(bad, ["h", "g"], "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h", "g")).alias("_bad"))
+    marked = own.join(bad, ["h", "g"], "left_semi").groupBy(F.col("doc_id").alias("_line_id")).agg(F.collect_set(F.struct("h", "g")).alias("_line_bad"))
     lines = F.split(text_of("text"), "\n")
-    joined = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]), "left").withColumn("_lines", lines)
-    kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_bad", line_key(x)) | (trimmed(x) == "")))
-    out = joined.withColumn("_kept", kept)
-    done = {"n_lines": F.size("_lines").cast("long"), "n_removed": (F.size("_lines") - F.size("_kept")).cast("long"), to: F.array_join("_kept", "\n")}
-    return out.withColumns(done).drop("_kept", "_bad", "_id", "_lines")
+    joined = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_line_id"]), "left").withColumn("_line_all", lines)
+    kept = F.when(F.col("_line_bad").isNull(), F.col("_line_all")).otherwise(F.filter("_line_all", lambda x: ~F.array_contains("_line_bad", line_key(x)) | (trimmed(x) == "")))
+    out = joined.withColumn("_line_kept", kept)
+    done = {"n_lines": F.size("_line_all").cast("long"), "n_removed": (F.size("_line_all") - F.size("_line_kept")).cast("long"), to: F.array_join("_line_kept", "\n")}
+    return out.withColumns(done).drop("_line_kept", "_line_bad", "_line_id", "_line_all")
 
 
 ORACLE = r"""
