@@ -65,7 +65,8 @@ class Relation:
         whole = pa.concat_tables([t.select(held[0].column_names).cast(held[0].schema) for t in held])
         whole = whole.slice(0, size) if size else whole
         safe = pa.table([_readable(c) for c in whole.columns], names=whole.column_names)
-        df = spark.createDataFrame(safe.append_column(POSITION, pa.array(np.arange(safe.num_rows), pa.int64())))
+        safe = safe.append_column(POSITION, pa.array(np.arange(safe.num_rows), pa.int64())).combine_chunks()  # chunks of one extent in all columns
+        df = spark.createDataFrame(safe)
         return cls(df.select(*(F.col(f"`{f.name}`").cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f"`{f.name}`") for f in df.schema.fields)))
 
     def ordered_by(self, *order: str | Column) -> Relation:
