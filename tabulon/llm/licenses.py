@@ -75,10 +75,10 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         versioned = label[-1].isdigit() or "clause" in label
         under = rf"\b(?:licen[cs]ed|released|distributed|available|published)\s+under\s+(?:the\s+terms\s+of\s+)?{_THE}(?:{pattern})(?:\s+licen[cs]e)?(?![\w])"
         add(key, label, under, 60 + 5 * versioned, 0.95)
-        if not pattern.endswith("licen[cs]e"):
+        if "licen" in pattern:
+            add(key, label, rf"\b(?:{pattern})(?!\w|\.\d)", 50 + 5 * versioned, 0.9)
+        else:
             add(key, label, rf"\b(?:{pattern})[\s-]+licen[cs]ed?\b", 50 + 5 * versioned, 0.9)
-        elif "licen" in pattern:
-            add(key, label, rf"\b(?:{pattern})(?!\w)", 50 + 5 * versioned, 0.9)
     return out
 
 
@@ -134,12 +134,11 @@ def detections(gated: DataFrame) -> DataFrame:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    own = docs.select("doc_id", text_of("text").alias("text"))
-    low = own.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long"))
+    low = docs.select("doc_id", ascii_lower(text_of("text")).alias("_low"))
+    low = low.withColumn("n_words", F.regexp_count("_low", F.lit(WORD)).cast("long"))
     names = {key for key, _, _ in NAMES}
     gate = sorted(({r[0] for r in rules()} - names) | {"licen", "under"}, key=len)  # rules on names also need one of the last two
     gate = [k for i, k in enumerate(gate) if not any(g in k for g in gate[:i])]
-    low = low.withColumn("_low", ascii_lower(F.col("text"))).drop("text")
     may = F.lit(False)
     for k in gate:
         may = may | F.contains("_low", F.lit(k))
