@@ -30,7 +30,7 @@ from .common import slices
 
 #: Entries of a worker's cache of encoded pieces, distinct words put into one trie, and characters of the texts whose
 #: new pieces are encoded together, bytes of texts in hand, and joins of two tokens whose lawfulness is remembered.
-CACHE_PIECES, TRIE_WORDS, GROUP_CHARS, SLICE, JOINS_HELD = 400_000, 20_000, 1 << 20, 4 << 20, 200_000
+CACHE_PIECES, TRIE_WORDS, GROUP_CHARS, SLICE, JOINS_HELD = 400_000, 20_000, 1 << 20, 4 << 20, 500_000
 _SPACE = regex.compile(r"\p{White_Space}+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 

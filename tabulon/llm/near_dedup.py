@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, words_of
 
 SIDE, ROWS, SKETCH, BLOCK, SHARE = 11, 2, 128, 512, 64
-WORDS_HELD = 400_000
+WORDS_HELD = 250_000
 _U = np.uint64
 _RNG = np.random.default_rng(20_240_117)
 _MUL = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) * _U(2) + _U(1)
@@ -104,6 +104,7 @@ def _signatures(width: int, side: int):
                 fp = s.sum(dtype=np.uint64), mix(s ^ _STEP[3]).sum(dtype=np.uint64)
                 rows.append((doc_id, len(s), *(int(x.astype(np.int64)) for x in fp), *keys.view(np.int64), mix(m).astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        _HASHES.clear()  # the worker may go on with other stages
 
     return run, "doc_id long, n_shingles long, a long, b long, keys_a array<long>, keys_b array<long>, sketch binary"
 
