@@ -141,9 +141,10 @@ def test_files_and_streams(spark, tmp_path):
 
 def test_the_library_does_without_llm():
     import pathlib
+    import re
 
     import tabulon
 
     for p in pathlib.Path(tabulon.__file__).parent.rglob("*.py"):
         if "llm" not in p.parts:
-            assert "llm" not in p.read_text(), p
+            assert not re.search(r"(import|from)\s+[\w.]*\bllm\b", p.read_text()), p
