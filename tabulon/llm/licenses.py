@@ -1,7 +1,8 @@
 """Licence scans by ordered signature rules, in DataFrame operations only.
 
 Some hundreds of hand-written patterns, each behind a keyword, find licence names, notices, addresses and SPDX tags. A text is
-searched only by rules whose keyword it holds. Each match is an interval; one that lies within the interval of a
+searched only by rules whose keyword it holds, both with each run of white space and hyphens as one space; every text that a
+pattern matches holds its keyword. Each match is an interval; one that lies within the interval of a
 rule of equal or higher priority (and isn't equal to it at equal priority with an earlier rule's) is suppressed, so that
 "GNU Lesser General Public License" isn't reported as the plain one by these rules. Base phrases are counted on words besides,
 and their labels stay whatever the rules say.
@@ -14,6 +15,8 @@ empty table gives an empty table; only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from .common import WORD, ascii_lower, text_of
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 _V = r"(?:,?\s*\(?(?:version|v\.?|ver\.?)?\s*"  # before a version number
 _THE = r"(?:the\s+)?"
+BLANKS = r"[ \t\n\x0B\f\r-]+"  # what one space of a keyword stands for: all that \s (of ASCII) and [\s-] match in the patterns
 
 #: keyword, label, name pattern. Each gives the name itself, "licensed/released/distributed under <name>" and "<name> licen[cs]e".
 NAMES = (
@@ -38,20 +42,25 @@ NAMES = (
     ("mozilla", "mpl", r"mozilla\s+public"), ("mozilla", "mpl-1.1", r"mozilla\s+public(?:\s+license)?" + _V + r"1\.1\)?)"), ("mozilla", "mpl-2.0", r"mozilla\s+public(?:\s+license)?" + _V + r"2(?:\.0)?\)?)"), ("mpl", "mpl", r"mpl"), ("mpl", "mpl-2.0", r"mpl" + _V + r"2(?:\.0)?\)?)"),
     ("eclipse", "epl", r"eclipse\s+public"), ("eclipse", "epl-1.0", r"eclipse\s+public(?:\s+license)?" + _V + r"1(?:\.0)?\)?)"), ("eclipse", "epl-2.0", r"eclipse\s+public(?:\s+license)?" + _V + r"2(?:\.0)?\)?)"), ("eclipse", "edl-1.0", r"eclipse\s+distribution"), ("cddl", "cddl", r"cddl"), ("common development and distribution", "cddl", r"common\s+development\s+and\s+distribution"),
     ("common public", "cpl-1.0", r"common\s+public"), ("ibm public", "ipl-1.0", r"ibm\s+public"), ("european union public", "eupl", r"european\s+union\s+public"), ("eupl", "eupl", r"eupl(?:\s*v?\.?\s*1\.[12])?"), ("cecill", "cecill", r"cecill(?:-[bc])?"), ("boost", "bsl-1.0", r"boost(?:\s+software)?"), ("artistic", "artistic", r"artistic"), ("artistic", "artistic-2.0", r"artistic(?:\s+license)?" + _V + r"2(?:\.0)?\)?)"), ("perl", "artistic-1.0-perl", r"(?:same\s+terms\s+as\s+)perl(?:\s+itself)?"),
-    ("python software", "psf-2.0", r"python\s+software\s+foundation"), ("psf", "psf-2.0", r"psf"), ("php", "php-3.01", r"php"), ("ruby", "ruby", r"ruby"), ("postgresql", "postgresql", r"postgresql"), ("openssl", "openssl", r"openssl"), ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl"), ("beerware", "beerware", r"beerware|beer-ware"), ("ncsa", "ncsa", r"(?:university\s+of\s+illinois/?)?ncsa(?:\s+open\s+source)?"), ("zope", "zpl", r"zope\s+public"), ("academic free", "afl", r"academic\s+free"), ("open software", "osl", r"open\s+software"), ("microsoft public", "ms-pl", r"microsoft\s+public"), ("microsoft reciprocal", "ms-rl", r"microsoft\s+reciprocal"), ("ms-pl", "ms-pl", r"ms-pl"), ("ms-rl", "ms-rl", r"ms-rl"), ("sleepycat", "sleepycat", r"sleepycat"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?:\s+software)?"), ("unicode", "unicode", r"unicode"), ("upl", "upl-1.0", r"universal\s+permissive|upl(?:-1\.0)"), ("mulan", "mulanpsl", r"mulan\s+(?:psl|permissive(?:\s+software)?)"), ("blue oak", "blueoak-1.0.0", r"blue\s+oak(?:\s+model)?"), ("elastic", "elastic-2.0", r"elastic"), ("business source", "busl-1.1", r"business\s+source"), ("server side public", "sspl-1.0", r"server\s+side\s+public"), ("sspl", "sspl-1.0", r"sspl"), ("commons clause", "commons-clause", r"commons\s+clause"), ("openrail", "openrail", r"(?:creativeml\s+|bigscience\s+)?open\s*rail(?:\+*-?m)?"), ("open database", "odbl-1.0", r"open\s+database"), ("odbl", "odbl-1.0", r"odbl"), ("odc-by", "odc-by-1.0", r"odc-by"), ("open data commons attribution", "odc-by-1.0", r"open\s+data\s+commons\s+attribution"), ("pddl", "pddl-1.0", r"pddl|public\s+domain\s+dedication\s+and"), ("sil open font", "ofl-1.1", r"sil\s+open\s+font"), ("ofl", "ofl-1.1", r"ofl(?:-1\.1)?"), ("open government", "ogl", r"open\s+government"), ("community data", "cdla", r"community\s+data"), ("cdla", "cdla", r"cdla(?:-permissive|-sharing)?(?:-\d\.\d)?"), ("latex project", "lppl", r"latex\s+project\s+public"), ("lppl", "lppl", r"lppl"), ("cc0", "cc0-1.0", r"cc0(?:\s*1\.0)?(?:\s+universal)?"), ("proprietary", "proprietary", r"proprietary"), ("commercial", "commercial", r"commercial"),
+    ("python software", "psf-2.0", r"python\s+software\s+foundation"), ("psf", "psf-2.0", r"psf"), ("php", "php-3.01", r"php"), ("ruby", "ruby", r"ruby"), ("postgresql", "postgresql", r"postgresql"), ("openssl", "openssl", r"openssl"), ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl"), ("beerware", "beerware", r"beerware"), ("beer-ware", "beerware", r"beer-ware"), ("ncsa", "ncsa", r"(?:university\s+of\s+illinois/?)?ncsa(?:\s+open\s+source)?"), ("zope", "zpl", r"zope\s+public"), ("academic free", "afl", r"academic\s+free"), ("open software", "osl", r"open\s+software"), ("microsoft public", "ms-pl", r"microsoft\s+public"), ("microsoft reciprocal", "ms-rl", r"microsoft\s+reciprocal"), ("ms-pl", "ms-pl", r"ms-pl"), ("ms-rl", "ms-rl", r"ms-rl"), ("sleepycat", "sleepycat", r"sleepycat"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?:\s+software)?"), ("unicode", "unicode", r"unicode"), ("universal permissive", "upl-1.0", r"universal\s+permissive"), ("upl", "upl-1.0", r"upl(?:-1\.0)"), ("mulan", "mulanpsl", r"mulan\s+(?:psl|permissive(?:\s+software)?)"), ("blue oak", "blueoak-1.0.0", r"blue\s+oak(?:\s+model)?"), ("elastic", "elastic-2.0", r"elastic"), ("business source", "busl-1.1", r"business\s+source"), ("server side public", "sspl-1.0", r"server\s+side\s+public"), ("sspl", "sspl-1.0", r"sspl"), ("commons clause", "commons-clause", r"commons\s+clause"), ("openrail", "openrail", r"(?:creativeml\s+|bigscience\s+)?openrail(?:\+*-?m)?"), ("open rail", "openrail", r"(?:creativeml\s+|bigscience\s+)?open\s+rail(?:\+*-?m)?"), ("open database", "odbl-1.0", r"open\s+database"), ("odbl", "odbl-1.0", r"odbl"), ("odc-by", "odc-by-1.0", r"odc-by"), ("open data commons attribution", "odc-by-1.0", r"open\s+data\s+commons\s+attribution"), ("pddl", "pddl-1.0", r"pddl"), ("public domain dedication", "pddl-1.0", r"public\s+domain\s+dedication\s+and"), ("sil open font", "ofl-1.1", r"sil\s+open\s+font"), ("ofl", "ofl-1.1", r"ofl(?:-1\.1)?"), ("open government", "ogl", r"open\s+government"), ("community data", "cdla", r"community\s+data"), ("cdla", "cdla", r"cdla(?:-permissive|-sharing)?(?:-\d\.\d)?"), ("latex project", "lppl", r"latex\s+project\s+public"), ("lppl", "lppl", r"lppl"), ("cc0", "cc0-1.0", r"cc0(?:\s*1\.0)?(?:\s+universal)?"), ("proprietary", "proprietary", r"proprietary"), ("commercial", "commercial", r"commercial"),
 )
 _CC = (("by", ""), ("by-sa", "sharealike"), ("by-nc", "noncommercial"), ("by-nd", "noderiv(?:ative)?s?"), ("by-nc-sa", "noncommercial[\\s-]+sharealike"), ("by-nc-nd", "noncommercial[\\s-]+noderiv(?:ative)?s?"))
 #: keyword, label, pattern, confidence: notices and addresses that stand for themselves.
 NOTICES = (
     ("permission is hereby granted", "mit", r"permission is hereby granted,? free of charge,? to any person obtaining a copy", 1.0), ("permission to use", "isc", r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee", 1.0), ("redistribution and use", "bsd", r"redistribution and use in source and binary forms,? with or without modification", 0.95), ("neither the name", "bsd-3-clause", r"neither the names? of .{0,80}? nor the names of its contributors", 0.95), ("all advertising materials", "bsd-4-clause", r"all advertising materials mentioning features or use of this software", 0.95),
     ("opensource.org", "mit", r"https?://(?:www\.)?opensource\.org/licenses?/mit\S*", 1.0), ("opensource.org", "bsd-2-clause", r"https?://(?:www\.)?opensource\.org/licenses?/bsd-2\S*", 1.0), ("opensource.org", "bsd-3-clause", r"https?://(?:www\.)?opensource\.org/licenses?/bsd-3\S*", 1.0), ("apache.org/licenses", "apache-2.0", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0\S*", 1.0), ("gnu.org/licenses", "gpl", r"https?://(?:www\.)?gnu\.org/licenses/gpl\S*", 0.95), ("gnu.org/licenses", "lgpl", r"https?://(?:www\.)?gnu\.org/licenses/lgpl\S*", 0.95), ("gnu.org/licenses", "agpl", r"https?://(?:www\.)?gnu\.org/licenses/agpl\S*", 0.95), ("mozilla.org/mpl", "mpl-2.0", r"https?://(?:www\.)?mozilla\.org/mpl/2\.0\S*", 1.0), ("eclipse.org/legal", "epl", r"https?://(?:www\.)?eclipse\.org/legal/epl\S*", 0.95), ("boost.org", "bsl-1.0", r"https?://(?:www\.)?boost\.org/license_1_0\S*", 1.0), ("unlicense.org", "unlicense", r"https?://(?:www\.)?unlicense\.org\S*", 1.0), ("publicdomain/zero", "cc0-1.0", r"https?://(?:www\.)?creativecommons\.org/publicdomain/zero\S*", 1.0), ("scripts.sil.org", "ofl-1.1", r"https?://scripts\.sil\.org/ofl\S*", 1.0),
-    ("public domain", "public-domain", r"(?:released|placed|dedicated)?\s*(?:in|into|to)\s+the\s+public\s+domain", 0.8), ("all rights reserved", "all-rights-reserved", r"all\s+rights\s+reserved", 0.7), ("may not be reproduced", "proprietary", r"may\s+not\s+be\s+(?:copied|reproduced|redistributed)(?:\s+without\s+\w+)?", 0.7), ("dual-licensed", "dual-licensed", r"dual[\s-]licen[cs]ed", 0.7), ("dual licensed", "dual-licensed", r"dual[\s-]licen[cs]ed", 0.7),
+    ("public domain", "public-domain", r"(?:released|placed|dedicated)?\s*(?:in|into|to)\s+the\s+public\s+domain", 0.8), ("all rights reserved", "all-rights-reserved", r"all\s+rights\s+reserved", 0.7), *((f"may not be {verb}", "proprietary", rf"may\s+not\s+be\s+{verb}(?:\s+without\s+\w+)?", 0.7) for verb in ("copied", "reproduced", "redistributed")), ("dual licen", "dual-licensed", r"dual[\s-]licen[cs]ed", 0.7),
 )
 SPDX = ("0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 "
         "CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 "
         "OFL-1.1 OpenSSL OSL-3.0 PDDL-1.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby Sleepycat SSPL-1.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1").split()
 
 
+def plain(text: str) -> str:
+    """The text as keywords are sought in it: each run of white space and hyphens is one space."""
+    return re.sub(BLANKS, " ", text)
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """keyword, label, pattern (on ASCII-lower-cased text), priority (higher wins) and confidence, in order."""
     out: list[tuple[str, str, str, int, float]] = []
@@ -67,8 +76,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         for version in ("", "1.0", "2.0", "2.5", "3.0", "4.0"):
             v = rf"[\s-]*(?:v(?:ersion)?\s*)?{version.replace('.', r'[.]')}(?![\d])" if version else ""
             label = f"cc-{kind}" + (f"-{version}" if version else "")
-            for key in ("cc by", "cc-by"):
-                add(key, label, rf"\b(?:(?:licen[cs]ed|released|distributed)\s+under\s+{_THE})?cc[\s-]+{flat}\b{v}", 70 + 2 * len(kind) + bool(version), 0.95 if version else 0.85)
+            add("cc by", label, rf"\b(?:(?:licen[cs]ed|released|distributed)\s+under\s+{_THE})?cc[\s-]+{flat}\b{v}", 70 + 2 * len(kind) + bool(version), 0.95 if version else 0.85)
             add("creative commons", label, rf"\b(?:(?:licen[cs]ed|released|distributed)\s+under\s+{_THE})?creative\s+commons\s+{long}\b{v}", 70 + 2 * len(kind) + bool(version), 0.95 if version else 0.85)
         add("creativecommons.org", f"cc-{kind}", rf"https?://(?:www\.)?creativecommons\.org/licenses/{kind}/\S*", 95, 0.95)
     for key, label, pattern in NAMES:
@@ -82,6 +90,14 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return out
 
 
+def gates() -> list[str]:
+    """Strings of which each text that any rule or base phrase matches has one, as plain() gives it."""
+    keys = {plain(key) for key, _, _, rank, _ in rules() if rank >= 70}  # the rest, on names, need one of the next two, or have "license" as an option
+    keys |= {"licen", "under"} | {plain(key) for key, _, pattern in NAMES if r"(?:\s+license)?" in pattern}
+    ordered = sorted(keys, key=len)
+    return [k for i, k in enumerate(ordered) if not any(g in k for g in ordered[:i])]
+
+
 def _phrase_starts(words: Column, phrase: str) -> Column:
     """Places, from 0, where the phrase's words stand."""
     parts = phrase.split()
@@ -97,9 +113,9 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
 
 
 def detections(gated: DataFrame) -> DataFrame:
-    """gated (doc key columns and _low, the lower-cased text) with _found: labels and confidences that are left."""
+    """gated (doc key columns, _low, the lower-cased text, and _plain, the same for keywords) with _found: labels and confidences that are left."""
     table = rules()
-    literal = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(label).alias("label"), F.lit(p).alias("pattern"), F.lit(rank).alias("rank"), F.lit(sure).alias("sure"), F.lit(i).alias("nr")) for i, (k, label, p, rank, sure) in enumerate(table)))
+    literal = F.array(*(F.struct(F.lit(plain(k)).alias("key"), F.lit(label).alias("label"), F.lit(p).alias("pattern"), F.lit(rank).alias("rank"), F.lit(sure).alias("sure"), F.lit(i).alias("nr")) for i, (k, label, p, rank, sure) in enumerate(table)))
     kind = "array<struct<s:int,e:int,label:string,rank:int,sure:double,nr:int>>"
     none = F.array().cast(kind)
 
@@ -119,7 +135,7 @@ def detections(gated: DataFrame) -> DataFrame:
 
         return F.when(F.size(m["hit"]) > 0, F.aggregate(F.sequence(F.lit(1), F.size(m["hit"])), zero, step)["out"]).otherwise(none)
 
-    active = F.filter(literal, lambda r: F.contains(F.col("_low"), r["key"]) & F.regexp_like(F.col("_low"), r["pattern"]))
+    active = F.filter(literal, lambda r: F.contains(F.col("_plain"), r["key"]) & F.regexp_like(F.col("_low"), r["pattern"]))
     every = F.flatten(F.transform(F.transform(active, matches), spans))
     found = gated.withColumn("_spans", F.when(F.col("_low") != "", every).otherwise(none))
 
@@ -129,19 +145,17 @@ def detections(gated: DataFrame) -> DataFrame:
         return covers & ((other["rank"] > own["rank"]) | ((other["rank"] == own["rank"]) & (~same | (other["nr"] < own["nr"]))))
 
     left = F.filter("_spans", lambda own: ~F.exists("_spans", lambda other: beats(other, own)))
-    return found.withColumn("_found", left).drop("_spans")
+    return found.withColumn("_found", left).drop("_spans", "_plain")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
     low = docs.select("doc_id", ascii_lower(text_of("text")).alias("_low"))
     low = low.withColumn("n_words", F.regexp_count("_low", F.lit(WORD)).cast("long"))
-    names = {key for key, _, _ in NAMES}
-    gate = sorted(({r[0] for r in rules()} - names) | {"licen", "under"}, key=len)  # rules on names also need one of the last two
-    gate = [k for i, k in enumerate(gate) if not any(g in k for g in gate[:i])]
+    low = low.withColumn("_plain", F.regexp_replace("_low", BLANKS, " "))
     may = F.lit(False)
-    for k in gate:
-        may = may | F.contains("_low", F.lit(k))
+    for k in gates():
+        may = may | F.contains("_plain", F.lit(k))
     low = low.withColumn("_low", F.when(may, F.col("_low")).otherwise(F.lit("")))  # texts without any keyword go no further
     words = F.when(F.contains("_low", F.lit("license")), F.regexp_extract_all("_low", F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
     at = low.withColumn("_w", words)

@@ -221,6 +221,58 @@ def test_license_rules(spark):
     assert [got[i].labels for i in range(len(RULES))] == [x for _, x in RULES]
 
 
+def samples(pattern, n):
+    """Texts that a rule's pattern matches whole, at random."""
+    from re import _parser
+
+    def one(tree):
+        out = ""
+        for op, arg in tree:
+            match str(op):
+                case "LITERAL":
+                    out += chr(arg)
+                case "NOT_LITERAL":
+                    out += "~"
+                case "ANY":
+                    out += "x"
+                case "IN":
+                    kind, value = R.choice(arg) if str(arg[0][0]) != "NEGATE" else ("LITERAL", ord("~"))
+                    out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(R.randint(*value)), "CATEGORY": lambda: R.choice({"CATEGORY_SPACE": " \n\t", "CATEGORY_DIGIT": "0123456789", "CATEGORY_WORD": "abc"}.get(str(value), "x"))}[str(kind)]()
+                case "MAX_REPEAT" | "MIN_REPEAT":
+                    out += "".join(one(arg[2]) for _ in range(R.randint(arg[0], min(arg[1], arg[0] + 2))))
+                case "SUBPATTERN":
+                    out += one(arg[3])
+                case "BRANCH":
+                    out += one(R.choice(arg[1]))
+                case "AT" | "ASSERT_NOT":
+                    pass
+                case _:
+                    raise ValueError(op)
+        return out
+
+    tree, flags = _parser.parse(pattern), re.ASCII
+    texts = [one(tree) for _ in range(n)]
+    return [x for x in texts if re.compile(pattern, flags).fullmatch(x)]
+
+
+def test_license_keywords_lose_nothing():
+    gates = licenses.gates()
+    for key, label, pattern, _, _ in licenses.rules():
+        got = samples(pattern, 60)
+        assert len(got) > 10, pattern
+        for x in got:
+            assert licenses.plain(key) in licenses.plain(x) and any(g in licenses.plain(x) for g in gates), (label, x)
+
+
+KEYED = [("under the Universal Permissive License", "upl-1.0"), ("under the Open RAIL-M License", "openrail"), ("Public Domain Dedication and License", "pddl-1.0"), ("the Beer-Ware License", "beerware"), ("Creative\nCommons Attribution 4.0", "cc-by,cc-by-4.0"), ("All rights\nreserved", "all-rights-reserved"), ("is in the public  domain", "public-domain"), ("CC  BY-SA 4.0", "cc-by-sa,cc-by-sa-4.0"), ("GNU General\nPublic License", "gpl"), ("the Python\n  Software Foundation License", "psf-2.0"), ("may not be copied", "proprietary"), ("dual-licenced", "dual-licensed"), ("Apache 2.0", "apache-2.0")]
+
+
+def test_license_keys_of_wrapped_texts(spark):
+    got = by_id(licenses.license_table(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(KEYED)], "doc_id long, text string")))
+    for i, (t, labels) in enumerate(KEYED):
+        assert set(labels.split(",")) & set(got[i].labels.split(",")), (t, got[i].labels)
+
+
 def test_hundreds_of_rules():
     assert len(licenses.rules()) > 200 and all(re.compile(r[2]) for r in licenses.rules())
 
