@@ -1,7 +1,7 @@
 """Licence scans by ordered signature rules, in DataFrame operations only.
 
 Some hundreds of hand-written patterns, each behind a keyword, find licence names, notices, addresses and SPDX tags. A text is
-searched only by rules whose keyword it holds, both with each run of white space and hyphens as one space; every text that a
+searched only by rules whose keyword it holds, both with each run of blanks and comment marks as one space; every text that a
 pattern matches holds its keyword. Each match is an interval; one that lies within the interval of a
 rule of equal or higher priority (and isn't equal to it at equal priority with an earlier rule's) is suppressed, so that
 "GNU Lesser General Public License" isn't reported as the plain one by these rules. Base phrases are counted on words besides,
@@ -26,7 +26,8 @@ from .common import WORD, ascii_lower, text_of
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 _V = r"(?:,?\s*\(?(?:version|v\.?|ver\.?)?\s*"  # before a version number
 _THE = r"(?:the\s+)?"
-BLANKS = r"[ \t\n\x0B\f\r-]+"  # what one space of a keyword stands for: all that \s (of ASCII) and [\s-] match in the patterns
+GAP = r"[\s*#/;%-]"  # white space, and the marks with which lines of comments begin
+BLANKS = r"[ \t\n\x0B\f\r*#/;%-]+"  # what one space of a keyword stands for: GAPs, with \s of ASCII
 
 #: keyword, label, name pattern. Each gives the name itself, "licensed/released/distributed under <name>" and "<name> licen[cs]e".
 NAMES = (
@@ -45,11 +46,11 @@ NAMES = (
     ("python software", "psf-2.0", r"python\s+software\s+foundation"), ("psf", "psf-2.0", r"psf"), ("php", "php-3.01", r"php"), ("ruby", "ruby", r"ruby"), ("postgresql", "postgresql", r"postgresql"), ("openssl", "openssl", r"openssl"), ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl"), ("beerware", "beerware", r"beerware"), ("beer-ware", "beerware", r"beer-ware"), ("ncsa", "ncsa", r"(?:university\s+of\s+illinois/?)?ncsa(?:\s+open\s+source)?"), ("zope", "zpl", r"zope\s+public"), ("academic free", "afl", r"academic\s+free"), ("open software", "osl", r"open\s+software"), ("microsoft public", "ms-pl", r"microsoft\s+public"), ("microsoft reciprocal", "ms-rl", r"microsoft\s+reciprocal"), ("ms-pl", "ms-pl", r"ms-pl"), ("ms-rl", "ms-rl", r"ms-rl"), ("sleepycat", "sleepycat", r"sleepycat"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?:\s+software)?"), ("unicode", "unicode", r"unicode"), ("universal permissive", "upl-1.0", r"universal\s+permissive"), ("upl", "upl-1.0", r"upl(?:-1\.0)"), ("mulan", "mulanpsl", r"mulan\s+(?:psl|permissive(?:\s+software)?)"), ("blue oak", "blueoak-1.0.0", r"blue\s+oak(?:\s+model)?"), ("elastic", "elastic-2.0", r"elastic"), ("business source", "busl-1.1", r"business\s+source"), ("server side public", "sspl-1.0", r"server\s+side\s+public"), ("sspl", "sspl-1.0", r"sspl"), ("commons clause", "commons-clause", r"commons\s+clause"), ("openrail", "openrail", r"(?:creativeml\s+|bigscience\s+)?openrail(?:\+*-?m)?"), ("open rail", "openrail", r"(?:creativeml\s+|bigscience\s+)?open\s+rail(?:\+*-?m)?"), ("open database", "odbl-1.0", r"open\s+database"), ("odbl", "odbl-1.0", r"odbl"), ("odc-by", "odc-by-1.0", r"odc-by"), ("open data commons attribution", "odc-by-1.0", r"open\s+data\s+commons\s+attribution"), ("pddl", "pddl-1.0", r"pddl"), ("public domain dedication", "pddl-1.0", r"public\s+domain\s+dedication\s+and"), ("sil open font", "ofl-1.1", r"sil\s+open\s+font"), ("ofl", "ofl-1.1", r"ofl(?:-1\.1)?"), ("open government", "ogl", r"open\s+government"), ("community data", "cdla", r"community\s+data"), ("cdla", "cdla", r"cdla(?:-permissive|-sharing)?(?:-\d\.\d)?"), ("latex project", "lppl", r"latex\s+project\s+public"), ("lppl", "lppl", r"lppl"), ("cc0", "cc0-1.0", r"cc0(?:\s*1\.0)?(?:\s+universal)?"), ("proprietary", "proprietary", r"proprietary"), ("commercial", "commercial", r"commercial"),
 )
 _CC = (("by", ""), ("by-sa", "sharealike"), ("by-nc", "noncommercial"), ("by-nd", "noderiv(?:ative)?s?"), ("by-nc-sa", "noncommercial[\\s-]+sharealike"), ("by-nc-nd", "noncommercial[\\s-]+noderiv(?:ative)?s?"))
-#: keyword, label, pattern, confidence: notices and addresses that stand for themselves.
+#: keyword, label, pattern, confidence: notices and addresses that stand for themselves. A space of a pattern is any run of GAPs.
 NOTICES = (
-    ("permission is hereby granted", "mit", r"permission is hereby granted,? free of charge,? to any person obtaining a copy", 1.0), ("permission to use", "isc", r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee", 1.0), ("redistribution and use", "bsd", r"redistribution and use in source and binary forms,? with or without modification", 0.95), ("neither the name", "bsd-3-clause", r"neither the names? of .{0,80}? nor the names of its contributors", 0.95), ("all advertising materials", "bsd-4-clause", r"all advertising materials mentioning features or use of this software", 0.95),
+    ("permission is hereby granted", "mit", r"permission is hereby granted,? free of charge,? to any person obtaining a copy", 1.0), ("permission to use", "isc", r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee", 1.0), ("redistribution and use", "bsd", r"redistribution and use in source and binary forms,? with or without modification", 0.95), ("neither the name", "bsd-3-clause", r"neither the names? of [\s\S]{1,1000}? nor the names of its contributors", 0.95), ("nor the names of its contributors", "bsd-3-clause", r"nor the names of its contributors", 0.95), ("all advertising materials", "bsd-4-clause", r"all advertising materials mentioning features or use of this software", 0.95),
     ("opensource.org", "mit", r"https?://(?:www\.)?opensource\.org/licenses?/mit\S*", 1.0), ("opensource.org", "bsd-2-clause", r"https?://(?:www\.)?opensource\.org/licenses?/bsd-2\S*", 1.0), ("opensource.org", "bsd-3-clause", r"https?://(?:www\.)?opensource\.org/licenses?/bsd-3\S*", 1.0), ("apache.org/licenses", "apache-2.0", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0\S*", 1.0), ("gnu.org/licenses", "gpl", r"https?://(?:www\.)?gnu\.org/licenses/gpl\S*", 0.95), ("gnu.org/licenses", "lgpl", r"https?://(?:www\.)?gnu\.org/licenses/lgpl\S*", 0.95), ("gnu.org/licenses", "agpl", r"https?://(?:www\.)?gnu\.org/licenses/agpl\S*", 0.95), ("mozilla.org/mpl", "mpl-2.0", r"https?://(?:www\.)?mozilla\.org/mpl/2\.0\S*", 1.0), ("eclipse.org/legal", "epl", r"https?://(?:www\.)?eclipse\.org/legal/epl\S*", 0.95), ("boost.org", "bsl-1.0", r"https?://(?:www\.)?boost\.org/license_1_0\S*", 1.0), ("unlicense.org", "unlicense", r"https?://(?:www\.)?unlicense\.org\S*", 1.0), ("publicdomain/zero", "cc0-1.0", r"https?://(?:www\.)?creativecommons\.org/publicdomain/zero\S*", 1.0), ("scripts.sil.org", "ofl-1.1", r"https?://scripts\.sil\.org/ofl\S*", 1.0),
-    ("public domain", "public-domain", r"(?:released|placed|dedicated)?\s*(?:in|into|to)\s+the\s+public\s+domain", 0.8), ("all rights reserved", "all-rights-reserved", r"all\s+rights\s+reserved", 0.7), *((f"may not be {verb}", "proprietary", rf"may\s+not\s+be\s+{verb}(?:\s+without\s+\w+)?", 0.7) for verb in ("copied", "reproduced", "redistributed")), ("dual licen", "dual-licensed", r"dual[\s-]licen[cs]ed", 0.7),
+    ("public domain", "public-domain", r"(?:released|placed|dedicated)?\s*(?:in|into|to) the public domain", 0.8), ("all rights reserved", "all-rights-reserved", r"all rights reserved", 0.7), *((f"may not be {verb}", "proprietary", rf"may not be {verb}(?: without \w+)?", 0.7) for verb in ("copied", "reproduced", "redistributed")), ("dual licen", "dual-licensed", r"dual licen[cs]ed", 0.7),
 )
 SPDX = ("0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 "
         "CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 "
@@ -57,7 +58,7 @@ SPDX = ("0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache
 
 
 def plain(text: str) -> str:
-    """The text as keywords are sought in it: each run of white space and hyphens is one space."""
+    """The text as keywords are sought in it: each run of blanks and comment marks is one space."""
     return re.sub(BLANKS, " ", text)
 
 
@@ -69,7 +70,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         t = tag.lower().replace(".", r"\.")
         add("spdx-license-identifier", tag.lower(), rf"spdx-license-identifier:\s*\(?{t}(?![\w.+-])", 100, 1.0)
     for key, label, pattern, sure in NOTICES:
-        add(key, label, r"\b" + pattern, 90, sure)
+        add(key, label, r"\b" + pattern.replace(" ", GAP + "+"), 90, sure)
     for kind, words in _CC:
         flat = kind.replace("-", r"[\s-]*")
         long = r"attribution" + (r"[\s-]+" + words if words else "")

@@ -273,6 +273,27 @@ def test_license_keys_of_wrapped_texts(spark):
         assert set(labels.split(",")) & set(got[i].labels.split(",")), (t, got[i].labels)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation files (the "Software"), to deal"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from"""
+BSD4 = """3. All advertising materials mentioning features or use of this
+   software must display the following acknowledgement:"""
+HOLDER = "The Regents of the Very Long Named University of Somewhere,\n   its Departments, Laboratories and all Affiliated Institutes and Centres of Study"
+NOTICED = [(MIT, "mit"), (ISC, "isc"), (BSD, "bsd,bsd-3-clause"), (BSD4, "bsd-4-clause"), (BSD.replace("the copyright holder", HOLDER), "bsd,bsd-3-clause"), (BSD.replace("the copyright holder", HOLDER * 20), "bsd,bsd-3-clause")]
+
+
+def test_license_notices_wrapped(spark):
+    marked = [("".join(f"{mark}{line}\n" for line in t.split("\n")), labels) for t, labels in NOTICED for mark in ("", " * ", "# ", "// ", ";; ", "% ", "-- ")]
+    marked += [(" ".join(t.split()), labels) for t, labels in NOTICED] + [(t.replace("\n", "\r\n"), labels) for t, labels in NOTICED]
+    got = by_id(licenses.license_table(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(marked)], "doc_id long, text string")))
+    assert [got[i].labels for i in range(len(marked))] == [x for _, x in marked]
+
+
 def test_hundreds_of_rules():
     assert len(licenses.rules()) > 200 and all(re.compile(r[2]) for r in licenses.rules())
 
