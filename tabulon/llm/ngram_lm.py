@@ -1,15 +1,17 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays and mapped by workers.
+"""Interpolated modified Kneser-Ney model of any order from two, counted in Spark, stored as sorted arrays and mapped by workers.
 
 Words: runs between ASCII white space with A to Z lower-cased, then one end token a text; a text's first word follows a start mark.
 1. Unigram counts by word hash (xxh64), partly aggregated by task, summed in Spark and written sorted as the vocabulary:
    its positions are word numbers. All counts are exact over the whole training corpus.
-2. Each task sorts the bigrams (two word numbers in 64 bits, mixed) of its texts and sends their counts to hash ranges as compressed runs
-   of differences; each range, about RANGE tokens, is merged into one sorted array. Ranges also yield how many
-   kinds and counts follow each word, how many precede it, and the counts of counts for the three discounts.
-3. Workers map the arrays and look up the sorted distinct bigrams of a slice of texts at a time.
-
-p(w|v) = (c(vw) - D(c)) / c(v) + gamma(v) * p(w), p(w) = (N(.w) - D'(N)) / N(..) + gamma' / (V + 1), with N(.w) the distinct words before w; 1/(V+1) also
-goes to any unknown word. The order is two: a third would take more disk than the check tool's budget (figures in the README).
+2. For each order n from 2: an n-gram is 64 bits, the number of the (n-1)-gram before and that of the word. Each task sorts those of its texts
+   and sends their counts to ranges of contexts as compressed runs of differences; each range, about RANGE tokens, is merged into one
+   sorted array, positions in which number the n-grams. Contexts' numbers follow hashes, so ranges are about even.
+3. Each distinct n-gram then counts for its last n-1 words: these are the counts of the order below, but what begins with the
+   start mark keeps its own. Ranges also yield the counts of counts for the three discounts, and sums after contexts of over FEW words.
+4. Workers map the arrays and look up the sorted distinct n-grams of a slice of texts at a time.
+
+p(w|h) = (c(hw) - D(c)) / c(h) + gamma(h) * p(w|h less its first word), at last p(w) = (N(.w) - D'(N)) / N(..) + gamma' / (V + 1), with N(.w) the
+distinct words before w; 1/(V+1) also goes to any unknown word. A context not seen leaves p as it is.
 The folder is of the shared file system named by spark.checkpoint.dir; writing a file twice gives the same file.
 
 Defined cases: null text is empty (only the end token); an empty training corpus gives every token 1/(V+1) = 1, score 0;
@@ -25,17 +27,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_shared_path, slices, words_of
 from .language_id import held_out
-from .near_dedup import mix
 
-RANGE, WORDS_HELD, TOP = 4_000_000, 400_000, 65_535
+RANGE, WORDS_HELD, FEW = 4_000_000, 400_000, 32
 _U = np.uint64
 END = xxhash.xxh64_intdigest(b"\n")  # no word: words hold no newline
-_START = 0xFFFFFFFF
 
 
 class _Hashes(dict):
@@ -153,71 +153,136 @@ class _Vocabulary:
 _OPEN: dict[str, object] = {}
 
 
-def _opened(kind: type, folder: str):
-    key = f"{kind.__name__}:{folder}"
+def _opened(kind: type, folder: str, *args: int):
+    key = f"{kind.__name__}:{folder}:{args}"
     if key not in _OPEN:
-        for k in [k for k in _OPEN if k.startswith(kind.__name__)]:
+        for k in [k for k in _OPEN if folder not in k]:
             del _OPEN[k]
-        _OPEN[key] = kind(folder)
+        _OPEN[key] = kind(folder, *args)
     return _OPEN[key]
 
 
-def _tokens(texts: list[str | None], words: _Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts in a row: number and count of each token, number of the token before, and past-last token of each text."""
+def _tokens(texts: list[str | None], words: _Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in a row: number and count of each token, and past-last token of each text."""
     hashes = [token_hashes(t) for t in texts]
     ends = np.cumsum([len(h) for h in hashes])
     u, back = np.unique(np.concatenate(hashes), return_inverse=True)
     number, count = words.numbers(u)
-    number, count = number[back], count[back]
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[np.concatenate([[0], ends[:-1]])] = _START
-    return number, count, before, ends
+    return number[back], count[back], ends
+
+
+def _before(ids: np.ndarray, ends: np.ndarray, first: int) -> np.ndarray:
+    """The number at the token before, `first` at the start of a text."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[np.concatenate([[0], ends[:-1]])] = first
+    return out
 
 
-def _key(before: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return mix(before.astype(np.uint64) << _U(32) | number.astype(np.uint64))
+def _edges(ranges: int, of: int) -> np.ndarray:
+    """First numbers of even ranges, and the end."""
+    return np.array([-(-r * max(of, 1) // ranges) for r in range(ranges + 1)], np.int64)
 
 
 class NgramModel:
     """A trained model: its folder and the few numbers that all share."""
 
-    def __init__(self, folder: str, tokens: int, kinds: int, ranges: int, low: list[float], high: list[float], pairs: int, gamma_low: float):
-        self.folder, self.tokens, self.kinds, self.ranges = folder, tokens, kinds, ranges
-        self.low, self.high, self.pairs, self.gamma_low = low, high, pairs, gamma_low  # discounts of words and bigrams, distinct bigrams
+    def __init__(self, folder: str, tokens: int, kinds: int, ranges: int, sizes: list[int], low: list[float], high: list[list[float]], pairs: int, gamma_low: float):
+        self.folder, self.tokens, self.kinds, self.ranges, self.sizes = folder, tokens, kinds, ranges, sizes  # sizes: distinct n-grams, of words first
+        self.low, self.high, self.pairs, self.gamma_low = low, high, pairs, gamma_low  # discounts of words and of each order above, distinct bigrams
+
+
+def _path(folder: str, what: str, n: int, r: int) -> str:
+    return os.path.join(folder, f"{what}-{n}-{r}.npy")
+
+
+class _Level:
+    """The mapped n-grams of one order by range of contexts."""
+
+    def __init__(self, folder: str, n: int, ranges: int, contexts: int, bits: int):
+        self.folder, self.n, self.bits = folder, n, _U(bits)
+        names = [_path(folder, "keys", n, r) for r in range(ranges)]
+        self.keys = [np.load(x, mmap_mode="r") if os.path.exists(x) else np.zeros(0, np.uint64) for x in names]
+        self.base = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])]).astype(np.int64)
+        self.edge = _edges(ranges, contexts).astype(np.uint64) << self.bits
+        self.held: dict[int, list[np.ndarray]] = {}
+
+    def _cuts(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Ranges with the parts of sorted keys that are theirs."""
+        cut = np.searchsorted(keys, self.edge)
+        for r, x in enumerate(self.keys):
+            if cut[r + 1] > cut[r] and len(x):
+                yield r, slice(cut[r], cut[r + 1])
+
+    def _load(self, r: int) -> list[np.ndarray]:
+        if r not in self.held:
+            self.held[r] = [np.load(_path(self.folder, x, self.n, r), mmap_mode="r") for x in ("times", "often", "most", "many", "sums")]
+        return self.held[r]
+
+    def _counts(self, r: int, at: np.ndarray) -> np.ndarray:
+        times, often, most, _, _ = self._load(r)
+        c = times[at].astype(np.int64)
+        full = np.flatnonzero(c == 255)
+        if len(full):
+            c[full] = most[np.searchsorted(often, at[full])]
+        return c
+
+    def find(self, ctx: np.ndarray, number: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1: not there) of n-grams of context and word, and their counts (0)."""
+        ids, c = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx), np.int64)
+        ask = np.flatnonzero((ctx >= 0) & (number >= 0))
+        keys, back = np.unique(ctx[ask].astype(np.uint64) << self.bits | number[ask].astype(np.uint64), return_inverse=True)
+        got, times = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for r, own in self._cuts(keys):
+            at = np.searchsorted(self.keys[r], keys[own])
+            at[at == len(self.keys[r])] = 0
+            ok = self.keys[r][at] == keys[own]
+            got[own] = np.where(ok, at + self.base[r], -1)
+            if counts:
+                times[own] = np.where(ok, self._counts(r, at), 0)
+        ids[ask], c[ask] = got[back], times[back]
+        return ids, c
+
+    def key(self, ids: np.ndarray) -> np.ndarray:
+        """The keys of n-grams by number."""
+        u, back = np.unique(ids, return_inverse=True)
+        out, cut = np.zeros(len(u), np.uint64), np.searchsorted(u, self.base)
+        for r, x in enumerate(self.keys):
+            if cut[r + 1] > cut[r]:
+                out[cut[r] : cut[r + 1]] = x[u[cut[r] : cut[r + 1]] - self.base[r]]
+        return out[back]
+
+    def sums(self, ctx: np.ndarray) -> np.ndarray:
+        """After each of sorted distinct contexts: the total count, and kinds with count 1, 2 and more."""
+        out = np.zeros((len(ctx), 4), np.int64)
+        first = ctx.astype(np.uint64) << self.bits
+        for r, own in self._cuts(first):
+            lo, hi = (np.searchsorted(self.keys[r], x) for x in (first[own], first[own] + (_U(1) << self.bits)))
+            size = hi - lo
+            few = np.flatnonzero((size > 0) & (size <= FEW))
+            if len(few):
+                start = np.cumsum(size[few]) - size[few]
+                at = np.repeat(lo[few] - start, size[few]) + np.arange(size[few].sum())
+                out[own.start + few] = _sums(self._counts(r, at), start)
+            many = np.flatnonzero(size > FEW)
+            if len(many):
+                out[own.start + many] = self._load(r)[4][np.searchsorted(self._load(r)[3], ctx[own][many])]
+        return out
 
 
-class _Arrays:
-    """The mapped bigrams by range, and the words' arrays."""
-
-    def __init__(self, folder: str):
-        load = lambda x: np.load(os.path.join(folder, x), mmap_mode="r")
-        ranges = sorted(int(x[5:-4]) for x in os.listdir(folder) if x.startswith("pair-") and x.endswith(".npy"))
-        self.pairs = {k: (load(f"pair-{k}.npy"), load(f"times-{k}.npy"), load(f"often-{k}.npy"), load(f"most-{k}.npy")) for k in ranges}
-        self.after = load("after.npy")  # per word number: tokens after it, kinds after it with count 1, 2 and more
-        self.before = load("before.npy")  # per word number: distinct words before it
-
-    def count(self, keys: np.ndarray, ranges: int) -> np.ndarray:
-        """Counts of sorted keys."""
-        out = np.zeros(len(keys), np.int64)
-        edge = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
-        for k in range(ranges):
-            own = keys[edge[k] : edge[k + 1]]
-            if len(own) and k in self.pairs and len(self.pairs[k][0]):
-                pair, times, often, most = self.pairs[k]
-                at = np.searchsorted(pair, own)
-                at[at == len(pair)] = 0
-                c = np.where(pair[at] == own, times[at], 0).astype(np.int64)
-                full = np.flatnonzero(c == 255)
-                if len(full):
-                    c[full] = most[np.searchsorted(often, at[full])]
-                out[edge[k] : edge[k + 1]] = c
-        return out
+def _sums(c: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.stack([np.add.reduceat(x.astype(np.int64), start) for x in (c, c == 1, c == 2, c > 2)], 1)
 
 
-def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """The hash range of keys; it rises with them."""
-    return ((keys >> _U(32)) * _U(ranges)) >> _U(32)
+def _finish(folder: str, n: int, r: int, keys: np.ndarray, c: np.ndarray, bits: int) -> None:
+    """Writes the counts of a range, the sums after its contexts of many words, and its counts of counts."""
+    ctx = (keys >> _U(bits)).astype(np.int64)
+    start = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
+    many = np.diff(np.append(start, len(ctx))) > FEW
+    often = np.flatnonzero(c >= 255)
+    of = np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.int64)
+    for what, x in (("times", np.minimum(c, 255).astype(np.uint8)), ("often", often), ("most", c[often]), ("many", ctx[start[many]]), ("sums", _sums(c, start)[many]), ("of", of)):
+        _save(_path(folder, what, n, r), x)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -232,8 +297,10 @@ def _less(c: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-def train(docs: DataFrame) -> NgramModel:
+def train(docs: DataFrame, order: int = 2) -> NgramModel:
     """The model of the text column of all rows."""
+    if order < 2:
+        raise ValueError("the order is two or more")
     spark = docs.sparkSession
     folder = new_shared_path(spark, "ngrams")
     counted = docs.select("text").mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -256,115 +323,115 @@ def train(docs: DataFrame) -> NgramModel:
 
     total = turned.repartitionByRange("k").mapInArrow(write, "kinds long, tokens long").agg(F.sum("kinds"), F.sum("tokens")).first()
     kinds, tokens = total[0] or 0, total[1] or 0
-    if kinds >= _START:
-        raise ValueError("more distinct words than 32-bit numbers")
-    ranges = max(1, -(-tokens // RANGE))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = _opened(_Vocabulary, folder), [], 0
-
-        def out() -> pa.RecordBatch:
-            k, c = _merged(held)
-            edge = np.searchsorted(_range_of(k, ranges), np.arange(ranges + 1))
-            own = [(r, pack(k[edge[r] : edge[r + 1]], c[edge[r] : edge[r + 1]])) for r in range(ranges) if edge[r + 1] > edge[r]]
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["r", "run"])
-
+    ranges, bits, sizes = max(1, -(-tokens // RANGE)), kinds.bit_length(), [kinds]
+    contexts = [kinds + 1]  # the start mark has the number past the last word's
+    for n in range(2, order + 1):
+        if (contexts[-1] - 1).bit_length() + bits > 63:
+            raise ValueError(f"more distinct words and {n - 1}-grams than 63 bits")
+        _count(docs, folder, n, order, ranges, kinds, contexts, bits)
+        there = [x for r in range(ranges) if os.path.exists(x := _path(folder, "keys", n, r))]
+        sizes.append(sum(len(np.load(x, mmap_mode="r")) for x in there))
+        contexts.append(sizes[-1])
+        for r in range(ranges):
+            if n > 2 and os.path.exists(x := _path(folder, "raw", n - 1, r)):
+                os.remove(x)
+    of = [sum((np.load(x) for r in range(ranges) if os.path.exists(x := _path(folder, "of", n, r))), np.zeros(4, np.int64)).tolist() for n in range(1, order + 1)]
+    low, pairs = discounts(of[0]), sizes[1]
+    gamma = (low[0] * of[0][0] + low[1] * of[0][1] + low[2] * (kinds - of[0][0] - of[0][1])) / pairs if pairs else 1.0
+    return NgramModel(folder, tokens, kinds, ranges, sizes, low, [discounts(x) for x in of[1:]], pairs, gamma)
+
+
+def _levels(folder: str, n: int, ranges: int, contexts: list[int], bits: int) -> list[_Level]:
+    """The orders from 2 to n."""
+    return [_opened(_Level, folder, k, ranges, contexts[k - 2], bits) for k in range(2, n + 1)]
+
+
+def _count(docs: DataFrame, folder: str, n: int, order: int, ranges: int, kinds: int, contexts: list[int], bits: int) -> None:
+    """Writes the n-grams, the counts of the order below, and if n is the highest order its own."""
+    edge, mask = _edges(ranges, contexts[n - 2]).astype(np.uint64) << _U(bits), _U((1 << bits) - 1)
+
+    def sent(runs: list[tuple[np.ndarray, np.ndarray]], edges: np.ndarray) -> pa.RecordBatch:
+        k, c = _merged(runs)
+        cut = np.searchsorted(k, edges)
+        own = [(r, pack(k[cut[r] : cut[r + 1]], c[cut[r] : cut[r + 1]])) for r in range(ranges) if cut[r + 1] > cut[r]]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["r", "run"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, levels, held, size = _opened(_Vocabulary, folder), _levels(folder, n - 1, ranges, contexts, bits), [], 0
         for b in slices(batches, "text"):
             if b.num_rows:
-                number, _, before, _ = _tokens(b.column(0).to_pylist(), words)
-                k, c = np.unique(_key(before, number), return_counts=True)
+                number, _, ends = _tokens(b.column(0).to_pylist(), words)
+                ctx = _before(number, ends, kinds)
+                for level in levels:
+                    ctx = _before(level.find(ctx, number)[0], ends, -1)
+                ok = ctx >= 0
+                k, c = np.unique(ctx[ok].astype(np.uint64) << _U(bits) | number[ok].astype(np.uint64), return_counts=True)
                 held.append((k, c.astype(np.int64)))
                 size += len(k)
                 if size > 4_000_000:
-                    yield out()
+                    yield sent(held, edge)
                     held.clear()
                     size = 0
         if held:
-            yield out()
-
-    runs = docs.select("text").mapInArrow(pairs, "r int, run binary").repartition("r").sortWithinPartitions("r")
+            yield sent(held, edge)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Ranges with their merged runs."""
         now, held = None, []
-
-        def close() -> pa.RecordBatch:
-            k, c = _merged(held)
-            _save(os.path.join(folder, f"times-{now}.npy"), np.minimum(c, 255).astype(np.uint8))
-            often = np.flatnonzero(c >= 255)
-            _save(os.path.join(folder, f"often-{now}.npy"), often)
-            _save(os.path.join(folder, f"most-{now}.npy"), c[often])
-            _save(os.path.join(folder, f"pair-{now}.npy"), k)
-            raw = _unmix(k)
-            v, w = (raw >> _U(32)).astype(np.int64), (raw & _U(0xFFFFFFFF)).astype(np.int64)
-            uv, back = np.unique(v, return_inverse=True)
-            after = [np.bincount(back, weights=x, minlength=len(uv)).astype(np.int64) for x in (c, c == 1, c == 2, c > 2)]
-            uw, n = np.unique(w, return_counts=True)
-            of = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-            zero = lambda n: np.zeros(n, np.int64)
-            kind = np.concatenate([np.zeros(len(uv), np.int64), np.ones(len(uw), np.int64), [2]])
-            columns = [np.concatenate([uv, uw, [0]]), *(np.concatenate([a, b, [x]]) for a, b, x in zip(after, (n, zero(len(uw)), zero(len(uw)), zero(len(uw))), of))]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, *columns)], names=["kind", "w", "a", "b", "c", "d"])
-
         for b in batches:
             for r, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if r != now and held:
-                    yield close()
+                if r != now and now is not None:
+                    yield now, *_merged(held)
                     held = []
                 now = r
-                held.append(unpack(run))
-                if sum(len(x[0]) for x in held) > 2 * RANGE:
+                if run is not None:
+                    held.append(unpack(run))
+                if len(held) > 1 and sum(len(x[0]) for x in held) > 2 * RANGE:
                     held = [_merged(held)]
-        if held:
-            yield close()
-
-    parts = runs.mapInArrow(merge, "kind long, w long, a long, b long, c long, d long")
-    words = parts.groupBy("kind", "w").agg(*(F.sum(x).alias(x) for x in "abcd"))
-    words = words.repartitionByRange("kind", "w").sortWithinPartitions("kind", "w")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Writes the words' sums of a partition as one file, and passes on the few totals."""
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got)
-            x = np.stack([t.column(i).to_numpy() for i in range(6)])
-            name = f"sums-{x[0, 0]}-{x[1, 0]:012d}.npy"
-            _save(os.path.join(folder, name), x)
-            n = x[2][x[0] == 1]
-            of = [int((n == i).sum()) for i in (1, 2, 3, 4)]
-            two = x[:, x[0] == 2]
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*of, *(two[2:, 0] if two.shape[1] else [0] * 4), int(n.sum()), len(n))], names=list("abcdefghij"))
-
-    sums = words.mapInArrow(gather, ", ".join(f"{x} long" for x in "abcdefghij")).groupBy().sum().first()
-    t = [int(x or 0) for x in sums]
-    _assemble(spark, folder, kinds)
-    low = discounts(t[:4])
-    gamma = (low[0] * t[0] + low[1] * t[1] + low[2] * (t[9] - t[0] - t[1])) / t[8] if t[8] else 1.0
-    return NgramModel(folder, tokens, kinds, ranges, low, discounts(t[4:8]), t[8], gamma)
-
-
-def _assemble(spark: SparkSession, folder: str, kinds: int) -> None:
-    """Puts the words' sums into arrays by word number, file by file into mapped files, in one task."""
+        if now is not None:
+            yield now, *_merged(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tag = os.urandom(4).hex()
-            new = {x: os.path.join(folder, f"{x}.{tag}") for x in ("after.npy", "before.npy")}
-            after = np.lib.format.open_memmap(new["after.npy"], "w+", np.int64, (kinds + 1, 4))
-            before = np.lib.format.open_memmap(new["before.npy"], "w+", np.int64, (kinds + 1,))
-            for name in sorted(os.listdir(folder)):
-                if name.startswith("sums-") and name.endswith(".npy"):
-                    x = np.load(os.path.join(folder, name), mmap_mode="r")
-                    a = x[:, x[0] == 0]
-                    after[np.where(a[1] == _START, kinds, a[1])] = a[2:].T  # the start mark comes last
-                    w = x[:, x[0] == 1]
-                    before[w[1]] = w[2]
-            after.flush()
-            before.flush()
-            for x, path in new.items():
-                os.replace(path, os.path.join(folder, x))
-            yield b
-
-    spark.range(1, numPartitions=1).mapInArrow(run, "id long").count()
+    def last(levels: list[_Level], ids: np.ndarray) -> np.ndarray:
+        """Numbers of the last words but one of n-grams by number, of the order of the last of levels."""
+        if not levels:
+            raise ValueError("a word has no last words but one")
+        k = levels[-1].key(ids)
+        word = (k & mask).astype(np.int64)
+        return levels[-2].find(last(levels[:-1], (k >> _U(bits)).astype(np.int64)), word)[0] if len(levels) > 1 else word
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = _levels(folder, n - 1, ranges, contexts, bits)
+        for r, k, c in ranged(batches):
+            _save(_path(folder, "keys", n, r), k)
+            if n == order:
+                _finish(folder, n, r, k, c, bits)
+            else:
+                _save(_path(folder, "raw", n, r), c.astype(np.uint32 if c.max() < 2**32 else np.uint64))
+            ids = (k & mask).astype(np.int64)
+            if levels:
+                ids = levels[-1].find(last(levels, (k >> _U(bits)).astype(np.int64)), ids)[0]
+            u, times = np.unique(ids, return_counts=True)
+            yield sent([(u.astype(np.uint64), times.astype(np.int64))], (levels[-1].base if levels else _edges(ranges, kinds)).astype(np.uint64))
+
+    def adjust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = _levels(folder, n - 1, ranges, contexts, bits)
+        for r, k, c in ranged(batches):
+            if n == 2:
+                edges = _edges(ranges, kinds)
+                x = np.zeros(edges[r + 1] - edges[r], np.int64)
+                x[k.astype(np.int64) - edges[r]] = c
+                _save(_path(folder, "before", 1, r), x)
+                _save(_path(folder, "of", 1, r), np.array([(x == i).sum() for i in (1, 2, 3, 4)], np.int64))
+            elif len(levels[-1].keys[r]):
+                x = np.load(_path(folder, "raw", n - 1, r)).astype(np.int64)
+                x[k.astype(np.int64) - levels[-1].base[r]] = c  # what nothing comes before begins with the start mark
+                _finish(folder, n - 1, r, np.asarray(levels[-1].keys[r]), x, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32())], names=["r"])
+
+    runs = docs.select("text").mapInArrow(grams, "r int, run binary").repartition("r").sortWithinPartitions("r")
+    every = docs.sparkSession.range(ranges).select(F.col("id").cast("int").alias("r"), F.lit(None).cast("binary").alias("run"))  # no range is left out
+    below = runs.mapInArrow(merge, "r int, run binary").union(every).repartition("r").sortWithinPartitions("r")
+    below.mapInArrow(adjust, "r int").count()
 
 
 def score(docs: DataFrame, model: NgramModel) -> DataFrame:
@@ -372,29 +439,33 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
     m = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, arrays = _opened(_Vocabulary, m.folder), _opened(_Arrays, m.folder)
-        uniform = 1 / (m.kinds + 1)
+        words, bits = _opened(_Vocabulary, m.folder), m.kinds.bit_length()
+        levels = _levels(m.folder, len(m.sizes), m.ranges, [m.kinds + 1, *m.sizes[1:]], bits)
+        edges, uniform = _edges(m.ranges, m.kinds), 1 / (m.kinds + 1)
         for b in slices(batches, "text"):
             if not b.num_rows:
                 continue
-            number, count, before, ends = _tokens(b.column(1).to_pylist(), words)
+            number, count, ends = _tokens(b.column(1).to_pylist(), words)
             starts = np.concatenate([[0], ends[:-1]])
             base = np.log10((count + 1) / (m.tokens + m.kinds + 1))
-            known = number >= 0
-            low = np.full(len(number), uniform)
+            p = np.full(len(number), uniform)
             if m.pairs:
-                kinds_before = np.where(known, arrays.before[np.maximum(number, 0)], 0)
-                low = np.maximum(kinds_before - _less(kinds_before, m.low), 0) / m.pairs + m.gamma_low * uniform
-            p = low.copy()
-            v = np.where(before == _START, m.kinds, before)
-            rows = arrays.after[np.maximum(v, 0)]
-            seen = (v >= 0) & (rows[:, 0] > 0)
-            gamma = np.where(seen, (rows[:, 1] * m.high[0] + rows[:, 2] * m.high[1] + rows[:, 3] * m.high[2]) / np.maximum(rows[:, 0], 1), 1.0)
-            ask = np.flatnonzero(seen & known)
-            u, back = np.unique(_key(before[ask], number[ask]), return_inverse=True)
-            c = np.zeros(len(number), np.int64)
-            c[ask] = arrays.count(u, m.ranges)[back]
-            p = np.maximum(c - _less(c, m.high), 0) / np.maximum(rows[:, 0], 1) * seen + gamma * low
+                u, back = np.unique(number, return_inverse=True)
+                kinds_before, cut = np.zeros(len(u), np.int64), np.searchsorted(u, edges)
+                for r in range(m.ranges):
+                    if cut[r + 1] > cut[r]:
+                        kinds_before[cut[r] : cut[r + 1]] = np.load(_path(m.folder, "before", 1, r), mmap_mode="r")[u[cut[r] : cut[r + 1]] - edges[r]]
+                p = (np.maximum(kinds_before - _less(kinds_before, m.low), 0) / m.pairs + m.gamma_low * uniform)[back]
+            ctx = _before(number, ends, m.kinds)
+            for level, d in zip(levels, m.high):
+                ids, c = level.find(ctx, number, counts=True)
+                u, back = np.unique(ctx, return_inverse=True)
+                rows = np.zeros((len(u), 4), np.int64)
+                rows[u >= 0] = level.sums(u[u >= 0])
+                total = np.maximum(rows[:, 0], 1)
+                gamma = np.where(rows[:, 0] > 0, rows[:, 1:] @ np.array(d) / total, 1.0)
+                p = np.maximum(c - _less(c, d), 0) / total[back] + gamma[back] * p
+                ctx = _before(ids, ends, -1)
             logs = np.log10(np.maximum(p, 1e-300))
             out = [b.column(0), pa.array(ends - starts), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.full(len(ends), m.tokens)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -402,8 +473,8 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def lm_table(docs: DataFrame) -> DataFrame:
+def lm_table(docs: DataFrame, order: int = 2) -> DataFrame:
     """The scores of all documents by a model of those that aren't held out; perplexity is 10 ** (-score / n_tokens)."""
-    model = train(docs.where(~held_out(7, 2)))
+    model = train(docs.where(~held_out(7, 2)), order)
     out = score(docs, model).withColumn("held_out", held_out(7, 2))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -43,7 +43,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.lm_table(table(spark, sf_dir, "documents"))
+    return ngram_lm.lm_table(table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

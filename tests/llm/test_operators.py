@@ -358,6 +358,44 @@ def test_lm(spark, docs, monkeypatch):
     assert len(ngram_lm.lm_table(docs).collect()) == docs.count() and ngram_lm.lm_table(docs.limit(0)).count() == 0
 
 
+def brute_order(rows, train, order):
+    """Scores by the definition, over strings."""
+    tokens = {i: [None, *t.encode().lower().split(), b"\n"] for i, t in rows}
+    counts = [defaultdict(int) for _ in range(order + 1)]
+    for i in train:
+        for n in range(1, order + 1):
+            for j in range(n - 1, len(tokens[i])):
+                counts[n][tuple(tokens[i][j - n + 1 : j + 1])] += 1
+    own = {order: counts[order]}
+    for n in range(1, order):
+        own[n] = defaultdict(int, {g: c for g, c in counts[n].items() if g[0] is None and n > 1})
+        for g in counts[n + 1]:
+            own[n][g[1:]] += 1
+    d = {n: [0.0] + ngram_lm.discounts([sum(x == k for x in own[n].values()) for k in (1, 2, 3, 4)]) for n in own}
+    after = {n: defaultdict(list) for n in own}
+    for n in own:
+        for g, c in own[n].items():
+            after[n][g[:-1]].append(c)
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (len(own[1]) + 1)
+        a, c = after[len(g)].get(g[:-1]), own[len(g)].get(g, 0)
+        return (c - d[len(g)][min(c, 3)] + sum(d[len(g)][min(x, 3)] for x in a) * lower) / sum(a) if a else lower
+
+    return {i: sum(np.log10(p(tuple(ts[max(0, j - order + 1) : j + 1]))) for j in range(1, len(ts))) for i, ts in tokens.items()}
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_orders(spark, monkeypatch, order):
+    monkeypatch.setattr(ngram_lm, "RANGE", 700)
+    monkeypatch.setattr(ngram_lm, "FEW", 3)
+    some = [f"v{i}" for i in range(12)]
+    rows = [(i, " ".join(R.choice(some) for _ in range(R.randint(0, 90))) + " the same words again" * (i % 4)) for i in range(60)] + [(100, "")]
+    got = by_id(ngram_lm.lm_table(spark.createDataFrame(rows, "doc_id long, text string"), order))
+    want = brute_order(rows, [i for i in got if not got[i].held_out], order)
+    assert all(np.isclose(got[i].score, want[i], rtol=1e-9) for i in want)
+
+
 def test_packed_runs():
     keys = np.sort(np.array(sorted({R.getrandbits(62) for _ in range(500)}), np.uint64) * np.uint64(2))
     counts = np.array([R.randint(1, 300) for _ in keys])
