@@ -3,20 +3,23 @@
 The encoding of a prefix is settled by its last token alone: a token `t` that ends the prefix is the last one exactly when
 it is joined lawfully to the last token of what is before it. So each trie node needs one state, found from its
 ancestors' states, and words with a common prefix share all states of that prefix. Distinct words that aren't in the
-bounded cache are put into a trie in sorted groups and a depth-first walk fills the states.
+bounded cache are put into a trie in sorted groups and a depth-first walk fills the states. A trie is TRIE_DEPTH deep; what a word has
+beyond that is walked from its node without nodes of its own, so an unbroken text of millions of letters needs a list of tokens.
 
 Defined cases: null text encodes as empty (no ids, decoded ""); an empty table gives an empty table; the strings of special
 tokens in a text give their ids; repeated rows and any doc_id, null too, pass through row by row. Columns other than the
-text stay untouched; the result column replaces one of the same name.
+text stay untouched; the result column replaces one of the same name. Texts are encoded whole whatever their length, one at a time if
+they are longer than a slice.
 """
 
 from __future__ import annotations
 
 import gc
 import json
+import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,9 @@ from .common import slices
 #: Entries of a worker's cache of encoded pieces, distinct words put into one trie, and characters of the texts whose
 #: new pieces are encoded together, bytes of texts in hand, and joins of two tokens whose lawfulness is remembered.
 CACHE_PIECES, TRIE_WORDS, GROUP_CHARS, SLICE, JOINS_HELD = 400_000, 20_000, 1 << 20, 4 << 20, 500_000
+#: Characters that one trie holds at most, its depth, and the longest piece that the cache keeps beyond its group.
+TRIE_CHARS, TRIE_DEPTH, KEPT_CHARS = 1 << 18, 64, 64
+_REST = "more"  # of a node: words that go on below the trie's depth
 _SPACE = regex.compile(r"\p{White_Space}+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -89,6 +95,7 @@ class TrieBpe:
         if not self.suffix:
             self.end = self.mid
         self.rank_ids = self.ids.tolist()
+        self._ends: list[dict[str, tuple[tuple[int, int], ...]]] = [{}, {}]  # of mid and end: the tokens that end a string, longest first
         self.longest = max(map(len, [*self.mid, *self.end]))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -102,7 +109,10 @@ class TrieBpe:
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         # \s is White_Space in the vocabularies' own engine, which leaves out the four ASCII separators
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        # the same borders in ASCII text, found faster
+        self._ascii_pattern = None if self.words else re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
         self.cache: dict[str, bytes] = {}
+        self.again: set[str] = set()  # cached pieces that a later group asked for
 
     def _joins(self, one: int, two: int, limit: int = 1 << 60) -> bool:
         """Whether no merge of rank below `limit` would cross the border between tokens `one` and `two`."""
@@ -131,38 +141,56 @@ class TrieBpe:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Int32 ids, as bytes, of each distinct non-empty word given in byte symbols: a trie for each sorted group."""
+        ids = self.rank_ids
+        return self._walked(words, lambda path: array("i", [ids[t] for t in path]).tobytes())
+
+    def count_words(self, words: list[str]) -> dict[str, int]:
+        """The number of tokens of each distinct non-empty word given in byte symbols."""
+        return self._walked(words, len)
+
+    def _walked(self, words: list[str], of: Callable[[list[int]], object]) -> dict:
         words, out = sorted(set(words)), {}
         collecting = gc.isenabled()
         gc.disable()  # the tries have no cycles; walking them again and again would cost most of the time
         try:
-            for i in range(0, len(words), TRIE_WORDS):
-                root: dict = {}
-                for w in words[i : i + TRIE_WORDS]:
-                    node = root
-                    for c in w:
+            i = 0
+            while i < len(words):
+                root, size, stop = {}, 0, min(i + TRIE_WORDS, len(words))
+                while i < stop and size < TRIE_CHARS:
+                    w, node = words[i], root
+                    for c in w[:TRIE_DEPTH]:
                         node = node.setdefault(c, {})
-                    node[""] = w
-                self._walk(root, out)
+                    if len(w) <= TRIE_DEPTH:
+                        node[""] = w
+                    else:
+                        node.setdefault(_REST, []).append(w)
+                    size, i = size + min(len(w), TRIE_DEPTH), i + 1
+                self._walk(root, out, of)
         finally:
             if collecting:
                 gc.enable()
         return out
 
-    def _last(self, table: dict[str, int], tail: str, depth: int, tokens: list[int]) -> int:
+    def _last(self, kind: int, tail: str, depth: int, tokens: list[int]) -> int:
         """The last token of the prefix of length `depth` that ends in `tail`; tokens: that of each shorter prefix."""
-        found, get, k, n = [], table.get, 1, len(tail)
-        while k <= n:
-            t = get(tail[-k:])
-            if t is None:
-                break
-            if t >= 0:
-                found.append((depth - k, t))
-            k += 1
+        table, n = self.end if kind else self.mid, len(tail)
+        k = min(n, 4)  # every ending of a string in the table is there too: look for the longest from amid
+        own = tail[n - k :]
+        if own in table:
+            while k < n and tail[n - k - 1 :] in table:
+                k += 1
+            own = tail[n - k :]
+        else:
+            while own and own not in table:
+                own = own[1:]
+        ends = self._ends[kind].get(own)
+        if ends is None:
+            ends = self._ends[kind][own] = tuple((len(own) - i, table[own[i:]]) for i in range(len(own)) if table[own[i:]] >= 0)
         valid = self._valid
-        for before, t in reversed(found):
-            if before == 0:
+        for size, t in ends:
+            if size == depth:
                 return t
-            pair = (tokens[before], t)
+            pair = (tokens[depth - size], t)
             ok = valid.get(pair)
             if ok is None:
                 if len(valid) > JOINS_HELD:
@@ -172,29 +200,40 @@ class TrieBpe:
                 return t
         raise ValueError("a symbol is missing from the vocabulary")
 
-    def _walk(self, root: dict, out: dict[str, bytes]) -> None:
-        length = self._lengths()
+    def _walk(self, root: dict, out: dict, of: Callable[[list[int]], object]) -> None:
+        length, last, longest = self._lengths(), self._last, self.longest
         tokens: list[int] = [-1]
+
+        def path(w: str) -> None:
+            """The tokens of a word all of whose shorter prefixes have theirs."""
+            at = len(w)
+            found = [last(1, w[max(0, at - longest) :], at, tokens)]
+            at -= length[found[0]]
+            while at:
+                found.append(tokens[at])
+                at -= length[tokens[at]]
+            found.reverse()
+            out[w] = of(found)
+
         stack = [(c, n, 1, "") for c, n in root.items()]
-        longest, ids, mid, end, last = self.longest, self.rank_ids, self.mid, self.end, self._last
         while stack:
             c, node, depth, tail = stack.pop()
             del tokens[depth:]
-            tail = (tail + c)[-longest:]
             w = node.get("")
             if w is not None:
-                path, at = [last(end, tail, depth, tokens)], depth
-                at -= length[path[0]]
-                while at:
-                    path.append(tokens[at])
-                    at -= length[tokens[at]]
-                path.reverse()
-                out[w] = array("i", [ids[t] for t in path]).tobytes()
+                path(w)
                 if len(node) == 1:
                     continue
-            tokens.append(last(mid, tail, depth, tokens))
+            tail = (tail + c)[-longest:]
+            tokens.append(last(0, tail, depth, tokens))
             for k, child in node.items():
-                if k:
+                if k == _REST:
+                    for w in child:
+                        del tokens[depth + 1 :]
+                        for d in range(depth + 1, len(w)):
+                            tokens.append(last(0, w[max(0, d - longest) : d], d, tokens))
+                        path(w)
+                elif k:
                     stack.append((k, child, depth + 1, tail))
 
     def _lengths(self) -> list[int]:
@@ -204,20 +243,28 @@ class TrieBpe:
                 self._length.append(self._length[left] + self._length[right])
         return self._length
 
+    def scan(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens."""
+        return (self._ascii_pattern if self._ascii_pattern and text.isascii() else self.pattern).findall(text)
+
     def _pieces(self, text: str) -> list[str]:
         """A text without special tokens as the pieces that are cached whole."""
         if not self.words:
-            return self.pattern.findall(text)
+            return self.scan(text)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         return [p for p in _SPACE.split(text) if p] if _ODD_SPACE.search(text) else text.split()
 
     def _learn(self, pieces: set[str], wanted: set[str]) -> None:
-        """Puts pieces that the cache lacks into it; it is emptied, but for what is wanted now, where it would outgrow its bound."""
+        """Puts pieces that the cache lacks into it. Where it would outgrow its bound, what no two groups asked for goes, and more if need be."""
         if len(self.cache) + len(pieces) > CACHE_PIECES:
-            self.cache = {p: self.cache[p] for p in wanted if p in self.cache}
-        parts = {p: [self.symbols(w) for w in self.pattern.findall(p)] if self.words else [self.symbols(p)] for p in pieces}
+            self.cache = {p: x for p, x in self.cache.items() if p in self.again or p in wanted}
+            if len(self.cache) + len(pieces) > 0.9 * CACHE_PIECES:
+                self.cache = {p: self.cache[p] for p in wanted if p in self.cache}
+            self.again = set()
+        # ASCII letters are one word, and their own symbols
+        parts = {p: [p] if p.isalpha() and p.isascii() else [self.symbols(w) for w in self.pattern.findall(p)] if self.words else [self.symbols(p)] for p in pieces}
         known = self.encode_words([w for ws in parts.values() for w in ws])
         for p, ws in parts.items():
             self.cache[p] = known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws))
@@ -238,10 +285,14 @@ class TrieBpe:
                         wanted |= new
                 held.append(split)
                 size, at = size + len(text), at + 1
+            self.again |= wanted - lacking
             if lacking:
                 self._learn(lacking, wanted)
             known = self.cache.__getitem__
             out.extend(b"".join(x if isinstance(x, bytes) else b"".join(map(known, x)) for x in split) for split in held)
+            for p in lacking:
+                if len(p) > KEPT_CHARS:
+                    del self.cache[p]
         return out
 
 
