@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.llm import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, near_dedup, ngram_lm, quality, token_counts
 from tabulon.llm.queries import vocabulary
@@ -104,6 +105,62 @@ def test_token_counts_query(docs):
     assert all(r.n_tokens == r.n_tokens_after for r in none)
 
 
+def brute_counts(t, text):
+    words = t.pattern.findall(text)
+    return len(words), sum(len(x) // 4 for w in words for x in t.encode_words([t.symbols(w)]).values())
+
+
+def test_token_counts_from_stored_trees(spark, docs):
+    """Chains of edits, each from the trees that the one before left, against counting whole texts anew."""
+    path = vocabulary("byte_bpe_50k.json")
+    t, alphabet = bpe.tokenizer(path), "ab cd  \n\t'll's 12!é"
+    texts = {r.doc_id: r.text or "" for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
+    texts |= {100 + i: "".join(R.choice(alphabet) for _ in range(R.randint(0, 3_000))) for i in range(25)}
+    trees = token_counts.count_trees(spark.createDataFrame([(i, x, 0) for i, x in texts.items()] + [(None, "no id", 0)], "doc_id long, text string, tokens int"), path)
+    for _ in range(3):
+        changes, new = {}, dict(texts)
+        for i in R.sample(sorted(texts), 20):
+            one = []
+            for _ in range(2):
+                a, x = R.randint(0, len(new[i]) + 3), "".join(R.choice(alphabet) for _ in range(R.randint(0, 12)))
+                b = a + R.randint(0, 30)
+                one += [{"start": a, "stop": b, "insert": x}, {"start": None, "stop": 3, "insert": "lost"}, None]
+                new[i] = new[i][:a] + x + new[i][b:]
+            changes[i] = one
+        edits = spark.createDataFrame([(i, x) for i, x in changes.items()] + [(None, None), (9_999, None)], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("edits", token_counts.EDITS)]))
+        trees = token_counts.edit_trees(trees, edits, path).persist()
+        got = by_id(trees)
+        assert set(got) == {*texts, None}
+        for i, x in new.items():
+            r = got[i]
+            assert "".join(leaf.text for leaf in r.leaves) == x and (r.n_pretokens, r.n_tokens) == brute_counts(t, x), i
+            assert [len(leaf.text) for leaf in r.leaves] == [leaf.chars for leaf in r.leaves] and sum(leaf.tokens for leaf in r.leaves) == r.n_tokens
+            assert i in changes or r.n_reencoded == 0
+        assert all(got[i].n_reencoded < got[i].n_pretokens / 10 for i in changes if len(new[i]) > 100_000)
+        texts = new
+    assert token_counts.count_trees(docs.limit(0), path).count() == 0 == token_counts.edit_trees(trees.limit(0), edits, path).count()
+
+
+def test_token_counts_of_unbroken_text(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "COUNTS_HELD", 50)
+    path = vocabulary("byte_bpe_50k.json")
+    long = "".join(R.choice("abcdefgh") for _ in range(300_000))
+    rows = token_counts.token_counts(spark.createDataFrame([(1, long, None), (2, long + " " + prose(300), [(0, 1, None), (5, None, "x")])], T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("edits", token_counts.EDITS)])), path).collect()
+    want = tiktoken_length(long)
+    assert {r.doc_id: r.n_tokens for r in rows}[1] == want and rows[1].n_tokens_after > 0
+    own = bpe.TrieBpe(vocabulary("word_bpe_49k.json"))
+    got = np.frombuffer(own.encode_batch([long])[0], np.int32).tolist()
+    from tokenizers import Tokenizer
+
+    assert got == Tokenizer.from_file(vocabulary("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids[: len(got)] and not [p for p in own.cache if len(p) > 64]
+
+
+def tiktoken_length(text):
+    from tokenizers import Tokenizer
+
+    return len(Tokenizer.from_file(vocabulary("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids)
+
+
 def test_quality(spark, corpus, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.quality_table(corpus, labels).join(labels, "doc_id").collect()
