@@ -2,22 +2,26 @@
 
 Two collections of SIDE band values each stand for a whole table key: table (i, j) has the key of band i of the first and band j
 of the second collection. SIDE * SIDE tables take 2 * SIDE * ROWS minhashes, about the square root of what independent tables
-need. A pair of similarity s meets in some table with probability (1 - (1 - s**ROWS)**SIDE)**2; at 0.85 it is missed about
-once in 700,000, farther off still less often.
+need. A pair of similarity s meets in some table with probability (1 - (1 - s**ROWS)**SIDE)**2: it is missed about 3 times in a
+million at 0.85 and 9 in 100,000 at 0.80, farther off still less often; unlike pairs (0.05) meet 3 times in a million.
 
-1. Documents with the same set, known by its size and 128 bits of sums over its hashes, are linked through the smallest id.
-2. Each of the sets left gets one trial link, to the smallest id in any of its buckets, which is confirmed on the texts. So a
+1. Documents with the same words in the same order, known by 128 bits of a hash over them, are linked through the smallest id.
+2. Documents that meet in a table have equal bands in the first collection. So narrow rows (band, document) are counted first, and
+   only what shares a band is combined with the second collection; tables are never formed for the others.
+3. Each of the documents left gets one trial link, to the smallest id in any of its buckets, which is confirmed on the texts. So a
    large family mostly collapses without its pairs ever being formed.
-3. Buckets whose members aren't all connected yet are compared in blocks of BLOCK members; only members of different
+4. Buckets whose members aren't all connected yet are compared in blocks of BLOCK members; only members of different
    components whose sketches (SKETCH minhashes of a byte) agree in as many places as a true link does but for one in 10**9 become pairs.
    These are confirmed on the texts too.
-4. Components of the confirmed links.
+5. Components of the confirmed links.
 
 Links are confirmed by comparing the full sets of shingles as strings.
 
 Defined cases: null text counts as empty; an empty set is linked with nothing; a text of fewer words than the shingle has its
-whole sequence as one shingle; repeated rows are equal sets; a row with a null id keeps component_id null and kept
-false and isn't linked; an empty table gives an empty table; the result depends on no order of rows.
+whole sequence as one shingle; repeated rows are equal texts; rows of one id with different texts are one document that has the links of
+each (its n_shingles stays that of the row); a row with a null id keeps component_id null and kept false and isn't linked; an empty
+table gives an empty table; only doc_id and text are read; the result depends on no order of rows. Texts are read whole whatever their
+length; a worker holds the shingle sets of two texts at a time.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, words_of
 
-SIDE, ROWS, SKETCH, BLOCK, SHARE = 11, 2, 128, 512, 64
-WORDS_HELD = 250_000
+SIDE, ROWS, SKETCH, BLOCK, SHARE = 14, 3, 128, 512, 64
+WORDS_HELD, SLICE = 200_000, 4 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20_240_117)
 _MUL = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) * _U(2) + _U(1)
@@ -83,30 +87,41 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def meets(similarity: float, side: int = SIDE, rows: int = ROWS) -> float:
+    """The probability that a pair meets in some table."""
+    return (1 - (1 - similarity**rows) ** side) ** 2
+
+
+def bands(m: np.ndarray, side: int) -> np.ndarray:
+    """The band values of the two collections, of 64 bits; those of different bands differ."""
+    parts = m[: 2 * side * ROWS].reshape(2, side, ROWS)
+    keys = np.zeros((2, side), np.uint64) + np.arange(side, dtype=np.uint64) * _STEP[1]
+    for r in range(ROWS):
+        keys = mix(keys * _STEP[0] + parts[:, :, r] + _U(1))
+    return keys
+
+
 def _signatures(width: int, side: int):
-    names = ["doc_id", "n_shingles", "a", "b", "keys_a", "keys_b", "sketch"]
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+    names = ["doc_id", "n_shingles", "d1", "d2", "keys_a", "keys_b", "sketch"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = 2 * side * ROWS
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingle_hashes(words_of(text), width)
+                words = words_of(text)
+                s = shingle_hashes(words, width)
                 if not len(s):
                     rows.append((doc_id, 0, 0, 0, None, None, None))
                     continue
                 m = minhashes(s)
-                bands = m[:used].reshape(2, side, ROWS)
-                keys = np.zeros((2, side), np.uint64)
-                for r in range(ROWS):
-                    keys = mix(keys * _STEP[0] + bands[:, :, r] + _U(1))
-                fp = s.sum(dtype=np.uint64), mix(s ^ _STEP[3]).sum(dtype=np.uint64)
-                rows.append((doc_id, len(s), *(int(x.astype(np.int64)) for x in fp), *keys.view(np.int64), mix(m).astype(np.uint8).tobytes()))
+                one, two = bands(m, side)
+                digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
+                rows.append((doc_id, len(s), int(digest[0]), int(digest[1]), one.view(np.int64), (two >> _U(32)).astype(np.uint32).view(np.int32), mix(m).astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         _HASHES.clear()  # the worker may go on with other stages
 
-    return run, "doc_id long, n_shingles long, a long, b long, keys_a array<long>, keys_b array<long>, sketch binary"
+    return run, "doc_id long, n_shingles long, d1 long, d2 long, keys_a array<long>, keys_b array<int>, sketch binary"
 
 
 def least_matches(percent: int, sketch: int = SKETCH, miss: float = 1e-9) -> int:
@@ -155,11 +170,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return rows.mapInArrow(run, "x long, y long").distinct()
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) for every id of links (x, y): least labels with pointer jumps."""
     both = cut(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x != y").distinct())
     label = cut(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
-    for _ in range(limit):
+    while True:  # labels only fall, so it ends
         near = both.join(label.select(F.col("id").alias("y"), "component"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
         lower = label.join(near, "id", "left").select("id", "component", F.least("component", "near").alias("next"))
         jump = label.select(F.col("id").alias("next"), F.col("component").alias("far"))
@@ -168,7 +183,6 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         label = moved.select("id", "component")
         if not changed:
             return label
-    raise RuntimeError("components need more rounds than the limit")
 
 
 def _compare(least: int, percent: int):
@@ -234,21 +248,27 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, side: int = S
     run, schema = _signatures(width, side)
     made = cut(docs.mapInArrow(run, schema))
     full = made.where("n_shingles > 0 and doc_id is not null")
-    owner = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"))
-    mapped = cut(full.select("doc_id", "n_shingles", "a", "b").join(owner, ["n_shingles", "a", "b"]).select("doc_id", "n_shingles", "rep"))
-    reps = full.join(owner.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = reps.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # their keys take ten times their room
-
-    # narrow rows of every table; then only those in buckets of two and more
-    pairs = F.transform("keys_a", lambda p, i: F.transform("keys_b", lambda q, j: F.xxhash64(p, q, i, j)))
-    keys = reps.select("doc_id", F.explode(F.flatten(pairs)).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    owner = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    mapped = cut(full.select("doc_id", "n_shingles", "d1", "d2").join(owner, ["d1", "d2"]).select("doc_id", "n_shingles", "rep"))
+    reps = full.join(mapped.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+
+    # bands of the first collection that several documents share, then the tables of these only
+    ones = reps.select("doc_id", F.explode("keys_a").alias("one"))
+    common = ones.groupBy("one").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("one")
+    live = cut(ones.join(common, "one").groupBy("doc_id").agg(F.collect_set("one").alias("ones")))  # at most SIDE of a document
+    tables = live.join(reps.select("doc_id", "keys_b"), "doc_id").select("doc_id", F.explode("ones").alias("one"), "keys_b").select("doc_id", "one", F.explode("keys_b").alias("two"))
+    keys = tables.select("doc_id", F.xxhash64("one", "two").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low != high").drop("high")
     shared = cut(keys.join(buckets, "key"))
 
+    # an id with several texts links what each of them equals
+    several = mapped.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("high")).where("x != high").select("doc_id", "x")
+    several = mapped.join(several, "doc_id").select("x", F.col("rep").alias("y")).where("x != y")
+
     least = least_matches(percent)
     sketches = cut(reps.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"))
     trial = shared.where("doc_id != low").groupBy(F.col("doc_id").alias("y")).agg(F.min("low").alias("x"))
-    links = cut(confirmed(trial.select("x", "y"), docs, width, percent))
+    links = cut(confirmed(trial.select("x", "y"), docs, width, percent).unionByName(several))
     first = components(links)
 
     # what trial links left apart

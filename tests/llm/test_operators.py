@@ -234,6 +234,34 @@ def test_near_dedup(spark, docs, monkeypatch, width, percent, block):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def test_near_dedup_ids_of_several_texts(spark):
+    other = prose(80)
+    rows = [(3, BASE), (5, BASE), (5, other), (7, other), (7, NEAR), (8, prose(80)), (8, "x y z"), (9, "x y z"), (None, BASE)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (None, None)}
+
+
+@pytest.mark.parametrize("similarity,most", [(0.85, 1e-5), (0.80, 1e-4)])
+def test_near_dedup_recall(similarity, most):
+    """Pairs of a given similarity meet in a table as often as stated."""
+    assert 1 - near_dedup.meets(similarity) < most and near_dedup.meets(0.05) < 1e-5
+    rng, met, trials, n = np.random.default_rng(3), 0, 300, 1_000
+    for _ in range(trials):
+        both = round(2 * n * similarity / (1 + similarity))
+        s = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+        x, y = (near_dedup.bands(near_dedup.minhashes(p), near_dedup.SIDE) for p in (s[:n], s[n - both :]))
+        met += bool((x[0] == y[0]).any() and (x[1] == y[1]).any())
+    assert met == trials
+    far = near_dedup.meets(0.3)
+    met = 0
+    for _ in range(trials):
+        both = round(2 * n * 0.3 / 1.3)
+        s = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+        x, y = (near_dedup.bands(near_dedup.minhashes(p), near_dedup.SIDE) for p in (s[:n], s[n - both :]))
+        met += bool((x[0] == y[0]).any() and (x[1] == y[1]).any())
+    assert abs(met / trials - far) < 0.07
+
+
 def test_near_dedup_empty(docs):
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
 
