@@ -78,6 +78,42 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def with_row_key(docs: DataFrame, key: str = "_row") -> tuple[DataFrame, bool]:
+    """docs with a number, and whether it's another than doc_id. It tells apart rows of one id with different texts and rows without an id, in the order of the ids (null last).
+
+    Where every row has an id of its own, which a count of ids shows without their texts, that is the number. Else the distinct
+    (doc_id, SHA-256 of the text) are numbered by range partitions; repeated rows share a number.
+    """
+    from ..operators.position import POSITION, number_rows
+
+    odd = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return docs.withColumn(key, F.col("doc_id").cast("long")), False
+    hashed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha": F.sha2(text_of("text"), 256)})
+    names = hashed.select(F.col("_id").alias("_i"), F.col("_sha").alias("_s")).distinct().withColumn("_null", F.col("_i").isNull())
+    numbered = cut(number_rows(names, "_null", F.coalesce("_i", F.lit(0)), "_s").select("_i", "_s", F.col(POSITION).alias(key)))
+    return hashed.join(numbered, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s"))).drop("_id", "_sha", "_i", "_s"), True
+
+
+_STAGES: list[tuple[SparkSession, str]] = []
+
+
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    """The URI of a folder, not made yet, for a stage's table in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+    """The URI of a folder, not made yet, for a stage's table in the shared folder; drop_stages removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+    _STAGES.append((spark, path))
+    return path
+
+
+def drop_stages(keep: str | None = None) -> None:
+    """Removes this process's stage tables but for `keep`; called at its end too, where the session still lives."""
+    held = [x for x in _STAGES if x[1] == keep]
+    gone = [x for x in _STAGES if x[1] != keep]
+    _STAGES[:] = held
+    for spark, path in gone:
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+atexit.register(drop_stages)

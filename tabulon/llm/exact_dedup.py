@@ -25,7 +25,6 @@ from .common import slices, text_of
 TRIE_BYTES = 48 << 20
 #: A run of ASCII white space that isn't one space already.
 ODD_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-_NO_ID = (1 << 63) - 1
 
 
 class Patricia:
@@ -37,7 +36,7 @@ class Patricia:
         self.root: list = [b"", {}, None]  # edge label, children by first byte, terminal
         self.bytes = 0
 
-    def add(self, key: bytes, low: int, rows: int, tag: object) -> list:
+    def add(self, key: bytes, low: int | None, rows: int, tag: object) -> list:
         node, at = self.root, 0
         while True:
             if at == len(key):
@@ -45,7 +44,8 @@ class Patricia:
                     node[2] = [low, rows, tag]
                 else:
                     own = node[2]
-                    own[0], own[1] = min(own[0], low), own[1] + rows
+                    own[0] = low if own[0] is None else own[0] if low is None else min(own[0], low)
+                    own[1] += rows
                 return node[2]
             child = node[1].get(key[at])
             if child is None:
@@ -107,7 +107,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, sha, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             trie = tries.setdefault((len(text), sha[0]), Patricia())
             before = trie.bytes
-            trie.add(text, _NO_ID if doc_id is None else doc_id, 1, sha)
+            trie.add(text, doc_id, 1, sha)
             held += trie.bytes - before
         if held > TRIE_BYTES:
             largest = sorted(tries, key=lambda k: tries[k].bytes, reverse=True)
@@ -159,12 +159,18 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     plain = docs.select(F.col(doc_id).cast("long").alias("_id"), normal_text(text).alias("_text"))
     keyed = plain.select("_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), "_text")
     ids = keyed.select("_id", F.octet_length("_text").cast("long").alias("_len"), "_sha")
-    low = F.when(F.col("_low") != _NO_ID, F.col("_low"))
     return ids.join(text_owners(keyed), _KEYS).select(
-        F.col("_id").alias("doc_id"), low.alias("keep_id"), F.col("_rows").alias("group_size"), F.col("_id").eqNullSafe(low).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")
+        F.col("_id").alias("doc_id"), F.col("_low").alias("keep_id"), F.col("_rows").alias("group_size"), F.col("_id").eqNullSafe(F.col("_low")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")
     )
 
 
+def unique(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text no row of a smaller id has, decided by id and text: a row of the same id with another text stands for itself."""
+    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct()
+    held = docs.withColumn("_sha", F.sha2(normal_text(), 256))
+    return held.join(gone, (F.col("_sha") == F.col("_gone")) & held["doc_id"].eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+
+
 ORACLE = r"""
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)

@@ -512,3 +512,27 @@ def test_pipeline(spark):
     assert {r.doc_id for r in final} == left["decontamination"][1] and left["decontamination"][1] < left["decontamination"][0]
     kept = corpus_pipeline.exact_stage(spark, docs.limit(0), SF)
     assert kept.count() == 0
+
+
+def test_pipeline_decides_by_row(spark):
+    """Repeated ids with other texts, rows without an id and repeated rows lose nothing but copies."""
+    import corpus_pipeline as cp
+
+    other, third, far = prose(90), prose(90), prose(70)
+    near = other.replace(other.split()[40], "else")
+    rows = [(1, "a b c"), (5, "a b c"), (5, "quite another text"), (5, other), (None, "a  b c"), (None, third), (None, third), (None, None), (7, near), (8, far), (8, far), (9, None), (2**63 - 1, "alone at the last id")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 3) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want = sorted([(1, "a b c"), (5, "quite another text"), (5, other), (None, third), (None, third), (7, near), (8, far), (8, far), (9, None), (2**63 - 1, "alone at the last id")], key=str)
+    exact = cp.exact_stage(spark, docs, SF)
+    assert exact.columns == cp.COLUMNS and pairs(exact) == want
+    stayed = cp.near_stage(spark, exact, SF)
+    gone = sorted([(1, "a b c"), (5, "quite another text"), (5, other), (None, third), (8, far), (9, None), (2**63 - 1, "alone at the last id")], key=str)
+    assert stayed.columns == cp.COLUMNS and pairs(stayed) == gone
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    held = spark.createDataFrame([(5, f"{third} {item}", "en", "s", 1), (5, third, "en", "s", 1), (None, item, "en", "s", 1), (None, other, "en", "s", 1)], docs.schema)
+    assert pairs(cp.decontamination_stage(spark, held, SF)) == sorted([(5, third), (None, other)], key=str)
+    plain = cp.decontamination_stage(spark, held.where("doc_id is not null").withColumn("doc_id", F.length("text").cast("long")), SF)
+    assert [r.text for r in plain.collect()] == [third]
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
