@@ -1,8 +1,11 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 quality: documents that the classifier rejects go. exact dedup: of equal texts the smallest doc_id stays. near dedup: one document
-of each group stays. decontamination: documents that hold a benchmark item go. bpe: ids, counts and digests of what is left.
-Rows with a null doc_id can't be named by another row: they pass the exact and near stages unless their text has a kept owner.
+of each group stays, the one of the smallest id. decontamination: documents that hold a benchmark item go. bpe: ids, counts and
+digests of what is left.
+
+Decisions are by row, never by doc_id alone: rows of one doc_id with different texts are documents of their own, as are rows
+without an id, which rank after all others. Of rows that repeat both id and text one passes the near and later stages.
 """
 
 from __future__ import annotations
@@ -11,9 +14,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
-from tabulon.llm.common import new_stage_path
+from tabulon.llm.common import drop_stages, new_stage_path, with_row_key
 from tabulon.llm.queries import table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,21 +29,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in `gone`; Spark broadcasts the ids only below its own size limit."""
-    return docs.select(*COLUMNS).join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.unique(docs.select(*COLUMNS))
+
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a number for each row (`_row`), rows that repeat id and text once, and the operators' view of them: that number as doc_id, and the text."""
+    held, odd = with_row_key(docs.select(*COLUMNS))
+    held = held.dropDuplicates(["_row"]) if odd else held
+    return held, held.select(F.col("_row").alias("doc_id"), "text")
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept and doc_id is not null"))
+
+def _without(held: DataFrame, gone: DataFrame) -> DataFrame:
+    """held but for the rows numbered in `gone`; Spark broadcasts the numbers only below its own size limit."""
+    return held.join(gone.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup.near_dedup(docs).where("doc_id != component_id"))
+    held, view = _keyed(docs)
+    return _without(held, near_dedup.near_dedup(view).where("doc_id != component_id")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    held, view = _keyed(docs)
+    return _without(held, decontaminate.contaminated(view, table(spark, sf_dir, "benchmark"))).select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         path = new_stage_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_stages(path)  # the one before has been read
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
