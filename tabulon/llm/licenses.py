@@ -2,22 +2,23 @@
 
 Some hundreds of hand-written patterns, each behind a keyword, find licence names, notices, addresses and SPDX tags. A text is
 searched only by rules whose keyword it holds, both with each run of blanks and comment marks as one space; every text that a
-pattern matches holds its keyword. Each match is an interval; one that lies within the interval of a
-rule of equal or higher priority (and isn't equal to it at equal priority with an earlier rule's) is suppressed, so that
+pattern matches holds its keyword. Each match is an interval and a row of its own, without the text; one that lies within the interval of
+a match of a higher priority, or of a larger or earlier one of equal priority, is suppressed, so that
 "GNU Lesser General Public License" isn't reported as the plain one by these rules. Base phrases are counted on words besides,
-and their labels stay whatever the rules say.
+and their labels stay whatever the rules say. Time and memory of a text grow as its length and matches, sorted once.
 
 score: the confidence of the best match left, 0.6 with base phrases only, else 0.
 
 Defined cases: null text counts as empty (no words, no labels: ""); repeated rows and null ids give a row each; an
-empty table gives an empty table; only doc_id and text are read.
+empty table gives an empty table; only doc_id and text are read, so columns of any other name don't matter; a text of any length is
+searched whole; of equal intervals of equal priority the earlier rule's stays.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, ascii_lower, text_of
@@ -113,40 +114,40 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return F.filter(at, here)
 
 
-def detections(gated: DataFrame) -> DataFrame:
-    """gated (doc key columns, _low, the lower-cased text, and _plain, the same for keywords) with _found: labels and confidences that are left."""
-    table = rules()
-    literal = F.array(*(F.struct(F.lit(plain(k)).alias("key"), F.lit(label).alias("label"), F.lit(p).alias("pattern"), F.lit(rank).alias("rank"), F.lit(sure).alias("sure"), F.lit(i).alias("nr")) for i, (k, label, p, rank, sure) in enumerate(table)))
-    kind = "array<struct<s:int,e:int,label:string,rank:int,sure:double,nr:int>>"
-    none = F.array().cast(kind)
+def _matches() -> Column:
+    """Of a row with _low, the lower-cased text, and _plain, the same for keywords: nr, k, gap and hit of the k-th match of each rule.
 
-    def matches(rule: Column) -> Column:
-        """A rule with its matches and the texts between them, each found once."""
-        return F.struct(rule.alias("rule"), F.regexp_extract_all(F.col("_low"), rule["pattern"], F.lit(0)).alias("hit"), F.split(F.col("_low"), rule["pattern"], -1).alias("gaps"))
+    gap: characters between the match before and this one, hit: those of the match.
+    """
+    literal = F.array(*(F.struct(F.lit(plain(k)).alias("key"), F.lit(p).alias("pattern"), F.lit(i).alias("nr")) for i, (k, _, p, _, _) in enumerate(rules())))
+    active = F.filter(literal, lambda r: F.contains(F.col("_plain"), r["key"]) & F.regexp_like(F.col("_low"), r["pattern"]))
+    found = F.transform(active, lambda r: F.struct(r["nr"].alias("nr"), F.regexp_extract_all(F.col("_low"), r["pattern"], F.lit(0)).alias("hits"), F.split(F.col("_low"), r["pattern"], -1).alias("gaps")))
 
-    def spans(m: Column) -> Column:
-        """Intervals of a rule's matches: the lengths of the texts between give their starts."""
-        zero, rule = F.struct(F.lit(0).alias("at"), none.alias("out")), m["rule"]
+    def places(m: Column) -> Column:
+        one = lambda h, i: F.struct(m["nr"].alias("nr"), i.alias("k"), F.length(F.get(m["gaps"], i)).alias("gap"), F.length(h).alias("hit"))
+        return F.transform(m["hits"], one)
 
-        def step(acc: Column, i: Column) -> Column:
-            s = acc["at"] + F.length(F.element_at(m["gaps"], i))
-            e = s + F.length(F.element_at(m["hit"], i))
-            own = F.struct(s.alias("s"), e.alias("e"), rule["label"].alias("label"), rule["rank"].alias("rank"), rule["sure"].alias("sure"), rule["nr"].alias("nr"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+    return F.when(F.col("_low") != "", F.flatten(F.transform(found, places)))
 
-        return F.when(F.size(m["hit"]) > 0, F.aggregate(F.sequence(F.lit(1), F.size(m["hit"])), zero, step)["out"]).otherwise(none)
 
-    active = F.filter(literal, lambda r: F.contains(F.col("_plain"), r["key"]) & F.regexp_like(F.col("_low"), r["pattern"]))
-    every = F.flatten(F.transform(F.transform(active, matches), spans))
-    found = gated.withColumn("_spans", F.when(F.col("_low") != "", every).otherwise(none))
+def located(matches: DataFrame) -> DataFrame:
+    """_row, nr, k, gap and hit with the interval of each match, s to e, in characters."""
+    w = Window.partitionBy("_row", "nr").orderBy("k")
+    start = F.sum("gap").over(w) + F.sum("hit").over(w) - F.col("hit")
+    return matches.withColumn("s", start).withColumn("e", F.col("s") + F.col("hit"))
 
-    def beats(other: Column, own: Column) -> Column:
-        covers = (other["s"] <= own["s"]) & (other["e"] >= own["e"])
-        same = (other["s"] == own["s"]) & (other["e"] == own["e"])
-        return covers & ((other["rank"] > own["rank"]) | ((other["rank"] == own["rank"]) & (~same | (other["nr"] < own["nr"]))))
 
-    left = F.filter("_spans", lambda own: ~F.exists("_spans", lambda other: beats(other, own)))
-    return found.withColumn("_found", left).drop("_spans", "_plain")
+def suppressed(spans: DataFrame, ranks: list[int]) -> DataFrame:
+    """spans (_row, s, e, rank, nr) with `beaten`: whether another interval of its row covers it by the rule of the module.
+
+    In the order of start, then longer, higher rank and earlier rule first, all that can beat a span stands before it; it is beaten if
+    an end before it, of its rank or a higher one, reaches its own. So running maxima, one for each rank, decide.
+    """
+    w = Window.partitionBy("_row").orderBy("s", F.desc("e"), F.desc("rank"), "nr").rowsBetween(Window.unboundedPreceding, -1)
+    beaten = F.lit(False)
+    for r in sorted(set(ranks)):
+        beaten = F.when(F.col("rank") == r, F.max(F.when(F.col("rank") >= r, F.col("e"))).over(w) >= F.col("e")).otherwise(beaten)
+    return spans.withColumn("beaten", F.coalesce(beaten, F.lit(False)))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -161,14 +162,23 @@ def license_scan(docs: DataFrame) -> DataFrame:
     words = F.when(F.contains("_low", F.lit("license")), F.regexp_extract_all("_low", F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
     at = low.withColumn("_w", words)
     at = at.withColumns({f"_b{i}": _phrase_starts(F.col("_w"), p) for i, (p, _) in enumerate(BASE)}).drop("_w")
-    at = detections(at)
     places = F.concat(*(F.col(f"_b{i}") for i in range(len(BASE))))
     base = F.array_sort(F.filter(F.array(*(F.when(F.size(f"_b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE))), lambda x: x.isNotNull()))
-    every = F.array_sort(F.array_distinct(F.concat(base, F.transform("_found", lambda s: s["label"]))))
-    score = F.greatest(F.when(F.size(places) > 0, F.lit(0.6)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("_found", lambda s: s["sure"])), F.lit(0.0)))
-    return at.select(
-        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"), F.col("_found").alias("detections"),
+    own = {"n_words": F.col("n_words"), "n_base": F.size(places).cast("long"), "first_word": F.array_min(places).cast("long"), "last_word": F.array_max(places).cast("long"), "base": base}
+    # a row of its own for each match; the text goes no further
+    numbered = at.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *(c.alias(n) for n, c in own.items()), _matches().alias("m"))
+    each = numbered.select("_row", "doc_id", *own, F.explode_outer("m").alias("m"))
+    each = each.select("_row", "doc_id", *own, "m.*").repartition("_row")
+    table = rules()
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("nr"))
+    spans = located(each).withColumn("rank", of([r[3] for r in table]))
+    spans = suppressed(spans, [r[3] for r in table])
+    left = F.when(F.col("nr").isNotNull() & ~F.col("beaten"), F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), of([r[1] for r in table]).alias("label"), "rank", of([r[4] for r in table]).alias("sure"), "nr"))
+    rows = spans.withColumn("left", left).groupBy("_row").agg(*(F.first(n).alias(n) for n in ("doc_id", *own)), F.collect_set("left.label").alias("found"), F.max("left.sure").alias("sure"), F.array_sort(F.collect_list("left")).alias("detections"))
+    score = F.greatest(F.when(F.col("n_base") > 0, F.lit(0.6)).otherwise(F.lit(0.0)), F.coalesce("sure", F.lit(0.0)))
+    return rows.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", "found"))), ",").alias("labels"), score.alias("score"), "detections",
     )
 
 

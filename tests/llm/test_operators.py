@@ -379,6 +379,50 @@ def test_license_notices_wrapped(spark):
     assert [got[i].labels for i in range(len(marked))] == [x for _, x in marked]
 
 
+def test_license_suppression(spark):
+    """Random intervals against the rule of the module, each with each."""
+    rows = [(row, k, s, s + R.randint(1, 12), R.choice((50, 55, 60, 90)), R.randint(0, 5)) for row in range(60) for k in range(R.randint(1, 25)) for s in [R.randint(0, 30)]]
+    rows = list({(r[0], r[2], r[3], r[4], r[5]): r for r in rows}.values())
+    ranks = {}
+    rows = [(row, k, s, e, ranks.setdefault(nr, rank), nr) for row, k, s, e, rank, nr in rows]  # a rule has one priority
+    rows = list({(r[0], r[2], r[3], r[5]): r for r in rows}.values())
+
+    def beats(o, x):
+        same = (o[2], o[3]) == (x[2], x[3])
+        return o is not x and o[2] <= x[2] and o[3] >= x[3] and (o[4] > x[4] or o[4] == x[4] and (not same or o[5] < x[5]))
+
+    got = licenses.suppressed(spark.createDataFrame(rows, "_row long, k int, s long, e long, rank int, nr int"), list(ranks.values())).collect()
+    want = {(x[0], x[1], x[2], x[3], x[5]): any(beats(o, x) for o in rows if o[0] == x[0]) for x in rows}
+    assert {(r._row, r.k, r.s, r.e, r.nr): r.beaten for r in got} == want and {True, False} == set(want.values())
+
+
+def test_license_labels_against_python(spark):
+    """Labels, scores and places of every rule's matches by Python's own engine."""
+    names = ["MIT License", "GNU Lesser General Public License v2.1", "the Apache License, Version 2.0", "BSD 3-Clause license", "CC BY-SA 4.0", "Creative Commons Attribution", "SPDX-License-Identifier: MIT", "all rights reserved", "gpl licensed", "word", "licensed under the", "released under", "zlib", "\n"]
+    texts = ["", None, *(" ".join(R.choice(names) for _ in range(R.randint(1, 14))) for _ in range(60))]
+    got = by_id(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    table = licenses.rules()
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        spans = [(m.start(), m.end(), label, rank, sure, nr) for nr, (key, label, p, rank, sure) in enumerate(table) if licenses.plain(key) in licenses.plain(low) for m in re.finditer(p, low, re.ASCII)]
+        beats = lambda o, x: o[0] <= x[0] and o[1] >= x[1] and (o[3] > x[3] or o[3] == x[3] and (o[:2] != x[:2] or o[5] < x[5]))
+        left = sorted(x for x in spans if not any(beats(o, x) for o in spans if o is not x))
+        assert [tuple(d) for d in got[i].detections] == left, text
+        assert set(got[i].labels.split(",")) - {""} == {x[2] for x in left} | (set(got[i].base_labels.split(",")) - {""})
+        assert got[i].score == max([0.6 if got[i].n_base else 0.0, *(x[4] for x in left)])
+
+
+def test_license_many_matches_in_one_text(spark):
+    """Time grows as the matches, not as their square."""
+    import time
+
+    n = 64_000
+    began = time.time()
+    got = by_id(licenses.license_scan(spark.createDataFrame([(1, "see the mit license and gpl license. " * (n // 2)), (2, "mit license"), (None, "gpl"), (2, "mit license")], "doc_id long, text string")).select("doc_id", "n_base", "labels", F.size("detections").alias("n")))
+    assert (got[1].n, got[1].n_base, got[1].labels) == (n, n // 2, "gpl,mit") and got[None].labels == ""
+    assert time.time() - began < 60
+
+
 def test_hundreds_of_rules():
     assert len(licenses.rules()) > 200 and all(re.compile(r[2]) for r in licenses.rules())
 
