@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +98,72 @@ def with_row_key(docs: DataFrame, key: str = "_row") -> tuple[DataFrame, bool]:
     return hashed.join(numbered, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s"))).drop("_id", "_sha", "_i", "_s"), True
 
 
+_PIECE = 1 << 18
+_U = np.uint64
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_LETTER = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWER = np.full(2 * _PIECE, _U(_BASE)).cumprod(dtype=np.uint64)
+_INVERSE = np.full(2 * _PIECE, _U(pow(_BASE, -1, 1 << 64))).cumprod(dtype=np.uint64)
+_ANY_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values."""
+    x = x ^ (x >> _U(32))
+    x = x * _U(0xD6E8FEB86659FD93)
+    x = x ^ (x >> _U(32))
+    x = x * _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(32))
+
+
+def _hashed(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a piece and whether it is the end mark: a polynomial in random values of its bytes, by running sums."""
+    x = np.frombuffer(piece, np.uint8)
+    blank = np.ones(len(x) + 2, np.int8)
+    blank[1:-1] = _BLANK[x]
+    turn = np.diff(blank)
+    start, stop = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_LETTER[x] * _POWER[: len(x)], out=sums[1:])
+    size = stop - start
+    h = mix((sums[stop] - sums[start]) * _INVERSE[start] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > _PIECE // 2):
+        h[i] = xxhash.xxh64_intdigest(piece[start[i] : stop[i]])
+    return h, x[start] == 255 if len(start) else np.zeros(0, bool)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words between ASCII white space, A to Z lower-cased, of each text and of an end mark after each; and where each text ends.
+
+    Words longer than half a piece are hashed by themselves, so memory doesn't grow with texts or words.
+    """
+    data = b" \xff ".join((t or "").encode("utf-8", "replace") for t in texts).translate(_TO_LOWER) + b" \xff" if texts else b""
+    hashes, ends, at = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], 0
+    while at < len(data):
+        stop = at + _PIECE
+        if stop < len(data):
+            found = max(data.rfind(b, at, stop) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if found <= at:  # one long word: up to the next blank
+                after = _ANY_BLANK.search(data, stop)
+                stop = after.start() if after else len(data)
+                if not _BLANK[data[at]]:
+                    hashes.append(np.array([xxhash.xxh64_intdigest(data[at:stop])], np.uint64))
+                    ends.append(np.zeros(1, bool))
+                    at = stop
+                    continue
+                at += 1
+                continue
+            stop = found
+        h, e = _hashed(data[at:stop])
+        hashes.append(h)
+        ends.append(e)
+        at = stop
+    return np.concatenate(hashes), np.flatnonzero(np.concatenate(ends)) + 1
+
+
 _STAGES: list[tuple[SparkSession, str]] = []
 
 

@@ -35,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, words_of
+from .common import cut, mix, slices, word_hashes, words_of
 
 SIDE, ROWS, SKETCH, BLOCK, SHARE = 14, 3, 128, 512, 64
-WORDS_HELD, SLICE = 200_000, 4 << 20
+SLICE = 4 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20_240_117)
 _MUL = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) * _U(2) + _U(1)
@@ -46,34 +46,13 @@ _ADD = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64)
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * _U(2) + _U(1)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_HELD:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit values."""
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
-    if not words:
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles, from those of its words."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     width = min(width, len(h))
     n = len(h) - width + 1
-    total = np.full(n, _U(len(words) if n == 1 and len(words) < width else 0))
+    total = np.zeros(n, np.uint64)
     for k in range(width):
         total = mix(total + h[k : k + n] * _STEP[k % 16] + _U(k))
     return np.unique(total)
@@ -107,19 +86,19 @@ def _signatures(width: int, side: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
-                s = shingle_hashes(words, width)
+            rows, texts = [], b.column(1).to_pylist()
+            hashes, ends = word_hashes(texts)
+            starts = np.append(0, ends[:-1])
+            for doc_id, text, start, end in zip(b.column(0).to_pylist(), texts, starts.tolist(), ends.tolist()):
+                s = shingle_hashes(hashes[start : end - 1], width)
                 if not len(s):
                     rows.append((doc_id, 0, 0, 0, None, None, None))
                     continue
                 m = minhashes(s)
                 one, two = bands(m, side)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
+                digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words_of(text))), np.int64)
                 rows.append((doc_id, len(s), int(digest[0]), int(digest[1]), one.view(np.int64), (two >> _U(32)).astype(np.uint32).view(np.int32), mix(m).astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-        _HASHES.clear()  # the worker may go on with other stages
 
     return run, "doc_id long, n_shingles long, d1 long, d2 long, keys_a array<long>, keys_b array<int>, sketch binary"
 

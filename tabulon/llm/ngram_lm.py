@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney model of any order from two, counted in Spark, stored as sorted arrays and mapped by workers.
 
 Words: runs between ASCII white space with A to Z lower-cased, then one end token a text; a text's first word follows a start mark.
-1. Unigram counts by word hash (xxh64), partly aggregated by task, summed in Spark and written sorted as the vocabulary:
+1. Unigram counts by word hash (64 bits), partly aggregated by task, summed in Spark and written sorted as the vocabulary:
    its positions are word numbers. All counts are exact over the whole training corpus.
 2. For each order n from 2: an n-gram is 64 bits, the number of the (n-1)-gram before and that of the word. Each task sorts those of its texts
    and sends their counts to ranges of contexts as compressed runs of differences; each range, about RANGE tokens, is merged into one
@@ -25,43 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_shared_path, slices, words_of
+from .common import new_shared_path, slices, word_hashes
 from .language_id import held_out
 
-RANGE, WORDS_HELD, FEW = 4_000_000, 400_000, 32
+RANGE, FEW = 4_000_000, 32
 _U = np.uint64
-END = xxhash.xxh64_intdigest(b"\n")  # no word: words hold no newline
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_HELD:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
-def token_hashes(text: str | None) -> np.ndarray:
-    """The hash of each token, the end included."""
-    words = words_of(text)
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
-
-
-def _unmix(x: np.ndarray) -> np.ndarray:
-    inverse = _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-    back = lambda y: y ^ (y >> _U(32))  # noqa: E731  (its own inverse)
-    return back(back(back(x) * inverse) * inverse)
 
 
 def _save(path: str, array: np.ndarray) -> None:
@@ -81,9 +53,9 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     for b in slices(batches, "text"):
-        hashes = [token_hashes(t) for t in b.column(0).to_pylist()]
-        if hashes:
-            u, c = np.unique(np.concatenate(hashes), return_counts=True)
+        hashes, _ = word_hashes(b.column(0).to_pylist())
+        if len(hashes):
+            u, c = np.unique(hashes, return_counts=True)
             held.append((u, c.astype(np.int64)))
             size += len(u)
             if size > 2_000_000:
@@ -164,9 +136,8 @@ def _opened(kind: type, folder: str, *args: int):
 
 def _tokens(texts: list[str | None], words: _Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts in a row: number and count of each token, and past-last token of each text."""
-    hashes = [token_hashes(t) for t in texts]
-    ends = np.cumsum([len(h) for h in hashes])
-    u, back = np.unique(np.concatenate(hashes), return_inverse=True)
+    hashes, ends = word_hashes(texts)
+    u, back = np.unique(hashes, return_inverse=True)
     number, count = words.numbers(u)
     return number[back], count[back], ends
 
@@ -263,7 +234,7 @@ class _Level:
             if len(few):
                 start = np.cumsum(size[few]) - size[few]
                 at = np.repeat(lo[few] - start, size[few]) + np.arange(size[few].sum())
-                out[own.start + few] = _sums(self._counts(r, at), start)
+                out[own.start + few] = _few_sums(self._counts(r, at), start)
             many = np.flatnonzero(size > FEW)
             if len(many):
                 out[own.start + many] = self._load(r)[4][np.searchsorted(self._load(r)[3], ctx[own][many])]
@@ -271,9 +242,16 @@ class _Level:
 
 
 def _sums(c: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The total of each group of counts that begins at `start`, and how many are 1, 2 and more."""
     return np.stack([np.add.reduceat(x.astype(np.int64), start) for x in (c, c == 1, c == 2, c > 2)], 1)
 
 
+def _few_sums(c: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The same of groups of at most FEW counts, in two passes."""
+    kinds = np.add.reduceat(np.array([0, 1, 1 << 16, 1 << 32], np.int64)[np.minimum(c, 3)], start)
+    return np.stack([np.add.reduceat(c, start), kinds & 0xFFFF, kinds >> 16 & 0xFFFF, kinds >> 32], 1)
+
+
 def _finish(folder: str, n: int, r: int, keys: np.ndarray, c: np.ndarray, bits: int) -> None:
     """Writes the counts of a range, the sums after its contexts of many words, and its counts of counts."""
     ctx = (keys >> _U(bits)).astype(np.int64)
