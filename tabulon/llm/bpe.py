@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import claim, slices
 
 #: Entries of a worker's cache of encoded pieces, distinct words put into one trie, and characters of the texts whose
 #: new pieces are encoded together, bytes of texts in hand, and joins of two tokens whose lawfulness is remembered.
@@ -339,6 +339,12 @@ def decoder(path: str) -> Decoder:
     return _DECODERS[path]
 
 
+def forget() -> None:
+    """Drops the vocabularies and caches of this process."""
+    _LOADED.clear()
+    _DECODERS.clear()
+
+
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
@@ -348,23 +354,21 @@ def _rows(b: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), column], names=[*(b.schema.names[i] for i in keep), name])
 
 
-def bpe_encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """Adds `to`, the ids of every whole text (array of int)."""
-
+def _encoder(path: str, text: str, to: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", forget)
         bpe = tokenizer(path)
         for b in slices(batches, text, SLICE):
             got = bpe.encode_batch(b.column(b.schema.get_field_index(text)).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             yield _rows(b, to, pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), np.int32))))
 
-    return df.mapInArrow(run, _with(df, to, T.ArrayType(T.IntegerType())))
+    return run
 
 
-def bpe_decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds `to`, the text that the ids stand for; null ids give the empty text."""
-
+def _decoder(path: str, ids: str, to: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", forget)
         own = decoder(path)
         for b in slices(batches, ids, SLICE):
             lists = b.column(b.schema.get_field_index(ids))
@@ -372,12 +376,28 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)), lists.flatten())
             yield _rows(b, to, own.decode_batch(flat))
 
-    return df.mapInArrow(run, _with(df, to, T.StringType()))
+    return run
+
+
+def bpe_encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
+    """Adds `to`, the ids of every whole text (array of int)."""
+    return df.mapInArrow(_encoder(path, text, to), _with(df, to, T.ArrayType(T.IntegerType())))
+
+
+def bpe_decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """Adds `to`, the text that the ids stand for; null ids give the empty text."""
+    return df.mapInArrow(_decoder(path, ids, to), _with(df, to, T.StringType()))
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, derived from real ids and decoded texts."""
-    both = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, derived from real ids and decoded texts; one worker does both."""
+    encode, decode = _encoder(path, "text", "ids"), _decoder(path, "ids", "decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in decode(encode(batches)):
+            yield b.select(["doc_id", "ids", "decoded"])
+
+    both = docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

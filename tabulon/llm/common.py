@@ -8,7 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -108,6 +108,8 @@ _POWER = np.full(2 * _PIECE, _U(_BASE)).cumprod(dtype=np.uint64)
 _INVERSE = np.full(2 * _PIECE, _U(pow(_BASE, -1, 1 << 64))).cumprod(dtype=np.uint64)
 _ANY_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Lower-cases, and makes blanks of ASCII that is no letter.
+LETTERS = bytes(32 if i < 128 and not chr(i).isalpha() else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,12 +137,12 @@ def _hashed(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, x[start] == 255 if len(start) else np.zeros(0, bool)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], table: bytes = _TO_LOWER) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words between ASCII white space, A to Z lower-cased, of each text and of an end mark after each; and where each text ends.
 
-    Words longer than half a piece are hashed by themselves, so memory doesn't grow with texts or words.
+    table: what bytes count as, another than lower-casing for words of another kind. Words longer than half a piece are hashed by themselves, so memory doesn't grow with texts or words.
     """
-    data = b" \xff ".join((t or "").encode("utf-8", "replace") for t in texts).translate(_TO_LOWER) + b" \xff" if texts else b""
+    data = b" \xff ".join((t or "").encode("utf-8", "replace") for t in texts).translate(table) + b" \xff" if texts else b""
     hashes, ends, at = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], 0
     while at < len(data):
         stop = at + _PIECE
@@ -167,6 +169,17 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 _STAGES: list[tuple[SparkSession, str]] = []
 
 
+_CACHES: dict[str, Callable[[], object]] = {}
+
+
+def claim(name: str, forget: Callable[[], object] | None = None) -> None:
+    """Called where a worker begins a task of an operator: what other operators cached in this process goes, so that it holds one's caches at a time."""
+    for other in [x for x in _CACHES if x != name]:
+        _CACHES.pop(other)()
+    if forget:
+        _CACHES[name] = forget
+
+
 def new_stage_path(spark: SparkSession, name: str) -> str:
     """The URI of a folder, not made yet, for a stage's table in the shared folder; drop_stages removes it."""
     path = f"{shared_folder(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"

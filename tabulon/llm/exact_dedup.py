@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import claim, slices, text_of
 
 TRIE_BYTES = 48 << 20
 #: A run of ASCII white space that isn't one space already.
@@ -103,6 +103,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [(len(t), end[2], t, end[0], end[1]) for k in keys[i : i + 256] for t, end in tries.pop(k).items()]
             yield _batch(rows, [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()], ["_len", "_sha", "_text", "_low", "_rows"])
 
+    claim("exact_dedup")
     for b in slices(batches, "_text"):
         for doc_id, sha, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             trie = tries.setdefault((len(text), sha[0]), Patricia())

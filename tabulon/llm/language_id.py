@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import claim, slices
 
 DIMENSIONS, PARTS, SMOOTH, AMBIGUOUS, LANGUAGES = 1 << 15, 32, 0.05, 0.05, 400
 
@@ -127,6 +127,7 @@ def predict(docs: DataFrame, model: EcocModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats a bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
         m = shared.value
         for b in slices(batches, "text"):
             got = [m.predict(t) for t in b.column(1).to_pylist()]

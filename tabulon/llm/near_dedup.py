@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices, word_hashes, words_of
+from .common import claim, cut, mix, slices, word_hashes, words_of
 
 SIDE, ROWS, SKETCH, BLOCK, SHARE = 14, 3, 128, 512, 64
 SLICE = 4 << 20
@@ -85,6 +85,7 @@ def _signatures(width: int, side: int):
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup")
         for b in slices(batches, "text", SLICE):
             rows, texts = [], b.column(1).to_pylist()
             hashes, ends = word_hashes(texts)

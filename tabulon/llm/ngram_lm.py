@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_shared_path, slices, word_hashes
+from .common import claim, new_shared_path, slices, word_hashes
 from .language_id import held_out
 
 RANGE, FEW = 4_000_000, 32
@@ -335,6 +335,7 @@ def _count(docs: DataFrame, folder: str, n: int, order: int, ranges: int, kinds:
         return pa.RecordBatch.from_arrays([pa.array([r for r, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["r", "run"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams", _OPEN.clear)
         words, levels, held, size = _opened(_Vocabulary, folder), _levels(folder, n - 1, ranges, contexts, bits), [], 0
         for b in slices(batches, "text"):
             if b.num_rows:
@@ -417,6 +418,7 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
     m = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams", _OPEN.clear)
         words, bits = _opened(_Vocabulary, m.folder), m.kinds.bit_length()
         levels = _levels(m.folder, len(m.sizes), m.ranges, [m.kinds + 1, *m.sizes[1:]], bits)
         edges, uniform = _edges(m.ranges, m.kinds), 1 / (m.kinds + 1)

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import TrieBpe, tokenizer
-from .common import slices
+from .bpe import forget as bpe_forget
+from .common import claim, slices
 
 LEAF, COUNTS_HELD, KEPT_CHARS, SLICE = 64, 400_000, 64, 4 << 20
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("insert", T.StringType())]))
@@ -73,6 +74,11 @@ class Counts:
 _COUNTS: dict[int, Counts] = {}
 
 
+def forget() -> None:
+    _COUNTS.clear()
+    bpe_forget()
+
+
 def counter(bpe: TrieBpe) -> Counts:
     return _COUNTS.setdefault(id(bpe), Counts(bpe))
 
@@ -240,6 +246,7 @@ def count_trees(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The tree of each document as a row: doc_id, n_pretokens, n_tokens, n_reencoded (0) and its leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("counts", forget)
         bpe = tokenizer(path)
         for b in slices(batches, "text", SLICE):
             made = zip(b.column(0).to_pylist(), _trees(bpe, b.column(1).to_pylist()))
@@ -256,6 +263,7 @@ def edit_trees(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
     held = trees.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("counts", forget)
         bpe = tokenizer(path)
         for b in slices(batches, "leaves", SLICE):
             rows = []
@@ -275,6 +283,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", edits: str = "e
     """Counts of each document before and after its edits, an array of (start, stop, insert) in characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("counts", forget)
         bpe = tokenizer(path)
         for b in slices(batches, "text", SLICE):
             rows = []
