@@ -4,13 +4,16 @@ A logistic model of plain text features gives each document's evidence (a log li
 good documents each; the rate of a path is shrunk toward its host's and that of a host toward the global one, by Beta priors whose
 strengths are fitted by the method of moments. A document's posterior joins its evidence with its path's rate.
 
-`source` is read as host/path; where it has no path, the language stands for it. The logistic model is fitted on at most
-`sample` labelled rows (smallest hashes first); rates come from all documents by grouped aggregation, before any text moves.
-The target is the label `quality`; toxicity is another label and isn't judged here.
+`source` is read as host/path; where it has no path, the language stands for it. The models are fitted on at most `sample`
+labelled rows (smallest hashes first); rates come from all documents by grouped aggregation. Evidence is computed once for each text.
+The target of `keep` is the label `quality`. The label `toxic` is another matter, as toxic texts may be well written: a second model, of
+the hashed words that speak most for the label, gives `toxicity`, the probability by the text alone; it doesn't change `keep`.
 
 Defined cases: null text has the features of the empty text, null source or lang are groups of their own; with no usable
-label, or labels of one kind only, every evidence is 0 and the prior is the share of good labels (1 without labels);
-documents with a null id have no label; labels that repeat or disagree count as they are; extra columns are kept.
+label, or labels of one kind only, every evidence is 0 and the prior is the share of good labels (1 without labels), and toxicity 0;
+documents with a null id have no label; labels that repeat or disagree count as they are; a posterior just at the threshold is kept; repeated
+rows each get their result; an empty table gives an empty table. Extra columns of any name are kept, but for those named as a result,
+which the result replaces. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,21 +23,25 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import LETTERS, claim, cut, new_stage_path, word_hashes
 
 SAMPLE, THRESHOLD, RIDGE = 20_000, 0.5, 1.0
-#: Up to so many paths, of some 100 bytes each, their rates are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_PATHS = 50_000
+#: Up to so many bytes, counted before, the rates of paths are broadcast; beyond, they are joined by a shuffle with SALTS copies of each.
+BROADCAST_BYTES, SALTS = 8 << 20, 16
+#: Words of the second model at most, the documents of the label that each has at least, and the bits of a word's hash.
+TOXIC_WORDS, TOXIC_LEAST, WORD_BITS = 64, 3, 20
+SLICE = 1 << 20
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _DIGIT, _SPACE, _STOP = b"0123456789", b" \t\n\r\x0b\x0c", b".,;:'\"-()?"
 _SIGN = bytes(i for i in range(33, 127) if not chr(i).isalnum() and i not in _STOP)
 _HIGH = bytes(range(128, 256))
 _BANG = re.compile(rb"[!?]{2,}|[#$%&*]{2,}|\|")
 FEATURES = 12
+RESULTS = ["evidence", "toxicity", "host_rate", "path_rate", "posterior", "keep"]
 
 
 def features(text: str | None) -> list[float]:
@@ -71,85 +78,149 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features and labels of a bounded sample, and the share of good labels over all of them."""
-    good = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("_id"), F.least(F.greatest("quality", F.lit(0)), F.lit(1)).alias("_y"))
-    total = good.agg(F.count("*"), F.sum("_y")).first()
-    picked = good.orderBy(F.xxhash64("_id", "_y"), "_id", "_y").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most `sample` pairs of numbers
-    rows = found.select(_features(F.col("text")).alias("_x"), "_y").limit(sample).toPandas()
-    share = (total[1] or 0) / total[0] if total[0] else 1.0
-    return np.array(rows["_x"].tolist() or np.zeros((0, FEATURES))), rows["_y"].to_numpy(float), share
-
-
-def _features(text: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([features(t) for t in s], dtype=object)
+def words_in(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct hashed words, of letters only, of each text."""
+    h, ends = word_hashes(texts, LETTERS)
+    h = (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int32)
+    return [np.unique(h[s : e - 1]) for s, e in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
+
+
+class Model:
+    """What scoring a text needs: the weights of the features, the prior of their sample, and the words and weights for toxicity."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, words: list[np.ndarray], toxic: np.ndarray):
+        self.weights, self.prior = fit(x, y), 0.0
+        if self.weights.any():
+            mean = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+            self.prior = math.log(mean / (1 - mean))
+        self.words, self.toxic = np.zeros(0, np.int32), None
+        known = np.flatnonzero(toxic >= 0)  # not every label tells
+        bad = [words[i] for i in known if toxic[i]]
+        if 0 < len(bad) < len(known):
+            every = np.concatenate([words[i] for i in known])
+            u, n = np.unique(np.concatenate(bad), return_counts=True)
+            often = u[n >= TOXIC_LEAST]
+            both, all_n = np.unique(every, return_counts=True)
+            n, rest = n[n >= TOXIC_LEAST], all_n[np.searchsorted(both, often)]
+            odds = np.log((n + 0.5) / len(bad)) - np.log((rest - n + 0.5) / (len(known) - len(bad)))
+            order = np.lexsort((often, -odds * np.sqrt(n)))[:TOXIC_WORDS]
+            self.words = np.sort(often[order[odds[order] > 1]])
+            self.toxic = fit(np.array([self._row(words[i]) for i in known]), (toxic[known] > 0).astype(float))
+
+    def _row(self, words: np.ndarray) -> np.ndarray:
+        return np.append(1.0, np.isin(self.words, words, assume_unique=True))
+
+    def evidence(self, text: str | None) -> float:
+        """The log likelihood ratio of a text: the model's logit less that of its own sample's prior."""
+        return float(np.clip(np.dot(features(text), self.weights), -30, 30)) - self.prior
+
+    def toxicity(self, words: np.ndarray) -> float:
+        if self.toxic is None:
+            return 0.0
+        return float(1 / (1 + np.exp(-np.clip(np.dot(self._row(words), self.toxic), -30, 30))))
+
+
+def _parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, some SLICE bytes at a time."""
+    step = max(1, int(len(texts) * SLICE / max(1, texts.nbytes)))
+    for i in range(0, len(texts), step):
+        yield texts.slice(i, step).to_pylist()
+
+
+def _sample_row(text: Column) -> Column:
+    @F.arrow_udf("struct<x:array<double>,words:binary>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("quality")
+        for a in texts:
+            rows = [{"x": features(t), "words": w.tobytes()} for part in _parts(a) for t, w in zip(part, words_in(part))]
+            yield pa.array(rows, pa.struct([("x", pa.list_(pa.float64())), ("words", pa.binary())]))
 
     return run(text)
 
 
-def _evidence(text: Column, weights: list[float], prior_logit: float) -> Column:
-    """The log likelihood ratio of a text: the model's logit less that of its own sample's prior."""
+def _scores(text: Column, model: Model) -> Column:
+    kind = pa.struct([("evidence", pa.float64()), ("toxicity", pa.float64())])
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = np.array(weights)
-        for s in texts:
-            x = np.array([features(t) for t in s]).reshape(-1, FEATURES)
-            yield pd.Series(np.clip(x @ w, -30, 30) - prior_logit)
+    @F.arrow_udf("struct<evidence:double,toxicity:double>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("quality")
+        for a in texts:
+            yield pa.array([{"evidence": model.evidence(t), "toxicity": model.toxicity(w)} for part in _parts(a) for t, w in zip(part, words_in(part))], kind)
 
     return run(text)
 
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float]:
+    """The models from a bounded sample of labelled rows, and the share of good labels over all of them."""
+    good = labels.where("doc_id is not null and quality is not null")
+    toxic = F.coalesce(F.col("toxic").cast("int"), F.lit(-1)) if "toxic" in labels.columns else F.lit(-1)
+    good = good.select(F.col("doc_id").cast("long").alias("_id"), F.least(F.greatest(F.col("quality").cast("int"), F.lit(0)), F.lit(1)).alias("_y"), F.least(toxic, F.lit(1)).alias("_t"))
+    total = good.agg(F.count("*"), F.sum("_y")).first()
+    picked = good.orderBy(F.xxhash64("_id", "_y"), "_id", "_y", "_t").limit(sample)
+    found = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(F.broadcast(picked), F.col("_d") == F.col("_id"))  # at most `sample` rows of three numbers
+    rows = found.select(_sample_row(F.col("text")).alias("_x"), "_y", "_t").limit(sample).collect()
+    share = (total[1] or 0) / total[0] if total[0] else 1.0
+    x = np.array([r["_x"]["x"] for r in rows]).reshape(-1, FEATURES)
+    words = [np.frombuffer(r["_x"]["words"], np.int32) for r in rows]
+    return Model(x, np.array([r["_y"] for r in rows], float), words, np.array([r["_t"] for r in rows], int)), min(max(share, 1e-3), 1 - 1e-3)
+
+
 def _strength(n: Column, p: Column, mean: Column) -> Column:
     """The Beta prior's weight in documents, by moments over groups: mean*(1-mean)/variance - 1, kept between 1 and 10,000."""
     spread = F.sum(n * (p - mean) * (p - mean)) / F.sum(n)
     return F.least(F.greatest(F.avg(mean) * (1 - F.avg(mean)) / F.greatest(spread, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(10_000.0))
 
 
-def levels(docs: DataFrame) -> DataFrame:
-    """Adds _host and _path."""
-    host = F.coalesce(F.split_part(F.col("source"), F.lit("/"), F.lit(1)), F.lit(""))
-    path = F.when(F.instr(F.col("source"), "/") > 0, F.col("source")).otherwise(F.coalesce(F.col("lang"), F.lit("")))
-    return docs.withColumns({"_host": host, "_path": path})
+def host_of() -> Column:
+    return F.coalesce(F.split_part(F.col("source"), F.lit("/"), F.lit(1)), F.lit(""))
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with columns evidence, host_rate, path_rate, posterior and keep (posterior >= threshold)."""
-    x, y, share = _sampled(docs, labels, sample)
-    w = fit(x, y)
-    share = min(max(share, 1e-3), 1 - 1e-3) if len(y) else 1 - 1e-3
-    logit = math.log(share / (1 - share))
-    if not w.any():
-        w, prior = np.zeros(FEATURES), 0.0
-    else:
-        mean = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-        prior = math.log(mean / (1 - mean))
-    scored = levels(docs).withColumn("evidence", _evidence(F.col("text"), w.tolist(), prior))
-    p = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(logit))))
-    by_path = cut(scored.select("_host", "_path", p.alias("p")).groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
-    by_host = by_path.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+def path_of() -> Column:
+    return F.when(F.instr(F.col("source"), "/") > 0, F.col("source")).otherwise(F.coalesce(F.col("lang"), F.lit("")))
+
+
+def rates(scored: DataFrame, share: float) -> tuple[DataFrame, int]:
+    """host, path, host_rate and path_rate from columns host, path and evidence of all documents; and the bytes of it."""
+    p = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(math.log(share / (1 - share))))))
+    by_path = cut(scored.select("host", "path", p.alias("p")).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
+    by_host = by_path.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     g = by_host.agg(F.sum("hs") / F.sum("hn")).first()[0]
     g = share if g is None else g
     kh = by_host.agg(_strength(F.col("hn"), F.col("hs") / F.col("hn"), F.lit(g))).first()[0] or 1.0
-    hosts = by_host.select("_host", ((F.col("hs") + F.lit(kh * g)) / (F.col("hn") + F.lit(kh))).alias("host_rate"))
-    paths = by_path.join(hosts, "_host")
+    hosts = by_host.select("host", ((F.col("hs") + F.lit(kh * g)) / (F.col("hn") + F.lit(kh))).alias("host_rate"))
+    paths = by_path.join(hosts, "host")
     kp = paths.agg(_strength(F.col("n"), F.col("s") / F.col("n"), F.col("host_rate"))).first()[0] or 1.0
-    rates = paths.select("_host", "_path", "host_rate", ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate"))
-    if by_path.count() <= BROADCAST_PATHS:
-        rates = F.broadcast(rates)
+    size = by_path.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    return paths.select("host", "path", "host_rate", ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate")), size
+
+
+def _judged(scored: DataFrame, share: float, threshold: float) -> DataFrame:
+    """scored with host_rate, path_rate, posterior and keep."""
+    by_path, size = rates(scored, share)
+    if size <= BROADCAST_BYTES:
+        joined = scored.join(F.broadcast(by_path), ["host", "path"])
+    else:  # a path may hold a third of all rows
+        spread = by_path.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = scored.withColumn("salt", F.pmod(F.xxhash64("evidence", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        joined = salted.join(spread, ["host", "path", "salt"]).drop("salt")
     rate = F.least(F.greatest(F.col("path_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
-    return (
-        scored.join(rates, ["_host", "_path"])
-        .withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(rate / (1 - rate))))))
-        .withColumn("keep", F.col("posterior") >= threshold)
-    )
+    return joined.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(rate / (1 - rate)))))).withColumn("keep", F.col("posterior") >= threshold)
 
 
-def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document, without its text."""
-    own = docs.select("doc_id", "text", "lang", "source")
-    return quality(own, labels).select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), "evidence", "host_rate", "path_rate", "posterior", "keep")
+def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with columns evidence, toxicity, host_rate, path_rate, posterior and keep (posterior >= threshold).
+
+    The documents and their evidence are written once as a table of the shared folder.
+    """
+    model, share = train(docs, labels, sample)
+    path = new_stage_path(docs.sparkSession, "evidence")
+    docs.select(F.struct("*").alias("doc"), host_of().alias("host"), path_of().alias("path"), _scores(F.col("text"), model).alias("s")).select("doc", "host", "path", "s.*").write.parquet(path)
+    out = _judged(docs.sparkSession.read.parquet(path), share, threshold)
+    return out.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in RESULTS), *RESULTS)
+
+
+def quality_table(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, host, path and the results, one row per document, without its text."""
+    model, share = train(docs, labels, sample)
+    scored = docs.select("doc_id", host_of().alias("host"), path_of().alias("path"), _scores(F.col("text"), model).alias("s"))
+    return _judged(cut(scored.select("doc_id", "host", "path", "s.*")), share, threshold).select("doc_id", "host", "path", *RESULTS)

@@ -166,8 +166,67 @@ def test_quality(spark, corpus, docs):
     got = quality.quality_table(corpus, labels).join(labels, "doc_id").collect()
     assert sum(r.keep == bool(r.quality) for r in got) / len(got) > 0.95
     odd = quality.quality(docs, labels.limit(0))
-    assert odd.count() == docs.count() and set(docs.columns) <= set(odd.columns)
-    assert quality.quality_table(docs.limit(0), labels).count() == 0
+    assert odd.count() == docs.count() and set(odd.columns) == set(docs.columns) | set(quality.RESULTS)
+    assert quality.quality_table(docs.limit(0), labels).count() == 0 == quality.quality(docs.limit(0), labels).count()
+    assert {r.toxicity for r in quality.quality_table(corpus, labels.drop("toxic")).collect()} == {0.0}
+
+
+def test_quality_keeps_any_column(spark, corpus, monkeypatch):
+    """Columns with the names of results are replaced, all others stay; rates that are too large to broadcast give the same."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    odd = corpus.select("*", *(F.lit("own").alias(c) for c in ("path_rate", "host", "path", "doc", "s", "salt", "posterior", "_host", "_id", "_y")))
+    got = quality.quality(odd, labels)
+    assert set(got.columns) == set(odd.columns) | set(quality.RESULTS) and got.where("host = 'own' and salt = 'own' and path_rate < 1").count() == corpus.count()
+    want = {r.doc_id: (r.posterior, r.text) for r in got.collect()}
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
+    assert {r.doc_id: (r.posterior, r.text) for r in quality.quality(odd, labels).collect()} == want
+
+
+def test_quality_held_out(spark):
+    """Accuracy on labelled documents that the models haven't seen, for both labels."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    unseen = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    rows = quality.quality_table(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels.where(~unseen)).join(labels.where(unseen), "doc_id").collect()
+    good = sum(r.keep == bool(r.quality) for r in rows) / len(rows)
+    toxic = [r.toxicity >= 0.5 for r in rows if r.toxic]
+    clean = [r.toxicity < 0.5 for r in rows if not r.toxic]
+    print("held out", len(rows), good, sum(toxic) / len(toxic), sum(clean) / len(clean))
+    assert len(rows) > 500 and good > 0.97 and sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) > 0.98
+
+
+def test_quality_posterior_by_hand(spark, corpus):
+    """Rates, strengths and posteriors recomputed from the evidence, by the formulas, in plain Python."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    varied = corpus.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("/a"))).when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("source")))
+    model, share = quality.train(varied, labels)
+    text = {r.doc_id: r for r in varied.collect()}
+    groups, evidence = defaultdict(list), {}
+    for i, r in text.items():
+        evidence[i] = model.evidence(r.text)
+        host = (r.source or "").split("/")[0]
+        groups[host, r.source if r.source and "/" in r.source else r.lang or ""].append(i)
+    p = {i: 1 / (1 + np.exp(-(e + np.log(share / (1 - share))))) for i, e in evidence.items()}
+    hosts = defaultdict(list)
+    for (host, _), ids in groups.items():
+        hosts[host] += [p[i] for i in ids]
+    g = np.mean([x for v in hosts.values() for x in v])
+
+    def strength(ns, ps, means):
+        ns, ps, means = map(np.array, (ns, ps, means))
+        return min(max(means.mean() * (1 - means.mean()) / max((ns * (ps - means) ** 2).sum() / ns.sum(), 1e-9) - 1, 1.0), 1e4)
+
+    kh = strength([len(v) for v in hosts.values()], [np.mean(v) for v in hosts.values()], [g] * len(hosts))
+    host_rate = {h: (sum(v) + kh * g) / (len(v) + kh) for h, v in hosts.items()}
+    kp = strength([len(v) for v in groups.values()], [np.mean([p[i] for i in v]) for v in groups.values()], [host_rate[h] for h, _ in groups])
+    got = by_id(quality.quality_table(varied, labels))
+    for (host, path), ids in groups.items():
+        rate = (sum(p[i] for i in ids) + kp * host_rate[host]) / (len(ids) + kp)
+        clipped = min(max(rate, 1e-4), 1 - 1e-4)
+        for i in ids:
+            r = got[i]
+            assert (r.host, r.path) == (host, path) and np.allclose((r.host_rate, r.path_rate, r.posterior), (host_rate[host], rate, 1 / (1 + np.exp(-(evidence[i] + np.log(clipped / (1 - clipped)))))), rtol=1e-9)
+            assert r.keep == (r.posterior >= 0.5)
 
 
 def test_quality_shrinks_sparse_paths(spark):
