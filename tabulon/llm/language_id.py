@@ -1,24 +1,28 @@
 """Language identification by error-correcting output codes.
 
 Each language has a codeword of bits; one binary classifier over byte n-grams (one to three bytes of lower-cased text, hashed to
-DIMENSIONS buckets) predicts each bit. A bit's classifier is a log-odds table: the smoothed share of each n-gram in languages
-whose bit is 1 against those whose bit is 0, every training document counting alike. Decoding sums for each
-codeword the bits' losses exp(-margin), weighted by how well the bit does in training, and takes the smallest; a small lead over
-the runner-up flags the text as ambiguous.
+DIMENSIONS buckets) predicts each bit. A bit's classifier is a log-odds table, the smoothed mean share of each n-gram in languages
+whose bit is 1 against those whose bit is 0, with a border and a scale from the margins that all training documents have by that
+table: the border parts the two kinds with errors alike, and their means lie at +1 and -1. Decoding sums for each codeword the bits' losses
+exp(-margin), weighted by how well the bit does in training: half the log odds of its being right, by the distance of the
+two kinds in their spread. The smallest sum wins; a small lead over the runner-up flags the text as ambiguous.
 
-Counts come from all training documents by aggregation: each task adds up its documents, and tables of one row per
-language and part of the buckets are summed, so nothing grows with the corpus.
+Two passes over all training documents, each an aggregation: n-gram shares by language, which are folded by bit in Spark, part by part
+of the buckets, so that the driver holds one table of DIMENSIONS times bits (bits grow as the logarithm of the languages); then sums of margins
+by bit. Nothing but the names of the languages and their numbers of documents grows with them on the driver.
 
 Up to seven languages have the exhaustive code; more have seeded codewords of 15 and ten times the logarithm bits that differ widely.
 
 Defined cases: null text or one without a letter is `und` with score 0; with no learned language all are `und`; of one
 language only, all texts with letters are it; ties go to the language first in order; repeated rows and null ids get a row each;
-an empty table gives an empty table.
+an empty table gives an empty table; only doc_id, text and, in training, lang are read, so columns of other names don't matter. Texts of
+any length are read whole and by the same arithmetic.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, slices
+from .common import claim, cut, slices
 
-DIMENSIONS, PARTS, SMOOTH, AMBIGUOUS, LANGUAGES = 1 << 15, 32, 0.05, 0.05, 400
+DIMENSIONS, PARTS, SMOOTH, AMBIGUOUS, CHUNK = 1 << 15, 32, 0.05, 0.05, 8_192
 
 
 def codewords(n: int) -> np.ndarray:
@@ -77,20 +81,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class EcocModel:
-    """weights: a column of log-odds per bit; bias and trust per bit."""
+    """weights: a column of log-odds per bit; border, scale and trust per bit."""
 
-    def __init__(self, languages: list[str], shares: np.ndarray):
+    def __init__(self, languages: list[str], weights: np.ndarray | None = None):
         self.languages, self.code = languages, codewords(len(languages))
-        self.weights = np.zeros((DIMENSIONS, self.code.shape[1]), np.float32)
-        self.trust = np.ones(self.code.shape[1])
-        if len(languages) > 1:
-            p = shares / np.maximum(shares.sum(1, keepdims=True), 1e-12)
-            for k in range(self.code.shape[1]):
-                one, two = p[self.code[:, k] > 0].mean(0), p[self.code[:, k] < 0].mean(0)
-                floor = SMOOTH / DIMENSIONS
-                self.weights[:, k] = np.log((one + floor) / (two + floor))
-            clear = np.abs((p @ self.weights)).min(0)  # how far each bit keeps the languages from its border
-            self.trust = np.clip(clear / max(clear.mean(), 1e-9), 0.2, 5.0)
+        bits = self.code.shape[1]
+        self.weights = np.zeros((DIMENSIONS, bits), np.float32) if weights is None else weights
+        self.border, self.scale, self.trust = np.zeros(bits), np.ones(bits), np.ones(bits)
+
+    def margins(self, at: np.ndarray) -> np.ndarray:
+        """The mean log-odds of a text's n-grams for each bit, in float64 and in chunks of CHUNK, whatever its length."""
+        total = np.zeros(self.weights.shape[1])
+        for i in range(0, len(at), CHUNK):
+            total += self.weights[at[i : i + CHUNK]].sum(0, dtype=np.float64)
+        return total / len(at)
+
+    def calibrate(self, sums: np.ndarray) -> None:
+        """sums: of each bit and each kind (bit 1, bit 0) the number of training documents, of their margins and squared margins."""
+        n = np.maximum(sums[..., 0], 1)
+        mean = sums[..., 1] / n
+        spread = np.sqrt(np.maximum(sums[..., 2] / n - mean**2, 1e-12))
+        apart = mean[:, 0] - mean[:, 1]
+        good = (sums[..., 0].min(1) > 0) & (apart > 1e-9)
+        both = spread.sum(1)
+        self.border = np.where(good, (mean[:, 0] * spread[:, 1] + mean[:, 1] * spread[:, 0]) / both, 0.0)
+        self.scale = np.where(good, np.maximum(apart / 2, 1e-9), 1.0)
+        wrong = np.array([0.5 * math.erfc(d / math.sqrt(2)) for d in apart / both])
+        self.trust = np.where(good, 0.5 * np.log((1 - wrong + 1e-3) / (wrong + 1e-3)), 1e-3)
+
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """The weighted mean loss of each language's codeword."""
+        z = (margins - self.border) / self.scale
+        return (np.exp(np.clip(-self.code * z, -30, 30)) * self.trust).sum(1) / self.trust.sum()
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """The language, a score from 0 to 1 and whether it is ambiguous."""
@@ -99,32 +121,75 @@ class EcocModel:
             return "und", 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        margin = self.weights[at].mean(0) if len(at) < 20_000 else np.bincount(at, minlength=DIMENSIONS) @ self.weights / len(at)
-        loss = (np.exp(np.clip(-self.code * margin * 4, -30, 30)) * self.trust).sum(1) / self.trust.sum()
+        loss = self.losses(self.margins(at))
         order = np.argsort(loss, kind="stable")
-        near = np.exp(-loss + loss[order[0]])
+        near = np.exp(-np.minimum(4 * (loss - loss[order[0]]), 700))
         score = float(near[order[0]] / near.sum())
         return self.languages[order[0]], score, bool(loss[order[1]] - loss[order[0]] < AMBIGUOUS)
 
 
+def _folded(sums: DataFrame, languages: list[str], docs: list[int]) -> np.ndarray:
+    """The log-odds of each bucket and bit, from rows of lang, part and sums."""
+    code, row = codewords(len(languages)), {x: i for i, x in enumerate(languages)}
+    total, floor = np.array(docs, float), SMOOTH / DIMENSIONS
+
+    def fold(t: pa.Table) -> pa.Table:
+        at = np.array([row[x] for x in t.column("lang").to_pylist()])
+        order = np.argsort(at)
+        shares = np.zeros((len(languages), DIMENSIONS // PARTS))
+        for k in order:
+            shares[at[k]] = t.column("sums")[int(k)].values.to_numpy()
+        p = np.round(shares / total[:, None], 12)
+        one, two = (code > 0).astype(float), (code < 0).astype(float)
+        odds = np.log((p.T @ one / one.sum(0) + floor) / (p.T @ two / two.sum(0) + floor))
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "odds": pa.array([odds.astype(np.float32).tobytes()], pa.binary())})
+
+    parts = {r["part"]: r["odds"] for r in sums.groupBy("part").applyInArrow(fold, "part int, odds binary").toLocalIterator()}  # PARTS rows
+    return np.concatenate([np.frombuffer(parts[k], np.float32).reshape(-1, code.shape[1]) for k in range(PARTS)])
+
+
+def _sums_of_margins(train: DataFrame, model: EcocModel) -> np.ndarray:
+    """Of each bit and kind: documents, and sums of their margins and squared margins."""
+    shared, shape = train.sparkSession.sparkContext.broadcast(model), (model.code.shape[1], 2, 3)
+    row = {x: i for i, x in enumerate(model.languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id")
+        m, out = shared.value, np.zeros(shape)
+        for b in slices(batches, "text"):
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = buckets(text)
+                if at is not None:
+                    v = m.margins(at)
+                    own = np.stack([np.ones_like(v), v, v * v], 1)
+                    side = m.code[row[lang]] > 0
+                    out[side, 0] += own[side]
+                    out[~side, 1] += own[~side]
+        yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    each = train.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+    found = {r["at"]: r["v"] for r in each.collect()}  # six numbers a bit
+    return np.array([found.get(i, 0.0) for i in range(math.prod(shape))]).reshape(shape)
+
+
 def fit(train: DataFrame) -> EcocModel:
     """The model of columns text and lang, from all rows with a lang."""
-    counts = train.where("lang is not null").select("text", "lang").mapInArrow(_count, "lang string, part int, docs long, sums array<double>")
-    each = counts.select("lang", "part", F.posexplode("sums").alias("at", "v")).groupBy("lang", "part", "at").agg(F.sum("v").alias("v"))
-    rows = each.groupBy("lang", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("sums"))
-    parts: dict[str, dict[int, list[float]]] = {}
-    for r in rows.toLocalIterator():  # one row per language and part, whatever the corpus
-        parts.setdefault(r["lang"], {})[r["part"]] = r["sums"]
-        if len(parts) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
-    languages = sorted(parts)
-    shares = np.array([np.concatenate([parts[x][k] for k in range(PARTS)]) for x in languages]) if languages else np.zeros((0, DIMENSIONS))
-    return EcocModel(languages, np.round(shares, 9))
+    train = train.where("lang is not null").select("text", "lang")
+    counts = train.mapInArrow(_count, "lang string, part int, docs long, sums array<double>")
+    each = counts.select("lang", "part", "docs", F.posexplode("sums").alias("at", "v")).groupBy("lang", "part", "at").agg(F.sum("v").alias("v"), F.sum("docs").alias("docs"))
+    sums = cut(each.groupBy("lang", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("sums"), F.max("docs").alias("docs")))
+    known = sorted((r["lang"], r["docs"]) for r in sums.where("part = 0").select("lang", "docs").toLocalIterator())
+    languages = [x for x, _ in known]
+    if len(languages) < 2:
+        return EcocModel(languages)
+    model = EcocModel(languages, _folded(sums.select("lang", "part", "sums"), languages, [n for _, n in known]))
+    model.calibrate(np.round(_sums_of_margins(train, model), 6))
+    return model
 
 
 def predict(docs: DataFrame, model: EcocModel) -> DataFrame:
     """doc_id, lang_pred, score and ambiguous of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats a bit
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats of 4 bytes for each bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("language_id")

@@ -509,6 +509,56 @@ def test_language(spark, corpus, docs):
     assert language_id.language_table(docs.limit(0)).count() == 0
 
 
+def test_language_bits_and_decoding_by_hand(spark):
+    """Log-odds, borders, trusts and decoding recomputed in plain Python from the training documents."""
+    import math
+
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "xyzé", "dd": "qrstu"}
+    rows = [(i, lang, "".join(R.choice(letters[lang] + " o") for _ in range(R.randint(3, 60)))) for i in range(160) for lang in [R.choice(sorted(letters))]] + [(900, "aa", None), (901, "bb", "12 3"), (902, None, "abc")]
+    held = spark.createDataFrame([(i, lang, t, 1) for i, lang, t in rows], "doc_id long, lang string, text string, part int")
+    model = language_id.fit(held)
+    assert model.languages == sorted(letters)
+    shares = {x: np.zeros(language_id.DIMENSIONS) for x in letters}
+    n, at = defaultdict(int), {}
+    for i, lang, t in rows:
+        b = language_id.buckets(t) if lang else None
+        if b is not None:
+            at[i] = b
+            n[lang] += 1
+            for x in b:
+                shares[lang][x] += 1 / len(b)
+    floor = language_id.SMOOTH / language_id.DIMENSIONS
+    for k in range(model.code.shape[1]):
+        mean = lambda sign: sum(shares[x] / n[x] for x, c in zip(model.languages, model.code[:, k]) if c == sign) / (model.code[:, k] == sign).sum()
+        assert np.allclose(model.weights[:, k], np.log((mean(1) + floor) / (mean(-1) + floor)), atol=1e-4)
+        kinds = {s: [float(np.mean([model.weights[x, k] for x in at[i]], dtype=np.float64)) for i, lang, _ in rows if i in at and model.code[model.languages.index(lang), k] == s] for s in (1, -1)}
+        (m1, s1), (m0, s0) = ((np.mean(kinds[s]), np.std(kinds[s])) for s in (1, -1))
+        wrong = 0.5 * math.erfc((m1 - m0) / (s1 + s0) / math.sqrt(2))
+        assert np.allclose((model.border[k], model.scale[k], model.trust[k]), ((m1 * s0 + m0 * s1) / (s0 + s1), (m1 - m0) / 2, 0.5 * math.log((1 - wrong + 1e-3) / (wrong + 1e-3))), rtol=1e-3)
+    got = by_id(language_id.predict(held, model))
+    for i, _, t in rows:
+        b = language_id.buckets(t)
+        if b is None:
+            assert got[i].lang_pred == "und"
+            continue
+        z = [(sum(float(model.weights[x, k]) for x in b) / len(b) - model.border[k]) / model.scale[k] for k in range(model.code.shape[1])]
+        loss = [sum(model.trust[k] * math.exp(min(30, max(-30, -row[k] * z[k]))) for k in range(len(z))) / sum(model.trust) for row in model.code]
+        assert got[i].lang_pred == model.languages[int(np.argmin(loss))] and got[i].ambiguous == (sorted(loss)[1] - min(loss) < language_id.AMBIGUOUS)
+        near = [math.exp(-4 * (x - min(loss))) for x in loss]
+        assert abs(got[i].score - max(near) / sum(near)) < 1e-6
+
+
+def test_language_ties_clashes_and_many_languages(spark):
+    same = [(i, x, "ab ab", "k") for i, x in enumerate("ba" * 6)]
+    got = language_id.predict(spark.createDataFrame(same, "doc_id long, lang string, text string, lang_pred string"), language_id.fit(spark.createDataFrame(same, "doc_id long, lang string, text string, sums string"))).collect()
+    assert {r.lang_pred for r in got} == {"a"} and all(r.ambiguous for r in got)
+    many = [(i, f"l{i % 30:02}", "".join(R.choice("abcdefghijklmnopqrstuvwxyz"[i % 20 : i % 20 + 4] + chr(1072 + i % 30)) for _ in range(80))) for i in range(240)]
+    held = spark.createDataFrame(many, "doc_id long, lang string, text string")
+    model = language_id.fit(held)
+    right = sum(r.lang_pred == f"l{r.doc_id % 30:02}" for r in language_id.predict(held, model).collect())
+    assert len(model.languages) == 30 and right / len(many) > 0.9
+
+
 def test_codewords():
     for n in (2, 4, 7, 9, 40):
         code = language_id.codewords(n)
