@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.parse import epoch
 from .schema import FlatColumn, RelationSchema
 
 GIVEN = ("Ada", "Bela", "Chidi", "Dana", "Emre", "Farah", "Goran", "Hana", "Ines", "Jomo", "Kaja", "Luis", "Mina", "Nils", "Oona", "Pavel")
@@ -35,7 +36,7 @@ def value(c: FlatColumn, seed: int) -> Column:
         out = (r - 0.5) * 2_000_000
     elif kind == "TIMESTAMP":
         first, last = -315_619_200, 4_102_444_800  # 1960 to 2100
-        out = F.timestamp_seconds(F.lit(first) + (r * (last - first)).cast("long")).cast("timestamp_ntz")
+        out = epoch(F.lit(first) + (r * (last - first)).cast("long"))
     else:
         raise TypeError(f"no made-up values of type {c.type}")
     return F.when(F.rand(seed + 7) >= NULL_SHARE, out) if c.nullable else out

@@ -36,16 +36,19 @@ def double(c: Column, kind: T.DataType | None = None) -> Column:
 
 
 def decimal(c: Column, precision: int = 38, scale: int = 21, kind: T.DataType | None = None) -> Column:
-    """Half-even at the scale; null where the precision can't hold it."""
+    """Half-even at the scale; null where the precision can't hold it. A tie of a number with so many digits before the point that six more behind the scale don't fit rounds up."""
     c = F.decode(c, "UTF-8") if isinstance(kind, T.BinaryType) else c
-    wide = min(38, max(scale + 6, 18))
-    return F.bround(c.try_cast(f"decimal(38,{wide})"), scale).try_cast(f"decimal({precision},{scale})")
+    wide = min(38, scale + 6)
+    exact = F.bround(c.try_cast(f"decimal(38,{wide})"), scale).try_cast(f"decimal({precision},{scale})")
+    return F.coalesce(exact, c.try_cast(f"decimal({precision},{scale})"))
 
 
 def cut_bytes(text: Column, n: int) -> Column:
     """The longest start of a text of at most n bytes of UTF-8, without a part of a character."""
-    room = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(text), F.lit(n))), lambda k: F.octet_length(F.substring(text, F.lit(1), k)) <= n))
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(text, F.lit(1), room))
+    raw = F.encode(text, "UTF-8")
+    goes_on = lambda i: F.coalesce(F.hex(F.substring(raw, i, 1)).between("80", "BF"), F.lit(False)) if i > 0 else F.lit(False)  # noqa: E731  (within a character)
+    end = F.when(~goes_on(n + 1), n).when(~goes_on(n), n - 1).when(~goes_on(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.substring(raw, F.lit(1), F.greatest(end, F.lit(0))), "UTF-8"))
 
 
 def varchar(c: Column, length: int | None = None, kind: T.DataType | None = None) -> Column:
@@ -58,13 +61,21 @@ def blob(c: Column, length: int | None = None, kind: T.DataType | None = None) -
     return raw if length is None else F.substring(raw, 1, length)
 
 
+def epoch(seconds: Column) -> Column:
+    """The moment without zone so many whole seconds after 1970 began, whatever the session's zone; null beyond the years 1 to 9999."""
+    s = seconds.cast("bigint")
+    days = F.floor(s / 86_400).cast("int")
+    moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), F.pmod(s, F.lit(86_400)).cast("decimal(18,6)"))
+    return F.when(s.between(-62_135_596_800, 253_402_300_799), moment)
+
+
 def iso_timestamp(c: Column) -> Column:
     """A moment without zone from text, or null: digits are epoch seconds; an offset or Z is dropped, as are fractions."""
     x = c.cast("string")
     y = F.split_part(F.regexp_replace(x, "Z$", ""), F.lit("+"), F.lit(1))
     whole = y.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}.*)?)?$")
     return (
-        F.when(x.rlike("^[0-9]+$"), F.timestamp_seconds(x.try_cast("bigint")).cast("timestamp_ntz"))
+        F.when(x.rlike("^[0-9]+$"), epoch(x.try_cast("bigint")))
         .when((F.length(x) < 10) | (F.length(x) > 33) | ~whole, F.lit(None).cast("timestamp_ntz"))
         .otherwise(F.substring(y, 1, 19).try_cast("timestamp_ntz"))
     )
@@ -76,7 +87,7 @@ def timestamp(c: Column, kind: T.DataType | None = None) -> Column:
     if isinstance(kind, T.DateType):
         return c.cast("timestamp_ntz")
     if isinstance(kind, (T.IntegralType, T.FractionalType)):
-        return F.timestamp_seconds(F.floor(c)).cast("timestamp_ntz")
+        return epoch(F.floor(c))
     return iso_timestamp(F.decode(c, "UTF-8") if isinstance(kind, T.BinaryType) else c)
 
 
@@ -94,7 +105,10 @@ def time_of_day(c: Column, kind: T.DataType | None = None) -> Column:
 
 
 def interval(c: Column) -> Column:
-    return F.make_dt_interval(c.cast("int"))
+    """A number of days, with its fraction to the microsecond."""
+    d = c.cast("double")
+    days = F.floor(d)
+    return F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), F.round((d - days) * 86_400, 6).cast("decimal(18,6)"))
 
 
 def array(c: Column, element: LogicalType, kind: T.DataType | None = None) -> Column:

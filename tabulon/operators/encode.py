@@ -8,8 +8,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .position import POSITION, number_rows
+
 BLOCK = 1 << 16
-BROADCAST_CODES = 100_000
+BROADCAST_BYTES = 8 << 20
+#: Types whose values have no order or equality that runs and dictionaries need.
+UNFIT = (T.MapType, T.StructType, T.ArrayType, T.NullType)
+
+
+def fit_for(df: DataFrame, value: str, what: str) -> None:
+    """TypeError for a column whose type can't be encoded so."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, UNFIT) or type(kind).__name__ == "VariantType":
+        raise TypeError(f"{what} can't encode {kind.simpleString()}")
+
+
+def encode(df: DataFrame, kind: str, pos: str, value: str) -> DataFrame:
+    """Runs ("rle"), codes at positions ("dictionary") or what isn't null ("sparse"); TypeError for another kind or an unfit type."""
+    if kind == "rle":
+        return rle_encode(df, pos, value)
+    if kind == "dictionary":
+        return dict_encode(df.select(pos, value), dictionary(df, pos, value), value).select(pos, "code")
+    if kind == "sparse":
+        fit_for(df, value, kind)
+        return sparse_encode(df, pos, value)
+    raise TypeError(f"no such encoding: {kind}")
+
+
+def decode(encoded: DataFrame, kind: str, codes: DataFrame | None = None, length: int | None = None) -> DataFrame:
+    """The values of what `encode` gave; a dictionary needs its codes, a sparse column its length."""
+    if kind == "rle":
+        return rle_decode(encoded)
+    if kind == "dictionary" and codes is not None:
+        return dict_decode(encoded, codes)
+    if kind == "sparse" and length is not None:
+        return sparse_decode(encoded, length)
+    raise TypeError(f"no such encoding, or what it needs is missing: {kind}")
 
 
 def rle_encode(df: DataFrame, pos: str, value: str, block: int = BLOCK) -> DataFrame:
@@ -17,6 +51,7 @@ def rle_encode(df: DataFrame, pos: str, value: str, block: int = BLOCK) -> DataF
 
     Runs are found in blocks of positions in parallel; only the runs at the edges of blocks meet in one ordered pass.
     """
+    fit_for(df, value, "rle")
     nan = F.isnan(F.col(value)) if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)) else F.lit(False)
     rows = df.select(F.col(pos).alias("p"), F.col(value).alias("v"), nan.alias("x")).withColumn("b", F.floor(F.col("p") / block))
     w = Window.partitionBy("b").orderBy("p")
@@ -37,18 +72,22 @@ def rle_decode(runs: DataFrame, pos: str = "pos", value: str = "v") -> DataFrame
 
 
 def dictionary(df: DataFrame, pos: str, value: str) -> DataFrame:
-    """value and code, in order of first position; a null has a code too."""
+    """value and code, in order of first position; a null has a code too. Codes are numbered by range partitions."""
+    fit_for(df, value, "dictionary")
     first = df.groupBy(value).agg(F.min(pos).alias("_first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias("code"))
+    return number_rows(first, "_first").select(value, F.col(POSITION).alias("code"))
 
 
 def dictionary_sorted(df: DataFrame, value: str) -> DataFrame:
     """value and code, in order of the values."""
-    return df.select(value).distinct().select(value, (F.row_number().over(Window.orderBy(value)) - 1).cast("long").alias("code"))
+    fit_for(df, value, "dictionary")
+    return number_rows(df.select(value).distinct(), value).select(value, F.col(POSITION).alias("code"))
 
 
 def _small(codes: DataFrame) -> DataFrame:
-    return F.broadcast(codes) if codes.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES else codes
+    """Broadcast if a sum of their bytes proves the codes small; else Spark joins by shuffle."""
+    size = codes.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in codes.columns), F.lit(32)))).first()[0] or 0
+    return F.broadcast(codes) if size <= BROADCAST_BYTES else codes
 
 
 def dict_encode(df: DataFrame, codes: DataFrame, value: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from .. import display as show
 from ..cursor import Cursor
-from ..schema import FlatColumn, RelationSchema
+from ..row import Row
+from ..schema import RelationSchema
 from ..types import from_spark
 from .group import GroupBy
 from .position import POSITION, number_rows, read_with_position
@@ -22,11 +23,17 @@ TAKE_LITERALS = 1_000
 
 
 class Relation:
-    """A relation. Operators that ask for a position need one: from a Parquet file, driver rows or an order."""
+    """A relation. Operators that ask for a position need one: from a Parquet file, driver rows or an order.
 
-    def __init__(self, df: DataFrame, schema: RelationSchema | None = None):
+    Positions count the rows of this relation. Operators that drop rows keep the order but leave gaps; the next operator that
+    asks for places numbers the rows anew (`dense`), by range partitions.
+    """
+
+    def __init__(self, df: DataFrame, schema: RelationSchema | None = None, dense: bool = True):
         self.held = df
         self._schema = schema
+        self._gapless = dense
+        self._dense_form: Relation | None = None
         self.arraysize = 100
         self._cursor: Cursor | None = None
 
@@ -71,7 +78,7 @@ class Relation:
 
     def ordered_by(self, *order: str | Column) -> Relation:
         """The same rows with positions by an order."""
-        return self._with(number_rows(self.spark, *order))
+        return self._with(number_rows(self.spark, *order), self._schema, True)
 
     # plain access
     @property
@@ -109,8 +116,17 @@ class Relation:
     def __iter__(self) -> Iterator[tuple]:
         return (tuple(r) for r in self._sorted().toLocalIterator(prefetchPartitions=True))
 
-    def _with(self, df: DataFrame, schema: RelationSchema | None = None) -> Relation:
-        return Relation(df, schema)
+    def _with(self, df: DataFrame, schema: RelationSchema | None = None, dense: bool = False) -> Relation:
+        return Relation(df, schema, dense)
+
+    def dense(self) -> Relation:
+        """The same rows with positions counted from 0 without gaps."""
+        self._index()
+        if self._gapless:
+            return self
+        if self._dense_form is None:
+            self._dense_form = self._with(number_rows(self.held.withColumnRenamed(POSITION, "_was"), "_was").drop("_was"), self._schema, True)
+        return self._dense_form
 
     def _sorted(self) -> DataFrame:
         return self.held.orderBy(POSITION).drop(POSITION) if self.has_position else self.held
@@ -127,7 +143,7 @@ class Relation:
         if lost:
             raise ValueError(f"no such columns: {', '.join(lost)}")
         keep = [POSITION] if self.has_position else []
-        return self._with(self.held.select(*(F.col(f"`{n}`") for n in names), *keep))
+        return self._with(self.held.select(*(F.col(f"`{n}`") for n in names), *keep), dense=self._gapless)
 
     def query(self, predicate: Column | str | Callable[[SparkRow], bool]) -> Relation:
         """Rows for which a Column, SQL text or, slowly, a Python function of the row holds."""
@@ -143,36 +159,37 @@ class Relation:
         return self.take([i for i, keep in enumerate(mask) if keep])
 
     def take(self, indexes: Iterable[int]) -> Relation:
-        """Rows at these positions in source order; repeats and positions that don't exist are ignored."""
+        """Rows at these places, in the relation's order; repeats and places that don't exist are ignored."""
         wanted = sorted({i for i in indexes if i >= 0})
+        own = self.dense()
         if len(wanted) <= TAKE_LITERALS:
-            return self._with(self.held.where(self._index().isin(wanted)), self._schema)
-        ids = self.held.sparkSession.createDataFrame(pa.table({POSITION: pa.array(wanted, pa.int64())}))
-        return self._with(self.held.join(ids, POSITION, "left_semi").select(*self.held.columns), self._schema)
-
-    def _numbered(self) -> Relation:
-        """Positions counted from 0 without gaps."""
-        return self._with(number_rows(self.spark.withColumn("_was", self._index()), "_was").drop("_was"), self._schema) if self.has_position else self
+            return self._with(own.held.where(own._index().isin(wanted)), self._schema)
+        ids = own.held.sparkSession.createDataFrame(pa.table({POSITION: pa.array(wanted, pa.int64())}))
+        return self._with(own.held.join(ids, POSITION, "left_semi").select(*own.held.columns), self._schema)
 
     def head(self, size: int = 5) -> Relation:
         return self._with(self.held.orderBy(self._index()).limit(size), self._schema)
 
     def tail(self, size: int = 5) -> Relation:
-        return self._with(self.held.orderBy(self._index().desc()).limit(size), self._schema)
+        """The last rows, in order."""
+        return self._with(self.held.orderBy(self._index().desc()).limit(size).orderBy(POSITION), self._schema)
 
     def slice(self, offset: int = 0, length: int | None = None) -> Relation:
-        """Rows from an offset, counted from the end if negative; at most `length`."""
+        """Rows from an offset, counted from the end if negative; at most `length`. A filter on positions: no row is sorted or moved."""
+        own = self.dense()
         if length == 0:
-            return self._with(self.held.limit(0), self._schema)
-        if offset < 0:
-            last = self.held.orderBy(self._index().desc()).limit(-offset)
-            return self._with(last if length is None else last.orderBy(POSITION).limit(length), self._schema)
-        rest = self.held.orderBy(self._index())
-        rest = rest.offset(offset) if offset else rest
-        return self._with(rest if length is None else rest.limit(length), self._schema)
-
-    def row(self, i: int) -> tuple | None:
-        found = (self.slice(i, 1) if i < 0 else self.slice(i, 1)).spark.first()
+            return self._with(own.held.limit(0), self._schema, True)
+        first = max(0, own.rowcount + offset) if offset < 0 else offset
+        found = own.held.where(own._index() >= first) if first else own.held
+        if length is not None:
+            found = found.where(F.col(POSITION) < first + length)
+        return self._with(found.withColumn(POSITION, F.col(POSITION) - first) if first else found, self._schema, True)
+
+    def row(self, i: int) -> tuple:
+        """The row at a place, counted from the end if negative."""
+        own = self.dense()
+        place = own.rowcount + i if i < 0 else i
+        found = own.held.where(own._index() == place).drop(POSITION).first() if place >= 0 else None
         if found is None:
             raise IndexError("no such row")
         return tuple(found)
@@ -200,29 +217,34 @@ class Relation:
         return self.collect(columns)
 
     # sets
-    def distinct(self, keep_first: bool = False) -> Relation:
-        """Distinct rows; with keep_first they hold the position of the first."""
+    def distinct(self, keep_first: bool = True) -> Relation:
+        """Distinct rows in the order in which each first stands, at the place of the first; without positions or keep_first in any order."""
         if not (keep_first and self.has_position):
-            return self._with(self.spark.distinct())
+            return self._with(self.spark.distinct(), self._schema)
         names = [F.col(f"`{n}`") for n in self.column_names]
         return self._with(self.held.groupBy(*names).agg(F.min(POSITION).alias(POSITION)), self._schema)
 
     def __add__(self, other: Relation) -> Relation:
-        """All rows of both; names and types must be equal."""
+        """All rows of both, this one's first; names and types must be equal. Positions go on where both have them."""
         if not self.schema.same_shape(other.schema):
             raise ValueError("the schemas differ")
-        return self._with(self.spark.union(other.spark), self._schema)
+        if not (self.has_position and other.has_position):
+            return self._with(self.spark.union(other.spark), self._schema)
+        one, two = self.dense(), other.dense()
+        names = [f"`{n}`" for n in self.column_names]
+        rest = two.held.select(*(f"`{n}`" for n in two.column_names), (F.col(POSITION) + one.rowcount).alias(POSITION))
+        return self._with(one.held.select(*names, POSITION).union(rest), self._schema, True)
 
     def to_batches(self, batch_size: int = 1_000) -> Iterator[Relation]:
         """Relations of consecutive rows."""
-        n, start = self.rowcount, 0
-        while start < n:
-            yield self.slice(start, batch_size)
-            start += batch_size
+        own = self.dense()
+        for start in range(0, own.rowcount, batch_size):
+            yield own.slice(start, batch_size)
 
     def batch_ids(self, batch_size: int = 1_000) -> DataFrame:
         """All rows with batch_id: batches without a loop on the driver."""
-        return self.held.withColumn("batch_id", F.floor(self._index() / batch_size).cast("long"))
+        own = self.dense()
+        return own.held.withColumn("batch_id", F.floor(own._index() / batch_size).cast("long"))
 
     def group_by(self, columns: str | Iterable[str]) -> GroupBy:
         return GroupBy(self.spark, columns)
@@ -262,9 +284,10 @@ class Relation:
         return self.spark.agg(F.sum(F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))).first()[0] or 0
 
     def fingerprint(self) -> DataFrame:
-        """h and n: a hash that doesn't depend on order, with the row count."""
-        cols = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("\x00")) for n in self.column_names]
-        return self.spark.agg(F.bit_xor(F.xxhash64(*cols)).alias("h"), F.count("*").alias("n"))
+        """h and n: a hash of 60 bits that doesn't depend on order, with the row count; a value counts with its length, so columns can't run together."""
+        cols = [F.col(f"`{n}`").cast("string") for n in self.column_names]
+        text = F.concat(*(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cols))
+        return self.spark.agg(F.bit_xor(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).alias("h"), F.count("*").alias("n"))
 
     # cursor
     @property
@@ -319,7 +342,15 @@ class RelationBuilder:
         self.names = schema.column_names if self.schema else list(schema)
         self._json = {c.name for c in self.schema if c.type.name == "JSONB"} if self.schema else set()
         self._kinds = [(c.name, c.type.python_type, c.nullable) for c in self.schema] if self.schema else []
-        self.nbytes = 0
+        self._size, self._counted = 0, 0
+        self._row = Row.make(list(self.names))
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the rows' frames; only those appended since it was last asked for are measured."""
+        self._size += sum(self._row(r).nbytes for r in self.rows[self._counted :])
+        self._counted = len(self.rows)
+        return self._size
 
     def append(self, record: dict) -> None:
         if self._json:
@@ -366,7 +397,3 @@ def _readable(c: pa.ChunkedArray) -> pa.ChunkedArray:
     if k.is_interval(t):
         return pa.chunked_array([pa.array([None if v is None else (v.months * 30 + v.days) * 86_400_000_000 + v.nanoseconds // 1000 for v in c.to_pylist()], pa.duration("us"))])
     return c
-
-
-def columns_of(relation: Relation) -> list[FlatColumn]:
-    return list(relation.schema)

@@ -31,7 +31,8 @@ def read_with_position(spark: SparkSession, path: str) -> DataFrame:
 def number_rows(df: DataFrame, *order: str | Column) -> DataFrame:
     """df with _position by an order that should be unique."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    held = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, so that no later plan merges some of them
+    held = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_part", F.spark_partition_id())
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*cols)) - 1
     held = held.withColumn("_inner", inner.cast("long"))
     return held.join(_offsets(held, "_part"), F.col("_part") == F.col("_k")).withColumn(POSITION, F.col("_inner") + F.col("_before")).drop("_part", "_inner", "_k", "_before")

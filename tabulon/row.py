@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import struct
 import time
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,17 +71,12 @@ class Row(tuple):
 
 
 def _tagged(v: object) -> object:
-    if isinstance(v, (bytes, bytearray)):
-        return {"~b": bytes(v).hex()}
-    if isinstance(v, dt.datetime):
-        return {"~t": v.isoformat()}
-    if isinstance(v, dt.date):
-        return {"~d": v.isoformat()}
-    if isinstance(v, dict):
-        return {"~m": {k: _tagged(x) for k, x in v.items()}}
-    if isinstance(v, (list, tuple)):
-        return [_tagged(x) for x in v]
-    return v if v is None or isinstance(v, (bool, int, float, str)) else {"~s": str(v)}
+    if v is None or isinstance(v, (bool, int, float, str)):
+        return v
+    for kind, tag, out in _TAGS:
+        if isinstance(v, kind):
+            return {tag: out(v)}
+    return [_tagged(x) for x in v] if isinstance(v, (list, tuple)) else {"~s": str(v)}
 
 
 def _plain(v: object) -> object:
@@ -88,10 +84,23 @@ def _plain(v: object) -> object:
         return [_plain(x) for x in v]
     if isinstance(v, dict):
         (tag, x), = v.items()
-        return {"~b": bytes.fromhex, "~t": dt.datetime.fromisoformat, "~d": dt.date.fromisoformat, "~s": str, "~m": lambda m: {k: _plain(y) for k, y in m.items()}}[tag](x)
+        return _BACK[tag](x)
     return v
 
 
+#: Types that JSON lacks: their tag and their form; moments before days, as they are days too.
+_TAGS = (
+    ((bytes, bytearray), "~b", lambda v: bytes(v).hex()),
+    (dt.datetime, "~t", dt.datetime.isoformat),
+    (dt.date, "~d", dt.date.isoformat),
+    (dt.time, "~c", dt.time.isoformat),
+    (dt.timedelta, "~i", lambda v: [v.days, v.seconds, v.microseconds]),
+    (Decimal, "~n", str),
+    (dict, "~m", lambda v: {k: _tagged(x) for k, x in v.items()}),
+)
+_BACK = {"~b": bytes.fromhex, "~t": dt.datetime.fromisoformat, "~d": dt.date.fromisoformat, "~c": dt.time.fromisoformat, "~i": lambda x: dt.timedelta(*x), "~n": Decimal, "~s": str, "~m": lambda m: {k: _plain(y) for k, y in m.items()}}
+
+
 def json_column() -> Column:
     """Each row as compact JSON, nulls included."""
     return F.to_json(F.struct("*"), {"ignoreNullFields": "false"})

@@ -216,15 +216,32 @@ class RelationSchema:
             raise DataValidationError(errors)
         return True
 
-    def errors(self, rules: Mapping[str, Column] | None = None) -> Column:
-        """An array of faults of a row, empty if there are none: nulls where none may be, and broken rules."""
-        faults = [F.when(F.col(f"`{c.name}`").isNull(), F.lit(f"{c.name}: Column not Nullable")) for c in self.columns if not c.nullable]
+    def errors(self, rules: Mapping[str, Column] | None = None, given: T.StructType | None = None) -> Column:
+        """An array of faults of a row, empty if there are none: nulls where none may be, and broken rules.
+
+        With the frame's own schema also fields that are unknown or missing, and values of a type other than the column's.
+        """
+        held = {f.name: f for f in given.fields} if given is not None else None
+        known = {n for c in self.columns for n in c.all_names}
+        faults = [F.lit(f"{n}: Unknown field") for n in held or () if n not in known]
+        for c in self.columns:
+            if held is not None and c.name not in held:
+                faults.append(F.lit(f"{c.name}: Column missing"))
+                continue
+            if not c.nullable:
+                faults.append(F.when(F.col(f"`{c.name}`").isNull(), F.lit(f"{c.name}: Column not Nullable")))
+            if held is not None and (kind := from_spark(held[c.name].dataType)).name not in (c.type.name, "NULL") and not _stands_for(kind, c.type):
+                faults.append(F.when(F.col(f"`{c.name}`").isNotNull(), F.lit(f"{c.name}: Wrong type, {kind} for {c.type}")))
         faults += [F.when(~F.coalesce(rule, F.lit(True)), F.lit(f"{name}: expectation not met")) for name, rule in (rules or {}).items()]
         return F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>")
 
     def check(self, df: DataFrame, rules: Mapping[str, Column] | None = None) -> DataFrame:
-        """The rows, stopping at the first with a fault."""
-        bad = self.errors(rules)
+        """The rows, stopping at the first with a fault; unknown fields stop it at once."""
+        known = {n for c in self.columns for n in c.all_names}
+        excess = [n for n in df.columns if n not in known]
+        if excess:
+            raise ExcessColumnsInDataError(excess)
+        bad = self.errors(rules, df.schema)
         return df.where(F.when(F.size(bad) > 0, F.raise_error(F.array_join(bad, "; "))).otherwise(F.lit(True)).cast("boolean"))
 
     def with_defaults(self, df: DataFrame) -> DataFrame:
@@ -232,6 +249,11 @@ class RelationSchema:
         return df.fillna({c.name: c.default for c in self.columns if c.default is not None})
 
 
+def _stands_for(kind: LogicalType, wanted: LogicalType) -> bool:
+    """Whether Spark holds values of the wanted type as this one."""
+    return (wanted.name, kind.name) in {("JSONB", "BLOB"), ("VECTOR", "ARRAY"), ("STRUCT", "BLOB"), ("TIME", "VARCHAR")}
+
+
 def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """lowest_value, highest_value and null_count of each column, as text, in one pass."""
     names = columns or df.columns

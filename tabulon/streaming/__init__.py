@@ -15,8 +15,8 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, kind: st
 
 
 def validated(stream: DataFrame, schema: RelationSchema) -> tuple[DataFrame, DataFrame]:
-    """Rows without faults, and the others with `_errors`."""
-    checked = stream.withColumn("_errors", schema.errors())
+    """Rows without faults, and the others with `_errors`: unknown, missing, null and wrongly typed fields."""
+    checked = stream.withColumn("_errors", schema.errors(given=stream.schema))
     return checked.where(F.size("_errors") == 0).drop("_errors"), checked.where(F.size("_errors") > 0)
 
 
