@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -81,6 +82,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the cluster drop the shuffle files of finished steps that nothing refers to any more; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_row_key(docs: DataFrame, key: str = "_row") -> tuple[DataFrame, bool]:
     """docs with a number, and whether it's another than doc_id. It tells apart rows of one id with different texts and rows without an id, in the order of the ids (null last).
 

@@ -4,8 +4,8 @@ Words: runs between ASCII white space with A to Z lower-cased, then one end toke
 1. Unigram counts by word hash (64 bits), partly aggregated by task, summed in Spark and written sorted as the vocabulary:
    its positions are word numbers. All counts are exact over the whole training corpus.
 2. For each order n from 2: an n-gram is 64 bits, the number of the (n-1)-gram before and that of the word. Each task sorts those of its texts
-   and sends their counts to ranges of contexts as compressed runs of differences; each range, about RANGE tokens, is merged into one
-   sorted array, positions in which number the n-grams. Contexts' numbers follow hashes, so ranges are about even.
+   and sends their counts to ranges of contexts as compressed runs of differences; each range, about RANGE tokens (more as the root of a
+   corpus beyond some ten billion), is merged into one sorted array, positions in which number the n-grams. Contexts' numbers follow hashes, so ranges are about even.
 3. Each distinct n-gram then counts for its last n-1 words: these are the counts of the order below, but what begins with the
    start mark keeps its own. Ranges also yield the counts of counts for the three discounts, and sums after contexts of over FEW words.
 4. Workers map the arrays and look up the sorted distinct n-grams of a slice of texts at a time.
@@ -20,6 +20,7 @@ repeated rows count as often as they stand; a row with a null id has crc32 null
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -29,10 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, new_shared_path, slices, word_hashes
+from .common import claim, new_shared_path, release, slices, word_hashes
 from .language_id import held_out
 
-RANGE, FEW = 4_000_000, 32
+RANGE, ROOT, FEW, MAPPED = 4_000_000, 2_000, 32, 8_192
 _U = np.uint64
 
 
@@ -172,30 +173,30 @@ class _Level:
 
     def __init__(self, folder: str, n: int, ranges: int, contexts: int, bits: int):
         self.folder, self.n, self.bits = folder, n, _U(bits)
-        names = [_path(folder, "keys", n, r) for r in range(ranges)]
-        self.keys = [np.load(x, mmap_mode="r") if os.path.exists(x) else np.zeros(0, np.uint64) for x in names]
-        self.base = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])]).astype(np.int64)
+        self.sizes = np.load(os.path.join(folder, f"sizes-{n}.npy"))
+        self.base = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
         self.edge = _edges(ranges, contexts).astype(np.uint64) << self.bits
-        self.held: dict[int, list[np.ndarray]] = {}
+        self.held: dict[tuple[int, str], np.ndarray] = {}
+
+    def array(self, r: int, what: str = "keys") -> np.ndarray:
+        """An array of a range, mapped when it's asked for; at most MAPPED are open at a time."""
+        if (r, what) not in self.held:
+            if len(self.held) >= MAPPED:
+                self.held.clear()
+            self.held[r, what] = np.load(_path(self.folder, what, self.n, r), mmap_mode="r")
+        return self.held[r, what]
 
     def _cuts(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         """Ranges with the parts of sorted keys that are theirs."""
         cut = np.searchsorted(keys, self.edge)
-        for r, x in enumerate(self.keys):
-            if cut[r + 1] > cut[r] and len(x):
-                yield r, slice(cut[r], cut[r + 1])
-
-    def _load(self, r: int) -> list[np.ndarray]:
-        if r not in self.held:
-            self.held[r] = [np.load(_path(self.folder, x, self.n, r), mmap_mode="r") for x in ("times", "often", "most", "many", "sums")]
-        return self.held[r]
+        for r in np.flatnonzero((cut[1:] > cut[:-1]) & (self.sizes > 0)).tolist():
+            yield r, slice(cut[r], cut[r + 1])
 
     def _counts(self, r: int, at: np.ndarray) -> np.ndarray:
-        times, often, most, _, _ = self._load(r)
-        c = times[at].astype(np.int64)
+        c = self.array(r, "times")[at].astype(np.int64)
         full = np.flatnonzero(c == 255)
         if len(full):
-            c[full] = most[np.searchsorted(often, at[full])]
+            c[full] = self.array(r, "most")[np.searchsorted(self.array(r, "often"), at[full])]
         return c
 
     def find(self, ctx: np.ndarray, number: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +206,10 @@ class _Level:
         keys, back = np.unique(ctx[ask].astype(np.uint64) << self.bits | number[ask].astype(np.uint64), return_inverse=True)
         got, times = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         for r, own in self._cuts(keys):
-            at = np.searchsorted(self.keys[r], keys[own])
-            at[at == len(self.keys[r])] = 0
-            ok = self.keys[r][at] == keys[own]
+            there = self.array(r)
+            at = np.searchsorted(there, keys[own])
+            at[at == len(there)] = 0
+            ok = there[at] == keys[own]
             got[own] = np.where(ok, at + self.base[r], -1)
             if counts:
                 times[own] = np.where(ok, self._counts(r, at), 0)
@@ -218,9 +220,8 @@ class _Level:
         """The keys of n-grams by number."""
         u, back = np.unique(ids, return_inverse=True)
         out, cut = np.zeros(len(u), np.uint64), np.searchsorted(u, self.base)
-        for r, x in enumerate(self.keys):
-            if cut[r + 1] > cut[r]:
-                out[cut[r] : cut[r + 1]] = x[u[cut[r] : cut[r + 1]] - self.base[r]]
+        for r in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            out[cut[r] : cut[r + 1]] = self.array(r)[u[cut[r] : cut[r + 1]] - self.base[r]]
         return out[back]
 
     def sums(self, ctx: np.ndarray) -> np.ndarray:
@@ -228,7 +229,7 @@ class _Level:
         out = np.zeros((len(ctx), 4), np.int64)
         first = ctx.astype(np.uint64) << self.bits
         for r, own in self._cuts(first):
-            lo, hi = (np.searchsorted(self.keys[r], x) for x in (first[own], first[own] + (_U(1) << self.bits)))
+            lo, hi = (np.searchsorted(self.array(r), x) for x in (first[own], first[own] + (_U(1) << self.bits)))
             size = hi - lo
             few = np.flatnonzero((size > 0) & (size <= FEW))
             if len(few):
@@ -237,7 +238,7 @@ class _Level:
                 out[own.start + few] = _few_sums(self._counts(r, at), start)
             many = np.flatnonzero(size > FEW)
             if len(many):
-                out[own.start + many] = self._load(r)[4][np.searchsorted(self._load(r)[3], ctx[own][many])]
+                out[own.start + many] = self.array(r, "sums")[np.searchsorted(self.array(r, "many"), ctx[own][many])]
         return out
 
 
@@ -264,11 +265,13 @@ def _finish(folder: str, n: int, r: int, keys: np.ndarray, c: np.ndarray, bits:
 
 
 def discounts(n: list[int]) -> list[float]:
-    """The three discounts from how many kinds have count 1, 2, 3 and 4; 0.5, 1 and 1.5 where these don't allow it."""
-    if min(n[:4]) <= 0:
-        return [0.5, 1.0, 1.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3)]
+    """The three discounts from how many kinds have count 1, 2, 3 and 4; 0.5, 1 and 1.5 where these don't allow it, as none may be 0."""
+    if min(n[:4]) > 0:
+        y = n[0] / (n[0] + 2 * n[1])
+        found = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+        if all(0 < d <= k for k, d in enumerate(found, 1)):
+            return found
+    return [0.5, 1.0, 1.5]
 
 
 def _less(c: np.ndarray, d: list[float]) -> np.ndarray:
@@ -301,14 +304,18 @@ def train(docs: DataFrame, order: int = 2) -> NgramModel:
 
     total = turned.repartitionByRange("k").mapInArrow(write, "kinds long, tokens long").agg(F.sum("kinds"), F.sum("tokens")).first()
     kinds, tokens = total[0] or 0, total[1] or 0
-    ranges, bits, sizes = max(1, -(-tokens // RANGE)), kinds.bit_length(), [kinds]
+    del counted, turned
+    release(spark)
+    ranges, bits, sizes = max(1, -(-tokens // max(RANGE, math.isqrt(ROOT * tokens)))), kinds.bit_length(), [kinds]
     contexts = [kinds + 1]  # the start mark has the number past the last word's
     for n in range(2, order + 1):
         if (contexts[-1] - 1).bit_length() + bits > 63:
             raise ValueError(f"more distinct words and {n - 1}-grams than 63 bits")
         _count(docs, folder, n, order, ranges, kinds, contexts, bits)
-        there = [x for r in range(ranges) if os.path.exists(x := _path(folder, "keys", n, r))]
-        sizes.append(sum(len(np.load(x, mmap_mode="r")) for x in there))
+        release(spark)
+        each = [len(np.load(x, mmap_mode="r")) if os.path.exists(x := _path(folder, "keys", n, r)) else 0 for r in range(ranges)]
+        _save(os.path.join(folder, f"sizes-{n}.npy"), np.array(each, np.int64))
+        sizes.append(sum(each))
         contexts.append(sizes[-1])
         for r in range(ranges):
             if n > 2 and os.path.exists(x := _path(folder, "raw", n - 1, r)):
@@ -347,7 +354,7 @@ def _count(docs: DataFrame, folder: str, n: int, order: int, ranges: int, kinds:
                 k, c = np.unique(ctx[ok].astype(np.uint64) << _U(bits) | number[ok].astype(np.uint64), return_counts=True)
                 held.append((k, c.astype(np.int64)))
                 size += len(k)
-                if size > 4_000_000:
+                if size > max(4_000_000, 64 * ranges):
                     yield sent(held, edge)
                     held.clear()
                     size = 0
@@ -401,10 +408,10 @@ def _count(docs: DataFrame, folder: str, n: int, order: int, ranges: int, kinds:
                 x[k.astype(np.int64) - edges[r]] = c
                 _save(_path(folder, "before", 1, r), x)
                 _save(_path(folder, "of", 1, r), np.array([(x == i).sum() for i in (1, 2, 3, 4)], np.int64))
-            elif len(levels[-1].keys[r]):
+            elif levels[-1].sizes[r]:
                 x = np.load(_path(folder, "raw", n - 1, r)).astype(np.int64)
                 x[k.astype(np.int64) - levels[-1].base[r]] = c  # what nothing comes before begins with the start mark
-                _finish(folder, n - 1, r, np.asarray(levels[-1].keys[r]), x, bits)
+                _finish(folder, n - 1, r, np.asarray(levels[-1].array(r)), x, bits)
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32())], names=["r"])
 
     runs = docs.select("text").mapInArrow(grams, "r int, run binary").repartition("r").sortWithinPartitions("r")
@@ -432,9 +439,8 @@ def score(docs: DataFrame, model: NgramModel) -> DataFrame:
             if m.pairs:
                 u, back = np.unique(number, return_inverse=True)
                 kinds_before, cut = np.zeros(len(u), np.int64), np.searchsorted(u, edges)
-                for r in range(m.ranges):
-                    if cut[r + 1] > cut[r]:
-                        kinds_before[cut[r] : cut[r + 1]] = np.load(_path(m.folder, "before", 1, r), mmap_mode="r")[u[cut[r] : cut[r + 1]] - edges[r]]
+                for r in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                    kinds_before[cut[r] : cut[r + 1]] = np.load(_path(m.folder, "before", 1, r), mmap_mode="r")[u[cut[r] : cut[r + 1]] - edges[r]]
                 p = (np.maximum(kinds_before - _less(kinds_before, m.low), 0) / m.pairs + m.gamma_low * uniform)[back]
             ctx = _before(number, ends, m.kinds)
             for level, d in zip(levels, m.high):

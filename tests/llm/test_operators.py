@@ -599,6 +599,7 @@ def brute_lm(rows, train):
 
 def test_lm(spark, docs, monkeypatch):
     monkeypatch.setattr(ngram_lm, "RANGE", 500)
+    monkeypatch.setattr(ngram_lm, "ROOT", 1)
     rows = [(i, prose(R.randint(0, 80)) + (" Common words" * (i % 5))) for i in range(60)] + [(100, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = by_id(ngram_lm.lm_table(df))
@@ -640,6 +641,7 @@ def brute_order(rows, train, order):
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_lm_orders(spark, monkeypatch, order):
     monkeypatch.setattr(ngram_lm, "RANGE", 700)
+    monkeypatch.setattr(ngram_lm, "ROOT", 1)
     monkeypatch.setattr(ngram_lm, "FEW", 3)
     some = [f"v{i}" for i in range(12)]
     rows = [(i, " ".join(R.choice(some) for _ in range(R.randint(0, 90))) + " the same words again" * (i % 4)) for i in range(60)] + [(100, "")]
@@ -648,6 +650,29 @@ def test_lm_orders(spark, monkeypatch, order):
     assert all(np.isclose(got[i].score, want[i], rtol=1e-9) for i in want)
 
 
+def test_lm_open_files_are_bounded(spark, monkeypatch):
+    """With many ranges a worker still maps few files at a time, and scores stay the same."""
+    monkeypatch.setattr(ngram_lm, "ROOT", 1)
+    rows = [(i, " ".join(R.choice(WORDS) for _ in range(80))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: r.score for i, r in by_id(ngram_lm.lm_table(df, 3)).items()}
+    monkeypatch.setattr(ngram_lm, "RANGE", 30)
+    model = ngram_lm.train(df.where(~language_id.held_out(7, 2)), 3)
+    assert model.ranges > 50
+    monkeypatch.setattr(ngram_lm, "MAPPED", 4)
+    levels = ngram_lm._levels(model.folder, 3, model.ranges, [model.kinds + 1, *model.sizes[1:]], model.kinds.bit_length())
+    words = ngram_lm._Vocabulary(model.folder)
+    number, _, ends = ngram_lm._tokens([t for _, t in rows], words)
+    ctx = ngram_lm._before(number, ends, model.kinds)
+    for level in levels:
+        ids, c = level.find(ctx, number, counts=True)
+        level.sums(np.unique(ctx[ctx >= 0]))
+        ctx = ngram_lm._before(ids, ends, -1)
+        assert len(level.held) <= 4 and (c > 0).any()
+    got = by_id(ngram_lm.score(df, model))
+    assert all(np.isclose(got[i].score, s, rtol=1e-12) for i, s in want.items())
+
+
 def test_packed_runs():
     keys = np.sort(np.array(sorted({R.getrandbits(62) for _ in range(500)}), np.uint64) * np.uint64(2))
     counts = np.array([R.randint(1, 300) for _ in keys])
