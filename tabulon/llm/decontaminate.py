@@ -9,8 +9,9 @@ verified by exact containment: distinct shingle strings that item and document s
 Words are runs of letters and digits (WORD), A to Z lower-cased; an item of fewer than `width` words is one shingle of its own length.
 
 Defined cases: null texts count as empty and match nothing, as do items without words; repeated documents or items give one row
-for each (doc_id, item_id); rows with a null id are left out of the report; empty tables give an empty report. The stage of the
-pipeline keeps documents with a null id.
+for each (doc_id, item_id); rows with a null id are left out of the report; empty tables give an empty report; a share just at the
+threshold counts; texts of any length are read whole; only ids and texts are read, so columns of other names don't matter. The
+pipeline gives rows without an id a number first.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, ascii_lower, cut, text_of
 
-WIDTH, CONTAINED, BROADCAST_ROWS = 5, 0.8, 200_000
+WIDTH, CONTAINED, BROADCAST_BYTES = 5, 0.8, 16 << 20
 
 
 def _words() -> Column:
@@ -57,8 +58,12 @@ def item_shingles(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast if a count proves it small (at most BROADCAST_ROWS rows of some 100 bytes); else Spark joins by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast if a sum of bytes proves it small (at most BROADCAST_BYTES); else Spark joins by shuffle."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    size = F.lit(16 * len(df.columns))
+    for c in texts:
+        size = size + F.octet_length(c)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, contained: float = CONTAINED) -> DataFrame:
@@ -93,8 +98,8 @@ ORACLE = r"""
 WITH iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda k: array_to_string(w[k:k + least(len(w), 5) - 1], ' '))) AS s, least(len(w), 5) AS n FROM iw WHERE len(w) > 0),
-d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM dw WHERE len(w) >= 5),
+d AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS s FROM dw, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
 z AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
-f AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+f AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (n, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM f JOIN z USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
 """
