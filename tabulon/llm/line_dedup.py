@@ -9,7 +9,8 @@ A line is what stands between newlines, without ASCII white space at its ends; e
 The margin is six standard errors of the sketch and two sites more at least, so decisions are those of exact counts.
 
 Defined cases: null text counts as empty (no lines go); null sources are no site; repeated rows count as places but not
-as sites; rows with a null id are cleaned as others; an empty table gives an empty table; extra columns are kept.
+as sites; rows with a null id are cleaned as others; an empty table gives an empty table; extra columns are kept, but for
+n_lines, n_removed and the cleaned text's name, which the results replace; texts and lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of
 
-SITES, LOG_K, BROADCAST_LINES = 8, 12, 100_000
+SITES, LOG_K, BROADCAST_LINES, LITERAL_LINES = 8, 12, 100_000, 4_000
 
 
 def trimmed(line: Column) -> Column:
@@ -56,18 +57,40 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, sites: int = SITES, to: str = "clean_text") -> DataFrame:
-    """docs with n_lines, n_removed and `to`, the text without boilerplate lines."""
-    bad = boilerplate(docs, sites).select("h", "g")
-    own = docs.select("doc_id", F.explode(F.split(text_of("text"), "\n")).alias("line")).where(trimmed(F.col("line")) != "")
+    """docs with n_lines, n_removed and `to`, the text without boilerplate lines; these replace columns of the same name.
+
+    Up to LITERAL_LINES boilerplate lines, counted before, are sought in place, so that no text moves; beyond, each document gets its own by a join.
+    """
+    bad = cut(boilerplate(docs, sites).select("h", "g"))
+    n = bad.count()
+    held = docs.withColumn("_line_all", F.split(text_of("text"), "\n"))
+    if n <= LITERAL_LINES:
+        rows = bad.collect()  # at most LITERAL_LINES pairs of numbers
+
+        def gone(line: Column) -> Column:
+            k = line_key(line)
+            return k["h"].isin([r["h"] for r in rows]) & k["g"].isin([r["g"] for r in rows])
+
+        kept = F.filter("_line_all", lambda x: ~gone(x) | (trimmed(x) == "")) if rows else F.col("_line_all")
+        out = held.withColumn("_line_kept", kept)
+    else:
+        out = _joined(held, bad)
+    done = {"n_lines": F.size("_line_all").cast("long"), "n_removed": (F.size("_line_all") - F.size("_line_kept")).cast("long"), to: F.array_join("_line_kept", "\n")}
+    return out.withColumns(done).drop("_line_kept", "_line_all")
+
+
+def _joined(held: DataFrame, bad: DataFrame) -> DataFrame:
+    """held with _line_kept, by a join of each document with its own boilerplate; rows of one id have one list, of all their lines."""
+    own = held.select("doc_id", F.explode("_line_all").alias("line")).where(trimmed(F.col("line")) != "")
     own = own.select("doc_id", line_key(F.col("line")).alias("k")).select("doc_id", "k.h", "k.g")
     # a document's own boilerplate, never more than its lines
     marked = own.join(bad, ["h", "g"], "left_semi").groupBy(F.col("doc_id").alias("_line_id")).agg(F.collect_set(F.struct("h", "g")).alias("_line_bad"))
-    lines = F.split(text_of("text"), "\n")
-    joined = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_line_id"]), "left").withColumn("_line_all", lines)
+    # rows without an id may be many: they are told apart by a number of their own
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("_line_all"), F.lit(64)).cast("int")).otherwise(0)
+    marked = marked.withColumn("_line_salt", F.explode(F.when(F.col("_line_id").isNull(), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))))
+    joined = held.withColumn("_line_own", salt).join(marked, held["doc_id"].eqNullSafe(marked["_line_id"]) & (F.col("_line_own") == F.col("_line_salt")), "left")
     kept = F.when(F.col("_line_bad").isNull(), F.col("_line_all")).otherwise(F.filter("_line_all", lambda x: ~F.array_contains("_line_bad", line_key(x)) | (trimmed(x) == "")))
-    out = joined.withColumn("_line_kept", kept)
-    done = {"n_lines": F.size("_line_all").cast("long"), "n_removed": (F.size("_line_all") - F.size("_line_kept")).cast("long"), to: F.array_join("_line_kept", "\n")}
-    return out.withColumns(done).drop("_line_kept", "_line_bad", "_line_id", "_line_all")
+    return joined.withColumn("_line_kept", kept).drop("_line_bad", "_line_id", "_line_own", "_line_salt")
 
 
 ORACLE = r"""

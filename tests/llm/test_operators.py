@@ -346,9 +346,26 @@ def test_decontamination(spark, docs):
     got = {(r.doc_id, r.item_id): round(r.containment, 3) for r in decontaminate.contaminated(held, items).collect()}
     assert {k: v for k, v in got.items() if k[1] != 4} == {(100, 1): 1.0, (101, 1): round(32 / 36, 3), (103, 1): round(31 / 36, 3)}
     assert {k[0] for k in got if k[1] == 4} == {9, 10}
+    clashing = held.select("*", *(F.lit(1).alias(c) for c in ("w", "width", "hash", "shingle", "item_id", "k")))
+    assert {(r.doc_id, r.item_id): round(r.containment, 3) for r in decontaminate.contaminated(clashing, items.withColumn("doc_id", F.lit(3))).collect()} == got
     assert decontaminate.contaminated(held, items.limit(0)).count() == 0 == decontaminate.contaminated(held.limit(0), items).count()
 
 
+def test_decontamination_sql_of_short_items(spark):
+    """The operator and its SQL agree on items of one to seven words, with and without broadcasts."""
+    import duckdb
+
+    small = [f"w{i}" for i in range(9)]
+    docs = [(i, " ".join(R.choice(small) for _ in range(R.randint(0, 40)))) for i in range(80)] + [(90, None)]
+    items = [(i, " ".join(R.choice(small) for _ in range(R.randint(1, 7)))) for i in range(25)] + [(40, ""), (41, None)]
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.register(name, pa.table({key: [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())}))
+    want = sorted(con.execute(decontaminate.ORACLE).fetchall())
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == want and len(want) > 20
+
+
 def test_line_dedup(spark):
     rows = [(i, f"own {i}\n  Subscribe now \nSubscribe now\n\nlast {i}", f"s{i % 9}") for i in range(30)] + [(90, "few\nSubscribe now", None), (91, "few", "s1"), (92, None, "s2"), (None, "Subscribe now", "s3")]
     held = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -359,6 +376,25 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(held.limit(0)).count() == 0
 
 
+def test_line_dedup_both_ways(spark, monkeypatch):
+    """Boilerplate sought in place and by a join, with clashing columns and long texts, against plain Python."""
+    marks = [f"Footer {k}" for k in range(12)]
+    rows = [(R.choice((i, i, None)), "\n".join(R.choice((f"own {i} {k}", f" {R.choice(marks)}\t", "")) for k in range(R.choice((0, 3, 9, 400)))), R.choice((None, *(f"s{k}" for k in range(12)))), "x", "y", "z") for i in range(120)] + [(7, None, "s1", "x", "y", "z")]
+    held = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines string, clean_text string, k string")
+    sites = defaultdict(set)
+    strip = lambda line: line.strip(" \t\r\x0b\x0c")
+    for _, t, source, *_ in rows:
+        for line in (t or "").split("\n"):
+            if source and strip(line):
+                sites[strip(line)].add(source)
+    bad = {line for line, s in sites.items() if len(s) >= 8}
+    want = sorted((str(i), "\n".join(line for line in (t or "").split("\n") if strip(line) not in bad), len((t or "").split("\n")), "z") for i, t, *_ in rows)
+    for literal in (4_000, 0):
+        monkeypatch.setattr(line_dedup, "LITERAL_LINES", literal)
+        got = line_dedup.line_dedup(held)
+        assert sorted((str(r.doc_id), r.clean_text, r.n_lines, r.k) for r in got.collect()) == want and bad
+
+
 def test_licenses(docs):
     got = by_id(licenses.license_table(docs))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
