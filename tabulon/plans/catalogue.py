@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from .. import faker, row
 from ..functions import parse as P
 from ..operators import encode as E
-from ..operators.frame import Relation
+from ..operators.frame import Relation, RelationBuilder
 from ..operators.position import POSITION
 from ..schema import FlatColumn, RelationSchema, statistics
 from ..types import NAMES, promote
@@ -91,12 +92,14 @@ def slice_negative(t: Rel, spark: SparkSession) -> DataFrame:
 
 @query
 def row_at(t: Rel, spark: SparkSession) -> DataFrame:
-    return t("events").slice(7, 1).spark
+    events = t("events")
+    return spark.createDataFrame([events.row(7), events.row(-1)], events.spark.schema)
 
 
 @query
 def collect_limit(t: Rel, spark: SparkSession) -> DataFrame:
-    return t("orders").select(["o_orderkey", "o_totalprice"]).head(10).spark
+    keys, prices = t("orders").collect(["o_orderkey", "o_totalprice"], limit=10)
+    return spark.createDataFrame([(int(k), float(p)) for k, p in zip(keys, prices)], "o_orderkey long, o_totalprice double")
 
 
 @query
@@ -121,8 +124,7 @@ def union_distinct_rows(t: Rel, spark: SparkSession) -> DataFrame:
 
 @query
 def shape(t: Rel, spark: SparkSession) -> DataFrame:
-    orders = t("orders")
-    return orders.spark.agg(F.count(F.lit(1)).alias("rowcount")).withColumn("columncount", F.lit(orders.columncount).cast("long"))
+    return spark.createDataFrame([t("orders").shape], "rowcount long, columncount long")
 
 
 @query
@@ -238,8 +240,7 @@ def compressed_multiply(t: Rel, spark: SparkSession) -> DataFrame:
 
 @query
 def frame_hash(t: Rel, spark: SparkSession) -> DataFrame:
-    text = F.concat_ws("|", F.col("event_id").cast("string"), F.col("event_type"))
-    return t("events").spark.agg(F.bit_xor(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).alias("h"), F.count("*").alias("n"))
+    return t("events").select(["event_id", "event_type"]).fingerprint()
 
 
 @query
@@ -286,3 +287,107 @@ def promotion_table(t: Rel, spark: SparkSession) -> DataFrame:
 def distinct_keep_first(t: Rel, spark: SparkSession) -> DataFrame:
     first = t("events").select(["event_type"]).distinct(keep_first=True).held
     return first.select("event_type", F.col(POSITION).alias("first_position"))
+
+
+# derived relations: places count their own rows
+@query
+def take_after_query(t: Rel, spark: SparkSession) -> DataFrame:
+    return t("events").query("event_id % 7 = 3").take([0, 2, 5, 1_000_000]).spark
+
+
+@query
+def mask_after_query(t: Rel, spark: SparkSession) -> DataFrame:
+    return t("events").query("event_id % 7 = 3").filter([i % 3 == 0 for i in range(90)]).spark
+
+
+@query
+def batches_after_query(t: Rel, spark: SparkSession) -> DataFrame:
+    ids = t("events").query("event_type != 'view'").batch_ids(500)
+    return ids.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query
+def slice_after_query(t: Rel, spark: SparkSession) -> DataFrame:
+    return t("events").query("event_type != 'view'").slice(40, 30).spark
+
+
+@query
+def slice_of_slice(t: Rel, spark: SparkSession) -> DataFrame:
+    return t("events").slice(-100).slice(10, 20).take([0, 19]).spark
+
+
+@query
+def batch_three(t: Rel, spark: SparkSession) -> DataFrame:
+    found = list(t("nation").to_batches(7))
+    return found[3].spark
+
+
+@query
+def head_of_union(t: Rel, spark: SparkSession) -> DataFrame:
+    return (t("region") + t("region").query("r_regionkey > 2")).head(7).spark
+
+
+@query
+def take_of_union(t: Rel, spark: SparkSession) -> DataFrame:
+    nation = t("nation")
+    return (nation.query("n_regionkey = 1") + nation.query("n_regionkey = 3")).take([0, 4, 5, 9]).spark
+
+
+@query
+def distinct_in_order(t: Rel, spark: SparkSession) -> DataFrame:
+    first = t("orders").select(["o_orderpriority"]).distinct().dense().held
+    return first.select("o_orderpriority", F.col(POSITION).alias("place"))
+
+
+@query
+def from_dicts(t: Rel, spark: SparkSession) -> DataFrame:
+    return Relation.from_dicts(spark, [{"a": 1, "b": "x"}, {"b": "y", "c": 3}, {"a": 4}]).spark
+
+
+@query
+def append_records(t: Rel, spark: SparkSession) -> DataFrame:
+    schema = RelationSchema("made", [FlatColumn("id", "INTEGER", nullable=False), FlatColumn("name", "VARCHAR"), FlatColumn("price", "DECIMAL(10,2)")])
+    builder = RelationBuilder(spark, schema)
+    for k in t("nation").select("n_nationkey").collect("n_nationkey"):
+        builder.append({"id": int(k), "name": None if k % 5 == 0 else f"nation {k}", "price": Decimal(int(k)) / 4})
+    return builder.relation().spark
+
+
+@query
+def defaults(t: Rel, spark: SparkSession) -> DataFrame:
+    events = t("events").spark.select("event_id", F.nullif("event_type", F.lit("view")).alias("event_type"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("value"))
+    return RelationSchema("events", [FlatColumn("event_id", "INTEGER"), FlatColumn("event_type", "VARCHAR", default="none"), FlatColumn("value", "DOUBLE", default=-1.0)]).with_defaults(events)
+
+
+@query
+def validate_types(t: Rel, spark: SparkSession) -> DataFrame:
+    orders = t("orders").spark.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("price"), F.lit(1).alias("extra"))
+    schema = RelationSchema("orders", [FlatColumn("o_orderkey", "INTEGER"), FlatColumn("o_orderstatus", "VARCHAR", nullable=False), FlatColumn("price", "INTEGER"), FlatColumn("lost", "DATE")])
+    return orders.select("o_orderkey", F.array_join(schema.errors(given=orders.schema), "; ").alias("faults"))
+
+
+# parsers at their edges
+_WIDE = ("123456789012.5", "12345678901234567", "0.1234567890123456789012", "-99999999999999999.999999999999999999999", "2.5", "abc", "1e3", "99999999999999999999999999999999999999")
+column("cast_decimal_wide:events", lambda d: d.select("event_id", P.decimal(F.element_at(F.array(*map(F.lit, _WIDE)), (F.col("event_id") % len(_WIDE) + 1).cast("int")), 38, 21, T.StringType()).cast("string").alias("dec")))
+column("cast_decimal_big:events", lambda d: d.select("event_id", P.decimal(F.concat(F.col("event_id").cast("string"), F.lit("0000000000000000000000.125")), 38, 2, T.StringType()).cast("string").alias("dec")))
+column("cast_double:events", lambda d: d.select("event_id", P.double(F.element_at(F.array(*map(F.lit, ("1.5", "-2e3", "x", "", "7"))), (F.col("event_id") % 5 + 1).cast("int")), T.StringType()).alias("num")))
+column("cast_time:events", lambda d: d.select("event_id", P.time_of_day(F.col("ts"), d.schema["ts"].dataType).alias("t")))
+column("cast_varchar_bytes:events", lambda d: d.select("event_id", P.varchar(F.concat(F.col("event_id").cast("string"), F.lit("é日😀xyz")), 9).alias("short")))
+column("cast_interval_fraction:events", lambda d: d.select("event_id", (F.col("ts").cast("timestamp_ntz") + P.interval(F.col("event_id") % 8 / 4)).alias("ts_shift")))
+column("encode_rle:events", lambda d: E.encode(d, "rle", "event_id", "event_type"))
+column("encode_dictionary:events", lambda d: E.encode(d, "dictionary", "event_id", "event_type"))
+
+
+def cast_epoch_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch seconds read the same in whatever zone: the zone is set while the rows are made, as text."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ids = [r.event_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect()]
+        made = spark.createDataFrame([(i,) for i in ids], "event_id long").select("event_id", P.timestamp((F.col("event_id") * 86_399).cast("string"), T.StringType()).cast("string").alias("moment"))
+        return spark.createDataFrame(made.collect(), made.schema)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+QUERIES["cast_epoch_zone"] = cast_epoch_zone

@@ -11,7 +11,7 @@ ORACLES = {
     "tail": r"""SELECT * FROM events ORDER BY event_id DESC LIMIT 5""",
     "slice": r"""SELECT * FROM events ORDER BY event_id LIMIT 20 OFFSET 100""",
     "slice_negative": r"""SELECT * FROM events WHERE event_id >= (SELECT count(*) - 10 FROM events) AND event_id < (SELECT count(*) - 7 FROM events)""",
-    "row_at": r"""SELECT * FROM events WHERE event_id = 7""",
+    "row_at": r"""SELECT * FROM events WHERE event_id = 7 OR event_id = (SELECT count(*) - 1 FROM events)""",
     "collect_limit": r"""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10""",
     "distinct": r"""SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem""",
     "distinct_with_nulls": r"""SELECT DISTINCT nullif(event_type, 'view') AS event_type FROM events""",
@@ -52,10 +52,36 @@ ORACLES = {
     "constant_column": r"""SELECT event_id, 'fixed' AS c FROM events""",
     "compressed_multiply": r"""SELECT l_orderkey, l_linenumber, l_linenumber * 2 AS doubled FROM lineitem""",
     "row_json": r"""SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS js FROM nation""",
-    "frame_hash": r"""SELECT bit_xor(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '|' || event_type), 1, 15) AS BIGINT)) AS h, count(*) AS n FROM events""",
+    "frame_hash": r"""SELECT bit_xor(CAST('0x' || substr(md5(length(CAST(event_id AS VARCHAR)) || ':' || event_id || coalesce(length(event_type) || ':' || event_type, '-')), 1, 15) AS BIGINT)) AS h, count(*) AS n FROM events""",
     "arrow_roundtrip": r"""SELECT * FROM customer""",
     "description": r"""SELECT * FROM (VALUES ('n_nationkey','INTEGER',true),('n_name','VARCHAR',true),('n_regionkey','INTEGER',true)) t(name, type_code, null_ok)""",
     "redact": r"""SELECT c_custkey, substr(sha256(c_name), 1, 8) AS redacted FROM customer""",
     "flagship": r"""SELECT CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS "SUM(l_quantity)", CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DECIMAL(20,2)) AS "SUM(l_extendedprice)", round(avg(l_discount), 6) AS "AVG(l_discount)", count(*) AS "COUNT(*)", l_returnflag, l_linestatus FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag, l_linestatus""",
     "distinct_keep_first": """SELECT event_type, min(event_id) AS first_position FROM events GROUP BY event_type""",
+    "take_after_query": r"""SELECT * FROM events WHERE event_id IN (3, 17, 38)""",
+    "mask_after_query": r"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events WHERE event_id % 7 = 3) WHERE k < 90 AND k % 3 = 0""",
+    "batches_after_query": r"""SELECT CAST(k // 500 AS BIGINT) AS batch_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events WHERE event_type <> 'view') GROUP BY 1""",
+    "slice_after_query": r"""SELECT * FROM events WHERE event_type <> 'view' ORDER BY event_id LIMIT 30 OFFSET 40""",
+    "slice_of_slice": r"""SELECT * FROM events WHERE event_id IN ((SELECT count(*) - 90 FROM events), (SELECT count(*) - 71 FROM events))""",
+    "batch_three": r"""SELECT * FROM nation ORDER BY n_nationkey LIMIT 7 OFFSET 21""",
+    "head_of_union": r"""SELECT * FROM region UNION ALL SELECT * FROM region WHERE r_regionkey IN (3, 4)""",
+    "take_of_union": r"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation WHERE n_regionkey IN (1, 3)) WHERE k IN (0, 4)""",
+    "distinct_in_order": r"""SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY f) - 1 AS BIGINT) AS place FROM (SELECT o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY o_orderpriority)""",
+    "from_dicts": r"""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'x'), (NULL, 'y'), (4, NULL)) t(a, b)""",
+    "append_records": r"""SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 5 <> 0 THEN 'nation ' || n_nationkey END AS name, CAST(n_nationkey / 4 AS DECIMAL(10,2)) AS price FROM nation""",
+    "defaults": r"""SELECT event_id, coalesce(nullif(event_type, 'view'), 'none') AS event_type, CASE WHEN event_id % 3 > 0 THEN coalesce(value, -1.0) ELSE -1.0 END AS value FROM events""",
+    "validate_types": r"""SELECT o_orderkey, concat_ws('; ', 'extra: Unknown field', CASE WHEN nullif(o_orderstatus, 'P') IS NULL THEN 'o_orderstatus: Column not Nullable' END, CASE WHEN o_orderkey % 2 = 0 AND o_totalprice IS NOT NULL THEN 'price: Wrong type, DOUBLE for INTEGER' END, 'lost: Column missing') AS faults FROM orders""",
+    "cast_decimal_wide": r"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN '123456789012.500000000000000000000' WHEN 1 THEN '12345678901234567.000000000000000000000' WHEN 2 THEN '0.123456789012345678901' WHEN 3 THEN '-99999999999999999.999999999999999999999' WHEN 4 THEN '2.500000000000000000000' WHEN 6 THEN '1000.000000000000000000000' END AS dec FROM events""",
+    "cast_decimal_big": r"""SELECT event_id, CASE WHEN event_id = 0 THEN '0.12' ELSE event_id || '0000000000000000000000.' || CASE WHEN length(CAST(event_id AS VARCHAR)) + 22 <= 30 THEN '12' ELSE '13' END END AS dec FROM events""",
+    "cast_double": r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1.5 WHEN 1 THEN -2000.0 WHEN 4 THEN 7.0 END::DOUBLE AS num FROM events""",
+    "cast_time": r"""SELECT event_id, strftime(ts, '%H:%M:%S') AS t FROM events""",
+    "cast_varchar_bytes": r"""SELECT event_id, event_id || CASE length(CAST(event_id AS VARCHAR)) WHEN 1 THEN 'é日' WHEN 2 THEN 'é日' WHEN 3 THEN 'é日' WHEN 4 THEN 'é日' WHEN 5 THEN 'é' WHEN 6 THEN 'é' END AS short FROM events""",
+    "cast_interval_fraction": r"""SELECT event_id, ts + to_hours(CAST(event_id % 8 * 6 AS INTEGER)) AS ts_shift FROM events""",
+    "cast_epoch_zone": r"""SELECT event_id, strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(event_id * 86399), '%Y-%m-%d %H:%M:%S') AS moment FROM events""",
+    "encode_rle": r"""SELECT min(event_id) AS start_pos, any_value(event_type) AS run_value, count(*) AS run_length FROM (SELECT *, sum(chg) OVER (ORDER BY event_id) AS run_id FROM (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS chg FROM events)) GROUP BY run_id""",
+    "encode_dictionary": r"""SELECT event_id, code FROM events JOIN (SELECT event_type AS v, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS BIGINT) AS code FROM events GROUP BY event_type) ON event_type IS NOT DISTINCT FROM v""",
+    "row_bytes": r"""SELECT unhex('5201' || printf('%08X', strlen(js)) || hex(js)) AS frame FROM (SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS js FROM nation)""",
+    "promotion_table": r"""WITH t(n, g, i) AS (VALUES ('BOOLEAN','num',1),('INTEGER','num',2),('DOUBLE','num',3),('DECIMAL','num',4),('VARCHAR','',0),('BLOB','',0),('DATE','time',1),('TIMESTAMP','time',2),('TIME','',0),('INTERVAL','',0),('ARRAY','list',2),('STRUCT','',0),('JSONB','',0),('VECTOR','list',1),('NULL','',0))
+SELECT a.n AS a, b.n AS b, CASE WHEN a.n = b.n THEN a.n WHEN a.n = 'NULL' THEN b.n WHEN b.n = 'NULL' THEN a.n WHEN a.g = b.g AND a.g <> '' THEN CASE WHEN a.i > b.i THEN a.n ELSE b.n END
+WHEN least(a.n, b.n) = 'BLOB' AND greatest(a.n, b.n) = 'VARCHAR' THEN 'VARCHAR' WHEN a.n = 'BLOB' OR b.n = 'BLOB' OR (a.n IN ('STRUCT','JSONB','VARCHAR') AND b.n IN ('STRUCT','JSONB','VARCHAR')) THEN 'BLOB' ELSE 'VARCHAR' END AS result FROM t a, t b""",
 }
