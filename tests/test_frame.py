@@ -148,3 +148,42 @@ def test_the_library_does_without_llm():
     for p in pathlib.Path(tabulon.__file__).parent.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"(import|from)\s+[\w.]*\bllm\b", p.read_text()), p
+
+
+def test_places_of_derived_relations(spark):
+    r = Relation.from_rows(spark, [(i, "ab"[i % 2]) for i in range(10)], ["a", "b"])
+    late = r.query("a >= 5")
+    values = lambda x: x.collect("a").tolist()
+    assert values(late.take([0, 1])) == [5, 6] and values(late.filter([True, False, True])) == [5, 7]
+    assert [x.batch_id for x in late.batch_ids(2).orderBy("a").collect()] == [0, 0, 1, 1, 2]
+    assert [values(b) for b in late.to_batches(2)] == [[5, 6], [7, 8], [9]]
+    both = late + r.query("a < 2")
+    assert values(both) == [5, 6, 7, 8, 9, 0, 1] and values(both.head(6)) == [5, 6, 7, 8, 9, 0] and values(both.take([4, 5])) == [9, 0]
+    assert values(both.slice(3, 3)) == [8, 9, 0] and values(both.slice(-2)) == [0, 1] and both.row(-1) == (1, "b") and late.row(1) == (6, "a")
+    assert [x.a for x in r.tail(3).spark.collect()] == [7, 8, 9] and [x.a for x in r.slice(-4, 2).spark.collect()] == [6, 7]
+    assert (r + late).select("b").distinct().collect("b").tolist() == ["a", "b"] and values(r.slice(8).slice(1)) == [9] and values(r.slice(20)) == []
+    for bad in (10, -11, -100):
+        with pytest.raises(IndexError):
+            r.row(bad)
+
+
+def test_encode_dispatch(spark):
+    df = spark.createDataFrame([(0, "x", {"k": 1}), (1, "x", None), (2, None, None)], "p long, v string, m map<string,int>")
+    assert {(r.start_pos, r.run_value, r.run_length) for r in E.encode(df, "rle", "p", "v").collect()} == {(0, "x", 2), (2, None, 1)}
+    codes = E.dictionary(df, "p", "v")
+    assert sorted((r.p, r.v) for r in E.decode(E.encode(df, "dictionary", "p", "v"), "dictionary", codes).where("v is not null").collect()) == [(0, "x"), (1, "x")]
+    assert E.decode(E.encode(df, "sparse", "p", "v"), "sparse", length=3).count() == 3
+    for kind, column in (("rle", "m"), ("dictionary", "m"), ("sparse", "m"), ("other", "v")):
+        with pytest.raises(TypeError):
+            E.encode(df, kind, "p", column)
+    with pytest.raises(TypeError):
+        E.decode(df, "dictionary")
+
+
+def test_builder_counts_bytes(spark):
+    b = RelationBuilder(spark, ["a", "b"])
+    sizes = []
+    for i in range(5):
+        b.append({"a": i, "b": "x" * i})
+        sizes.append(b.nbytes)
+    assert sizes[0] > 0 and all(y > x for x, y in zip(sizes, sizes[1:])) and b.relation().rowcount == 5

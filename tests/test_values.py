@@ -146,3 +146,128 @@ def test_faker(spark):
     assert 0 <= r[0] <= r[1] <= 100 and r[2] == 5_000 and 4_800 < r[3] < 5_000
     with pytest.raises(TypeError):
         faker.generate_fake_data(spark, RelationSchema("t", [FlatColumn("x", "STRUCT")]), 1)
+
+
+DAY, NOON = dt.date(2023, 4, 18), dt.datetime(2023, 4, 18, 12, 34, 56)
+D = decimal.Decimal
+#: Logical type, Spark type of the inputs, inputs, results: every rule of every parser for every kind of input it takes.
+TYPED = [
+    ("BOOLEAN", "string", "true FALSE yes no on off 1 0 y n t f TRUE oN".split() + [None], [True, False] * 6 + [True, True, None]),
+    ("BOOLEAN", "binary", [w.encode() for w in "true FALSE yes no on off 1 0 y n t f".split()] + [None], [True, False] * 6 + [None]),
+    ("BOOLEAN", "long", [1, 0, 2, None], [True, False, False, None]),
+    ("BOOLEAN", "double", [1.0, 0.0, None], [True, False, None]),
+    ("BOOLEAN", "boolean", [True, False, None], [True, False, None]),
+    ("BLOB", "string", ["hello", "", "特殊", None], [b"hello", b"", "特殊".encode(), None]),
+    ("BLOB", "binary", [b"bytes", b"", b"\xff\x00", None], [b"bytes", b"", b"\xff\x00", None]),
+    ("BLOB", "long", [123, None], [b"123", None]),
+    ("BLOB", "double", [123.45], [b"123.45"]),
+    ("BLOB", "boolean", [True, False], [b"True", b"False"]),
+    ("BLOB", "array<string>", [["list", "item"]], [b'["list","item"]']),
+    ("BLOB", "struct<key:string>", [("value",)], [b'{"key":"value"}']),
+    ("BLOB[5]", "string", ["hello world", "hi"], [b"hello", b"hi"]),
+    ("DATE", "string", ["2023-04-18", "2023-04-18 12:12:12", "2024-02-29", "2023-02-29", None], [DAY, DAY, dt.date(2024, 2, 29), None, None]),
+    ("DATE", "binary", [b"2023-04-18", None], [DAY, None]),
+    ("DATE", "date", [DAY, None], [DAY, None]),
+    ("DATE", "timestamp_ntz", [NOON], [DAY]),
+    ("DATE", "long", [1_681_776_000, -86_400, None], [DAY, dt.date(1969, 12, 31), None]),
+    ("TIMESTAMP", "string", ["2023-04-18T12:34:56", "2023-04-18", "1681776600", None], [NOON, dt.datetime(2023, 4, 18), dt.datetime(2023, 4, 18, 0, 10), None]),
+    ("TIMESTAMP", "binary", [b"2023-04-18T12:34:56"], [NOON]),
+    ("TIMESTAMP", "long", [1_681_776_600, 0, -1, 253_402_300_799, 253_402_300_800, None], [dt.datetime(2023, 4, 18, 0, 10), dt.datetime(1970, 1, 1), dt.datetime(1969, 12, 31, 23, 59, 59), dt.datetime(9999, 12, 31, 23, 59, 59), None, None]),
+    ("TIMESTAMP", "double", [1_681_776_600.9], [dt.datetime(2023, 4, 18, 0, 10)]),
+    ("TIMESTAMP", "date", [DAY], [dt.datetime(2023, 4, 18)]),
+    ("DECIMAL", "string", ["123.45", " 7 ", "1e3", "x", None], [D("123.45"), D(7), D(1000), None, None]),
+    ("DECIMAL", "long", [123, None], [D(123), None]),
+    ("DECIMAL(5,2)", "binary", [b"123.45"], [D("123.45")]),
+    ("DECIMAL(5,3)", "string", ["12.3455", "12.3465", "123.45"], [D("12.346"), D("12.346"), None]),
+    *((f"DECIMAL(38,{s})", "string", ["9" * (38 - s) + ("." + "9" * s if s else ""), "-" + "9" * (38 - s), "1" + "0" * (38 - s)], [D("9" * (38 - s) + ("." + "9" * s if s else "")), D("-" + "9" * (38 - s)), None]) for s in (0, 2, 10, 21, 32, 37)),
+    ("DOUBLE", "string", ["123.45", "-123.45", "1.23e5", "1.23E-5", "-inf", " 123.45 ", "000123.45000", "x", None], [123.45, -123.45, 123000.0, 0.0000123, float("-inf"), 123.45, 123.45, None, None]),
+    ("DOUBLE", "binary", [b"123.45"], [123.45]),
+    ("DOUBLE", "long", [123], [123.0]),
+    ("DOUBLE", "double", [float("inf"), None], [float("inf"), None]),
+    ("DOUBLE", "boolean", [True, False], [1.0, 0.0]),
+    ("INTEGER", "string", ["42", "-42", "0042", " 42 ", "9223372036854775807", "-9223372036854775808", "9223372036854775808", "4.2", None], [42, -42, 42, 42, 2**63 - 1, -(2**63), None, None, None]),
+    ("INTEGER", "binary", [b"42"], [42]),
+    ("INTEGER", "double", [42.9, -42.9], [42, -42]),
+    ("INTEGER", "boolean", [True, False, None], [1, 0, None]),
+    ("INTEGER", "long", [2**63 - 1, -(2**63)], [2**63 - 1, -(2**63)]),
+    ("VARCHAR", "string", ["hello", "", " padded ", None], ["hello", "", " padded ", None]),
+    ("VARCHAR", "long", [123], ["123"]),
+    ("VARCHAR", "double", [123.45], ["123.45"]),
+    ("VARCHAR", "boolean", [True, False], ["True", "False"]),
+    ("VARCHAR", "binary", [b"binary string"], ["binary string"]),
+    ("VARCHAR", "date", [DAY], ["2023-04-18"]),
+    ("VARCHAR", "timestamp_ntz", [NOON], ["2023-04-18 12:34:56"]),
+    ("VARCHAR", "array<string>", [["list", "items"]], ['["list","items"]']),
+    ("VARCHAR", "struct<key:string>", [("value",)], ['{"key":"value"}']),
+    ("VARCHAR[5]", "string", ["hello world", "abcdé", "abcé", "日本", "😀😀", "a😀b"], ["hello", "abcd", "abcé", "日", "😀", "a😀"]),
+    ("VARCHAR[1]", "string", ["é", "日", "😀", "ab", ""], ["", "", "", "a", ""]),
+    ("VARCHAR[10]", "string", ["hello"], ["hello"]),
+    ("NULL", "string", ["anything", None], [None, None]),
+    ("INTERVAL", "double", [1.5, 0.25, -0.5, 2.0, None], [dt.timedelta(days=1.5), dt.timedelta(hours=6), dt.timedelta(hours=-12), dt.timedelta(2), None]),
+    ("INTERVAL", "long", [3], [dt.timedelta(3)]),
+    ("ARRAY<INTEGER>", "array<long>", [[1, 2, 3], [], None], [[1, 2, 3], [], None]),
+    ("ARRAY<INTEGER>", "string", ["[1, 2, 3]", "[1, null, 3]", None], [[1, 2, 3], [1, None, 3], None]),
+    ("ARRAY<INTEGER>", "binary", [b"[1, 2, 3]"], [[1, 2, 3]]),
+    ("ARRAY<DOUBLE>", "string", ["[1.1, 2.2]"], [[1.1, 2.2]]),
+    ("ARRAY<BOOLEAN>", "array<boolean>", [[True, False]], [[True, False]]),
+    ("ARRAY<BOOLEAN>", "string", ['["true", "false", "yes"]'], [[True, False, True]]),
+    ("ARRAY<VARCHAR>", "array<long>", [[1, 2]], [["1", "2"]]),
+    ("ARRAY<BLOB>", "binary", [b'["hello", "world"]'], [[b"hello", b"world"]]),
+    ("ARRAY<DATE>", "array<string>", [["2023-04-18", "x"]], [[DAY, None]]),
+    ("ARRAY<TIMESTAMP>", "array<string>", [["2023-04-18T12:34:56"]], [[NOON]]),
+]
+
+
+def native(v):
+    if isinstance(v, list):
+        return [native(x) for x in v]
+    return bytes(v) if isinstance(v, bytearray) else v
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_typed_casts(spark, zone):
+    """All of them in two jobs by zone; a session's zone changes nothing."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for kind, given, values, want in TYPED:
+            df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {given}").coalesce(1)
+            got = [native(r.v) for r in df.select("i", P.parse(F.col("v"), kind, df.schema["v"].dataType).alias("v")).collect()]
+            assert got == want, (kind, given)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_varchar_of_long_texts_is_quick(spark):
+    long = "é" * 20_000
+    began = time.time()
+    rows = spark.range(2_000).select(P.varchar(F.concat(F.lit(long), F.col("id").cast("string")), 16_000).alias("v")).agg(F.min(F.length("v")), F.max(F.octet_length("v"))).first()
+    assert tuple(rows) == (8_000, 16_000) and time.time() - began < 20
+
+
+def test_row_bytes_keep_types():
+    kind = row.Row.make(["a", "b", "c", "d", "e", "f", "g"])
+    values = (D("12.340"), dt.time(3, 4, 5, 6), dt.timedelta(days=-1, microseconds=7), NOON, DAY, b"\x00\xff", {"k": [D("1"), None, dt.time(1)]})
+    assert tuple(kind.from_bytes(kind(values).to_bytes())) == values
+
+
+def test_hashes(spark):
+    import xxhash
+
+    from tabulon.functions import hashing
+
+    texts = ["", "abc", "é日", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(hashing.hash32_column(F.col("t")).alias("a"), hashing.hash64_column(F.encode("t", "UTF-8")).alias("b")).collect()
+    assert [(r.a, None if r.b is None else r.b % 2**64) for r in got] == [(None, None) if t is None else (xxhash.xxh32_intdigest(t.encode()), xxhash.xxh64_intdigest(t.encode())) for t in texts]
+    assert hashing.hash64(12) == xxhash.xxh64_intdigest(b"12") and hashing.hash32(b"ab") == xxhash.xxh32_intdigest(b"ab")
+
+
+def test_validation_of_frames(spark):
+    schema = RelationSchema("s", [FlatColumn("a", "INTEGER", nullable=False), FlatColumn("b", "VARCHAR"), FlatColumn("c", "JSONB")])
+    df = spark.createDataFrame([(1, 2.0, b"{}"), (None, None, None)], "a long, b double, c binary").coalesce(1)
+    assert [r[0] for r in df.select(schema.errors(given=df.schema)).collect()] == [["b: Wrong type, DOUBLE for VARCHAR"], ["a: Column not Nullable"]]
+    with pytest.raises(ExcessColumnsInDataError):
+        schema.check(df.withColumn("d", F.lit(1)))
+    with pytest.raises(Exception, match="c: Column missing"):
+        schema.check(df.drop("c")).collect()
+    assert schema.check(df.where("a = 1").withColumn("b", F.col("b").cast("string"))).count() == 1
