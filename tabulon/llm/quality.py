@@ -5,7 +5,7 @@ good documents each; the rate of a path is shrunk toward its host's and that of
 strengths are fitted by the method of moments. A document's posterior joins its evidence with its path's rate.
 
 `source` is read as host/path; where it has no path, the language stands for it. The models are fitted on at most `sample`
-labelled rows (smallest hashes first); rates come from all documents by grouped aggregation. Evidence is computed once for each text.
+labelled rows (smallest hashes first); rates come from all documents by grouped aggregation.
 The target of `keep` is the label `quality`. The label `toxic` is another matter, as toxic texts may be well written: a second model, of
 the hashed words that speak most for the label, gives `toxicity`, the probability by the text alone; it doesn't change `keep`.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, claim, cut, new_stage_path, word_hashes
+from .common import LETTERS, claim, cut, word_hashes
 
 SAMPLE, THRESHOLD, RIDGE = 20_000, 0.5, 1.0
 #: Up to so many bytes, counted before, the rates of paths are broadcast; beyond, they are joined by a shuffle with SALTS copies of each.
@@ -158,11 +158,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     total = good.agg(F.count("*"), F.sum("_y")).first()
     picked = good.orderBy(F.xxhash64("_id", "_y"), "_id", "_y", "_t").limit(sample)
     found = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(F.broadcast(picked), F.col("_d") == F.col("_id"))  # at most `sample` rows of three numbers
-    rows = found.select(_sample_row(F.col("text")).alias("_x"), "_y", "_t").limit(sample).collect()
+    rows = found.select(_sample_row(F.col("text")).alias("s"), "_y", "_t").limit(sample).select("s.*", "_y", "_t").toArrow()
     share = (total[1] or 0) / total[0] if total[0] else 1.0
-    x = np.array([r["_x"]["x"] for r in rows]).reshape(-1, FEATURES)
-    words = [np.frombuffer(r["_x"]["words"], np.int32) for r in rows]
-    return Model(x, np.array([r["_y"] for r in rows], float), words, np.array([r["_t"] for r in rows], int)), min(max(share, 1e-3), 1 - 1e-3)
+    x = np.array([v for c in rows.column("x").chunks for v in c.flatten().to_numpy()]).reshape(-1, FEATURES)
+    words = [np.frombuffer(w.as_buffer(), np.int32) for w in rows.column("words")]
+    y, toxic = (rows.column(c).to_numpy() for c in ("_y", "_t"))
+    return Model(x, y.astype(float), words, toxic.astype(int)), min(max(share, 1e-3), 1 - 1e-3)
 
 
 def _strength(n: Column, p: Column, mean: Column) -> Column:
@@ -210,12 +211,11 @@ def _judged(scored: DataFrame, share: float, threshold: float) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs with columns evidence, toxicity, host_rate, path_rate, posterior and keep (posterior >= threshold).
 
-    The documents and their evidence are written once as a table of the shared folder.
+    Evidence is computed twice, for the rates and for the rows, as keeping it with the texts would write all of them once more.
     """
     model, share = train(docs, labels, sample)
-    path = new_stage_path(docs.sparkSession, "evidence")
-    docs.select(F.struct("*").alias("doc"), host_of().alias("host"), path_of().alias("path"), _scores(F.col("text"), model).alias("s")).select("doc", "host", "path", "s.*").write.parquet(path)
-    out = _judged(docs.sparkSession.read.parquet(path), share, threshold)
+    scored = docs.select(F.struct("*").alias("doc"), host_of().alias("host"), path_of().alias("path"), _scores(F.col("text"), model).alias("s")).select("doc", "host", "path", "s.*")
+    out = _judged(scored, share, threshold)
     return out.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in RESULTS), *RESULTS)
 
 
