@@ -1,19 +1,21 @@
 """Exact deduplication by Patricia tries of whole texts.
 
-Every task puts its texts into radix tries, one for each (length, hash) partition, and passes on one row for each distinct text:
-the bytes, the smallest id and the number of rows. So a text that fills a third of the table crosses the shuffle once for each
-task. These rows go to partitions by length and hash, sorted, where tries hold one (length, hash prefix) bucket at a time;
-a terminal node holds the smallest id and the number of rows. Sorting keeps the other buckets on disk. A task's own tries
-pass on their largest subtrees once they hold TRIE_BYTES.
+Every task puts its texts into a radix trie, partitioned by (length, first byte of the hash), which the keys begin with, and passes on one row
+for each distinct text: the bytes, the smallest id and the number of rows. So a text that fills a third of the table crosses the
+shuffle once for each task. Once a task's trie holds TRIE_BYTES, its largest subtrees are spilled down to half of that: what they hold is passed on
+at once and they are cut off, to grow again if such texts come again. The rows go to partitions by length and hash, sorted, where one bucket of a length
+and four hash bytes is a trie at a time; a terminal node holds the smallest id and the number of rows. Sorting keeps the other buckets on disk.
 Documents then find their owner by (length, SHA-256), which the tries have verified on full bytes: two texts of one
-length and SHA-256 that differ stop the job.
+length and SHA-256 that differ stop the job. That join sees ids and hashes only, no texts.
 
 Defined cases: null text counts as empty; rows with equal text and equal smallest id all count as kept (a repeated row);
-a null id is never an owner unless all ids of the group are null; an empty table gives an empty table.
+a null id is never an owner unless all ids of the group are null; an empty table gives an empty table; only the id and the text are
+read, so columns of other names don't matter; texts of any length are compared whole.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import claim, slices, text_of
 
-TRIE_BYTES = 48 << 20
+TRIE_BYTES, OUT_BYTES = 48 << 20, 4 << 20
 #: A run of ASCII white space that isn't one space already.
 ODD_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -62,6 +64,31 @@ class Patricia:
             self.bytes += 200
             node, at = middle, at + k
 
+    def cut_off(self, goal: int) -> Iterator[tuple[bytes, list]]:
+        """Cuts off the largest subtrees until they free `goal` bytes; gives the keys and ends that they held."""
+        order, stack = [], [self.root]
+        while stack:  # parents before children
+            order.append(node := stack.pop())
+            stack.extend(node[1].values())
+        size: dict[int, int] = {}
+        for node in reversed(order):
+            size[id(node)] = len(node[0]) + 200 + sum(size[id(c)] for c in node[1].values())
+        open_ = [(-size[id(c)], n, self.root, c, b"") for n, c in enumerate(self.root[1].values())]
+        heapq.heapify(open_)
+        number = len(open_)
+        while open_ and goal > 0:
+            held, _, parent, node, path = heapq.heappop(open_)
+            if -held > goal and node[1]:  # a part of it is enough
+                path += node[0]
+                for c in node[1].values():
+                    number += 1
+                    heapq.heappush(open_, (-size[id(c)], number, node, c, path))
+                continue
+            del parent[1][node[0][0]]
+            goal += held
+            self.bytes += held
+            yield from self.items(node, path)
+
     def items(self, node: list | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, list]]:
         stack = [(node or self.root, prefix)]
         while stack:
@@ -90,32 +117,31 @@ def normal_text(text: str | Column = "text") -> Column:
 
 
 _KEYS = ["_len", "_sha"]
+_NAMES, _KINDS = ["_len", "_sha", "_text", "_low", "_rows"], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 _OWNERS = "_len long, _sha binary, _low long, _rows long"
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct text that the tries hold, subtree by subtree."""
-    tries: dict[tuple[int, int], Patricia] = {}
-    held = 0
-
-    def out(keys: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), 256):
-            rows = [(len(t), end[2], t, end[0], end[1]) for k in keys[i : i + 256] for t, end in tries.pop(k).items()]
-            yield _batch(rows, [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()], ["_len", "_sha", "_text", "_low", "_rows"])
-
+    """One row for each distinct text that the trie holds, subtree by subtree."""
     claim("exact_dedup")
+    trie, head = Patricia(), 9
+
+    def out(items: Iterator[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for key, (low, n, sha) in items:
+            rows.append((len(key) - head, sha, key[head:], low, n))
+            size += len(key)
+            if size > OUT_BYTES:
+                yield _batch(rows, _KINDS, _NAMES)
+                rows, size = [], 0
+        yield _batch(rows, _KINDS, _NAMES)
+
     for b in slices(batches, "_text"):
         for doc_id, sha, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-            trie = tries.setdefault((len(text), sha[0]), Patricia())
-            before = trie.bytes
-            trie.add(text, doc_id, 1, sha)
-            held += trie.bytes - before
-        if held > TRIE_BYTES:
-            largest = sorted(tries, key=lambda k: tries[k].bytes, reverse=True)
-            gone = largest[: max(1, len(largest) // 2)]
-            held -= sum(tries[k].bytes for k in gone)
-            yield from out(gone)
-    yield from out(list(tries))
+            trie.add(len(text).to_bytes(8, "big") + sha[:1] + text, doc_id, 1, sha)
+        if trie.bytes > TRIE_BYTES:
+            yield from out(trie.cut_off(trie.bytes - TRIE_BYTES // 2))
+    yield from out(trie.items())
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +159,9 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds, names = [pa.int64(), pa.binary(), pa.int64(), pa.int64()], ["_len", "_sha", "_low", "_rows"]
     for b in slices(batches, "_text"):
         for n, sha, text, low, rows in zip(*(c.to_pylist() for c in b.columns)):
-            if (n, sha[:2]) != bucket:
+            if (n, sha[:4]) != bucket:
                 close()
-                bucket, trie = (n, sha[:2]), Patricia()
+                bucket, trie = (n, sha[:4]), Patricia()
             trie.add(text, low, rows, sha)
         if len(out) > 5_000:
             yield _batch(out, kinds, names)

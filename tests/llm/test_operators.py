@@ -256,6 +256,28 @@ def test_patricia():
     assert {k: (v[0], v[1]) for k, v in trie.items()} == {k: (keys.index(k), keys.count(k)) for k in keys}
 
 
+def test_patricia_spills_subtrees():
+    """What is cut off and what stays make up all keys, with counts that add up; the goal is met and little more is cut."""
+    for trial in range(30):
+        trie, seen = exact_dedup.Patricia(), defaultdict(int)
+        out, low = defaultdict(int), {}
+        for i in range(400):
+            k = bytes(R.choices(b"abc", k=R.randint(0, 12)))
+            trie.add(k, i, 1, None)
+            seen[k] += 1
+            if i % 97 == 96:
+                before, goal = trie.bytes, R.randint(1, trie.bytes)
+                for key, (least, n, _) in trie.cut_off(goal):
+                    out[key] += n
+                    low[key] = min(low.get(key, least), least)
+                assert before - trie.bytes >= min(goal, before) - 400
+        for key, (least, n, _) in trie.items():
+            out[key] += n
+            low[key] = min(low.get(key, least), least)
+        assert out == seen
+    assert list(exact_dedup.Patricia().cut_off(10)) == []
+
+
 def test_word_hashes(monkeypatch):
     """As many distinct hashes as words, equal ones for equal words, in order, whatever the pieces."""
     seen = {}
