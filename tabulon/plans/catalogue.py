@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import faker, row
+from .. import display as show
+from .. import faker, row, sources
 from ..functions import parse as P
 from ..operators import encode as E
 from ..operators.frame import Relation, RelationBuilder
 from ..operators.position import POSITION
-from ..schema import FlatColumn, RelationSchema, statistics
-from ..types import NAMES, promote
+from ..schema import DataValidationError, ExcessColumnsInDataError, FlatColumn, RelationSchema, statistics
+from ..types import NAMES, parse_type, promote
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 Rel = Callable[[str], Relation]
@@ -391,3 +392,163 @@ def cast_epoch_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["cast_epoch_zone"] = cast_epoch_zone
+
+
+# construction and interchange
+@query
+def from_tuples(t: Rel, spark: SparkSession) -> DataFrame:
+    rows = [tuple(r) for r in t("region").select(["r_regionkey", "r_name"])]
+    return Relation.from_rows(spark, rows, ["key", "name"]).spark
+
+
+@query
+def pandas_roundtrip(t: Rel, spark: SparkSession) -> DataFrame:
+    return sources.from_pandas(spark, t("supplier").pandas()).spark
+
+
+@query
+def column_arrays(t: Rel, spark: SparkSession) -> DataFrame:
+    nation = t("nation")
+    return spark.createDataFrame(list(zip(nation["n_name"].tolist(), nation[0].tolist())), "name string, key long")
+
+
+@query
+def record_columns(t: Rel, spark: SparkSession) -> DataFrame:
+    records = [r.as_dict for r in map(_rows_of(t("nation")), t("nation"))]
+    names, keys = row.extract_columns(records, ["n_name", "n_regionkey"])
+    return spark.createDataFrame([(*row.extract_fields(r, ["n_nationkey", "none"]), n, k) for r, n, k in zip(records, names, keys)], "nation long, nothing string, name string, region long")
+
+
+def _rows_of(r: Relation) -> type[row.Row]:
+    return row.Row.make(list(r.column_names))
+
+
+@query
+def row_frames_roundtrip(t: Rel, spark: SparkSession) -> DataFrame:
+    kind = _rows_of(t("supplier"))
+    return spark.createDataFrame([tuple(kind.from_bytes(kind(r).to_bytes())) for r in t("supplier")], t("supplier").spark.schema)
+
+
+@query
+def row_accessors(t: Rel, spark: SparkSession) -> DataFrame:
+    rows = list(map(_rows_of(t("region")), t("region")))
+    return spark.createDataFrame([(r.get("r_name"), r.get("none", "-"), ",".join(r.keys()), r.as_map[0][1], r.as_json) for r in rows], "name string, other string, fields string, key long, js string")
+
+
+@query
+def frame_bytes(t: Rel, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t("nation").nbytes(),)], "bytes long")
+
+
+@query
+def cursor_fetches(t: Rel, spark: SparkSession) -> DataFrame:
+    nation = t("nation").select(["n_nationkey", "n_name"])
+    got = [("one", nation.fetchone()), *(("many", r) for r in nation.fetchmany(4)), *(("all", r) for r in nation.fetchall())]
+    return spark.createDataFrame([(how, *r) for how, r in got] + [("end", -1, str(nation.fetchone()))], "how string, key long, name string")
+
+
+@query
+def materialized(t: Rel, spark: SparkSession) -> DataFrame:
+    held = t("customer").materialize()
+    return spark.createDataFrame([(len(held), held.columncount, sum(1 for _ in held))], "rowcount long, columncount long, iterated long")
+
+
+@query
+def query_callable(t: Rel, spark: SparkSession) -> DataFrame:
+    return t("nation").query(lambda r: r.n_regionkey == 2 and "I" in r.n_name).spark
+
+
+@query
+def cast_null(t: Rel, spark: SparkSession) -> DataFrame:
+    return t("region").spark.select("r_regionkey", P.parse(F.col("r_name"), "NULL").cast("string").alias("nothing"))
+
+
+@query
+def function_column(t: Rel, spark: SparkSession) -> DataFrame:
+    return E.function_column(t("region").spark.select("r_regionkey"), "made", lambda a, b: a * b, 6, 7)
+
+
+# types and schemas
+@query
+def type_names(t: Rel, spark: SparkSession) -> DataFrame:
+    texts = ["bigint", "VARCHAR[12]", "decimal(10, 2)", "list", "array<date>", "vector[8]", "numeric(4,1)", "bson", "blob[3]", "Timestamp", "varchar[x]", "decimal(40,2)", "array<array<integer>>", "integer[3]", ""]
+
+    def read(text: str) -> tuple:
+        try:
+            k = parse_type(text)
+        except ValueError:
+            return text, None, None, None, None, None
+        return text, str(k), k.is_numeric, k.is_temporal, k.is_complex, k.python_type.__name__
+
+    return spark.createDataFrame([read(x) for x in texts], "given string, type string, numeric boolean, temporal boolean, complex boolean, python string")
+
+
+@query
+def arrow_fields(t: Rel, spark: SparkSession) -> DataFrame:
+    there = RelationSchema.from_arrow(t("orders").arrow(1).schema)
+    back = there.arrow()
+    return spark.createDataFrame([(c.name, str(c.type), str(f.type), c.nullable, str(FlatColumn.from_arrow(f).type)) for c, f in zip(there, back)], "name string, type string, arrow string, nullable boolean, again string")
+
+
+_MADE = RelationSchema("made", [FlatColumn("id", "INTEGER", aliases=("key", "nr"), nullable=False), FlatColumn("name", "VARCHAR[8]", default="x"), FlatColumn("price", "DECIMAL(9,2)", disposition="MONEY")], aliases=["m"])
+
+
+@query
+def schema_lookup(t: Rel, spark: SparkSession) -> DataFrame:
+    wanted = ["id", "nr", "NAME", "price", "none"]
+    name = lambda c: c and c.name
+    return spark.createDataFrame([(w, name(_MADE.find_column(w)), name(_MADE.find_column(w, case_insensitive=True))) for w in wanted], "wanted string, found string, found_in_any_case string")
+
+
+@query
+def schema_algebra(t: Rel, spark: SparkSession) -> DataFrame:
+    both = _MADE + RelationSchema("other", [_MADE.columns[1], FlatColumn("late", "DATE")], aliases=["o", "m"])
+    gone = both.pop_column("key")
+    return spark.createDataFrame([(i, c.name, ",".join(c.all_names), gone.name, ",".join(both.aliases), both.num_columns) for i, c in enumerate(both)], "place long, name string, names string, gone string, aliases string, columns long")
+
+
+@query
+def schema_roundtrip(t: Rel, spark: SparkSession) -> DataFrame:
+    import json
+
+    back = RelationSchema.from_dict(json.loads(_MADE.to_json()))
+    again = RelationSchema.from_spark(back.spark)
+    return spark.createDataFrame([(c.name, str(c.type), c.nullable, c.default, FlatColumn.from_json(c.to_json()).disposition, c.to_flatcolumn().disposition, str(again.column(i).type), again.column(c.name) is not None) for i, c in enumerate(back)], "name string, type string, nullable boolean, preset string, disposition string, flat string, again string, found boolean")
+
+
+@query
+def record_faults(t: Rel, spark: SparkSession) -> DataFrame:
+    records = [{"id": 1, "name": "a", "price": None}, {"id": None, "name": 3, "price": None}, {"id": 1}, {"id": 1, "name": "a", "price": None, "more": 1, "most": 2}]
+
+    def fault(r: dict) -> str:
+        try:
+            _MADE.validate(r)
+        except (DataValidationError, ExcessColumnsInDataError) as e:
+            return str(e)
+        return "valid"
+
+    return spark.createDataFrame([(i, fault(r)) for i, r in enumerate(records)], "record long, fault string")
+
+
+# display
+@query
+def markdown_lines(t: Rel, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(t("region").select(["r_regionkey", "r_name"]).markdown(limit=3).split("\n"))), "line long, shown string")
+
+
+@query
+def html_table(t: Rel, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t("region").select(["r_regionkey", "r_name"])._repr_html_(),)], "shown string")
+
+
+@query
+def display_footer(t: Rel, spark: SparkSession) -> DataFrame:
+    lines = t("nation").select(["n_nationkey", "n_name"]).display(limit=2, display_width=False, show_types=True).split("\n")
+    return spark.createDataFrame([(i, x.strip("│ ").replace("│", "|")) for i, x in enumerate(lines) if "│" in x or x.startswith("[")], "line long, shown string")
+
+
+@query
+def interval_text(t: Rel, spark: SparkSession) -> DataFrame:
+    from datetime import timedelta
+
+    return spark.createDataFrame([(s, show.span(timedelta(seconds=s))) for s in (0, 59, 3_600, 90_061, 31_536_000)], "seconds long, shown string")

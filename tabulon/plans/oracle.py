@@ -84,4 +84,26 @@ ORACLES = {
     "promotion_table": r"""WITH t(n, g, i) AS (VALUES ('BOOLEAN','num',1),('INTEGER','num',2),('DOUBLE','num',3),('DECIMAL','num',4),('VARCHAR','',0),('BLOB','',0),('DATE','time',1),('TIMESTAMP','time',2),('TIME','',0),('INTERVAL','',0),('ARRAY','list',2),('STRUCT','',0),('JSONB','',0),('VECTOR','list',1),('NULL','',0))
 SELECT a.n AS a, b.n AS b, CASE WHEN a.n = b.n THEN a.n WHEN a.n = 'NULL' THEN b.n WHEN b.n = 'NULL' THEN a.n WHEN a.g = b.g AND a.g <> '' THEN CASE WHEN a.i > b.i THEN a.n ELSE b.n END
 WHEN least(a.n, b.n) = 'BLOB' AND greatest(a.n, b.n) = 'VARCHAR' THEN 'VARCHAR' WHEN a.n = 'BLOB' OR b.n = 'BLOB' OR (a.n IN ('STRUCT','JSONB','VARCHAR') AND b.n IN ('STRUCT','JSONB','VARCHAR')) THEN 'BLOB' ELSE 'VARCHAR' END AS result FROM t a, t b""",
+    "from_tuples": r"""SELECT CAST(r_regionkey AS BIGINT) AS key, r_name AS name FROM region""",
+    "pandas_roundtrip": r"""SELECT * FROM supplier""",
+    "column_arrays": r"""SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS key FROM nation""",
+    "record_columns": r"""SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(NULL AS VARCHAR) AS nothing, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation""",
+    "row_frames_roundtrip": r"""SELECT * FROM supplier""",
+    "row_accessors": r"""SELECT r_name AS name, '-' AS other, 'r_regionkey,r_name' AS fields, CAST(r_regionkey AS BIGINT) AS key, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS js FROM region""",
+    "frame_bytes": r"""SELECT CAST(sum(strlen('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}')) AS BIGINT) AS bytes FROM nation""",
+    "cursor_fetches": r"""SELECT CASE WHEN k = 1 THEN 'one' WHEN k <= 5 THEN 'many' ELSE 'all' END AS how, CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) UNION ALL SELECT 'end', CAST(-1 AS BIGINT), 'None'""",
+    "materialized": r"""SELECT count(*) AS rowcount, (SELECT count(*) FROM (DESCRIBE customer)) AS columncount, count(*) AS iterated FROM customer""",
+    "query_callable": r"""SELECT * FROM nation WHERE n_regionkey = 2 AND n_name LIKE '%I%'""",
+    "cast_null": r"""SELECT r_regionkey, CAST(NULL AS VARCHAR) AS nothing FROM region""",
+    "function_column": r"""SELECT r_regionkey, CAST(42 AS INTEGER) AS made FROM region""",
+    "type_names": r"""SELECT * FROM (VALUES ('bigint','INTEGER',true,false,false,'int'),('VARCHAR[12]','VARCHAR[12]',false,false,false,'str'),('decimal(10, 2)','DECIMAL(10,2)',true,false,false,'Decimal'),('list','ARRAY<VARCHAR>',false,false,true,'list'),('array<date>','ARRAY<DATE>',false,false,true,'list'),('vector[8]','VECTOR[8]',false,false,true,'list'),('numeric(4,1)','DECIMAL(4,1)',true,false,false,'Decimal'),('bson','JSONB',false,false,true,'bytes'),('blob[3]','BLOB[3]',false,false,false,'bytes'),('Timestamp','TIMESTAMP',false,true,false,'datetime'),('varchar[x]',NULL,NULL,NULL,NULL,NULL),('decimal(40,2)',NULL,NULL,NULL,NULL,NULL),('array<array<integer>>',NULL,NULL,NULL,NULL,NULL),('integer[3]',NULL,NULL,NULL,NULL,NULL),('',NULL,NULL,NULL,NULL,NULL)) t(given, type, numeric, temporal, complex, python)""",
+    "arrow_fields": r"""SELECT column_name AS name, CASE WHEN column_type IN ('BIGINT','INTEGER') THEN 'INTEGER' WHEN column_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE column_type END AS type, CASE WHEN column_type IN ('BIGINT','INTEGER') THEN 'int64' WHEN column_type = 'DOUBLE' THEN 'double' WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'DATE' THEN 'date32[day]' ELSE 'timestamp[us]' END AS arrow, true AS nullable, CASE WHEN column_type IN ('BIGINT','INTEGER') THEN 'INTEGER' WHEN column_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE column_type END AS again FROM (DESCRIBE orders)""",
+    "schema_lookup": r"""SELECT * FROM (VALUES ('id','id','id'),('nr','id','id'),('NAME',NULL,'name'),('price','price','price'),('none',NULL,NULL)) t(wanted, found, found_in_any_case)""",
+    "schema_algebra": r"""SELECT CAST(place AS BIGINT) AS place, name, names, 'id' AS gone, 'm,o' AS aliases, CAST(3 AS BIGINT) AS columns FROM (VALUES (0,'name','name'),(1,'price','price'),(2,'late','late')) t(place, name, names)""",
+    "schema_roundtrip": r"""SELECT * FROM (VALUES ('id','INTEGER',false,CAST(NULL AS VARCHAR),CAST(NULL AS VARCHAR),CAST(NULL AS VARCHAR),'INTEGER',true),('name','VARCHAR[8]',true,'x',NULL,NULL,'VARCHAR[8]',true),('price','DECIMAL(9,2)',true,NULL,'MONEY',NULL,'DECIMAL(9,2)',true)) t(name, type, nullable, preset, disposition, flat, again, found)""",
+    "record_faults": r"""SELECT CAST(record AS BIGINT) AS record, fault FROM (VALUES (0,'valid'),(1,'id: Column not Nullable; name: Wrong type, int for VARCHAR[8]'),(2,'name: Column missing; price: Column missing'),(3,'unknown fields: more, most')) t(record, fault)""",
+    "markdown_lines": r"""WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS k, CAST(r_regionkey AS VARCHAR) AS a, r_name AS b FROM region), h AS (SELECT * FROM r WHERE k <= 3), w AS (SELECT CAST(greatest(11, max(length(a))) AS INTEGER) AS wa, CAST(greatest(6, max(length(b))) AS INTEGER) AS wb FROM h)
+SELECT CAST(0 AS BIGINT) AS line, '| ' || rpad('r_regionkey', wa, ' ') || ' | ' || rpad('r_name', wb, ' ') || ' |' AS shown FROM w UNION ALL SELECT 1, '|' || repeat('-', CAST(wa + 2 AS BIGINT)) || '|' || repeat('-', CAST(wb + 2 AS BIGINT)) || '|' FROM w UNION ALL SELECT k + 1, '| ' || rpad(a, wa, ' ') || ' | ' || rpad(b, wb, ' ') || ' |' FROM h, w""",
+    "html_table": r"""SELECT '<table><thead><tr><th>r_regionkey</th><th>r_name</th></tr></thead><tbody>' || string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || '</td></tr>', '' ORDER BY r_regionkey) || '</tbody></table><p>' || count(*) || ' rows x 2 columns</p>' AS shown FROM region""",
+    "interval_text": r"""SELECT CAST(seconds AS BIGINT) AS seconds, shown FROM (VALUES (0,'0s'),(59,'59.00s'),(3600,'1h'),(90061,'1d 1h 1m 1.00s'),(31536000,'1y')) t(seconds, shown)""",
 }
