@@ -5,7 +5,8 @@ Words: runs between ASCII white space with A to Z lower-cased, then one end toke
    its positions are word numbers. All counts are exact over the whole training corpus.
 2. For each order n from 2: an n-gram is 64 bits, the number of the (n-1)-gram before and that of the word. Each task sorts those of its texts
    and sends their counts to ranges of contexts as compressed runs of differences; each range, about RANGE tokens (more as the root of a
-   corpus beyond some ten billion), is merged into one sorted array, positions in which number the n-grams. Contexts' numbers follow hashes, so ranges are about even.
+   corpus beyond some ten billion), is merged into one array of last words, sorted within each context, with the place where each context
+   starts; positions in it number the n-grams. Contexts' numbers follow hashes, so ranges are about even.
 3. Each distinct n-gram then counts for its last n-1 words: these are the counts of the order below, but what begins with the
    start mark keeps its own. Ranges also yield the counts of counts for the three discounts, and sums after contexts of over FEW words.
 4. Workers map the arrays and look up the sorted distinct n-grams of a slice of texts at a time.
@@ -169,16 +170,16 @@ def _path(folder: str, what: str, n: int, r: int) -> str:
 
 
 class _Level:
-    """The mapped n-grams of one order by range of contexts."""
+    """The mapped n-grams of one order by range of contexts: `last` has their last words, `starts` where each context's begin."""
 
     def __init__(self, folder: str, n: int, ranges: int, contexts: int, bits: int):
         self.folder, self.n, self.bits = folder, n, _U(bits)
         self.sizes = np.load(os.path.join(folder, f"sizes-{n}.npy"))
         self.base = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.edge = _edges(ranges, contexts).astype(np.uint64) << self.bits
+        self.first = _edges(ranges, contexts)
         self.held: dict[tuple[int, str], np.ndarray] = {}
 
-    def array(self, r: int, what: str = "keys") -> np.ndarray:
+    def array(self, r: int, what: str) -> np.ndarray:
         """An array of a range, mapped when it's asked for; at most MAPPED are open at a time."""
         if (r, what) not in self.held:
             if len(self.held) >= MAPPED:
@@ -186,11 +187,13 @@ class _Level:
             self.held[r, what] = np.load(_path(self.folder, what, self.n, r), mmap_mode="r")
         return self.held[r, what]
 
-    def _cuts(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """Ranges with the parts of sorted keys that are theirs."""
-        cut = np.searchsorted(keys, self.edge)
+    def _cuts(self, ctx: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+        """Ranges with the parts of sorted contexts that are theirs, and the first and past-last places of these."""
+        cut = np.searchsorted(ctx, self.first)
         for r in np.flatnonzero((cut[1:] > cut[:-1]) & (self.sizes > 0)).tolist():
-            yield r, slice(cut[r], cut[r + 1])
+            own, starts = slice(cut[r], cut[r + 1]), self.array(r, "starts")
+            at = ctx[own] - self.first[r]
+            yield r, own, starts[at].astype(np.int64), starts[at + 1].astype(np.int64)
 
     def _counts(self, r: int, at: np.ndarray) -> np.ndarray:
         c = self.array(r, "times")[at].astype(np.int64)
@@ -205,31 +208,40 @@ class _Level:
         ask = np.flatnonzero((ctx >= 0) & (number >= 0))
         keys, back = np.unique(ctx[ask].astype(np.uint64) << self.bits | number[ask].astype(np.uint64), return_inverse=True)
         got, times = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        for r, own in self._cuts(keys):
-            there = self.array(r)
-            at = np.searchsorted(there, keys[own])
-            at[at == len(there)] = 0
-            ok = there[at] == keys[own]
+        words = (keys & ((_U(1) << self.bits) - _U(1))).astype(np.int64)
+        for r, own, lo, hi in self._cuts((keys >> self.bits).astype(np.int64)):
+            there, wanted, end = self.array(r, "last"), words[own], hi.copy()
+            live = np.flatnonzero(lo < hi)
+            while len(live):  # halves what is left of each
+                mid = (lo[live] + hi[live]) >> 1
+                less = there[mid] < wanted[live]
+                lo[live] = np.where(less, mid + 1, lo[live])
+                hi[live] = np.where(less, hi[live], mid)
+                live = live[lo[live] < hi[live]]
+            ok = lo < end
+            ok[ok] = there[lo[ok]] == wanted[ok]
+            at = np.where(ok, lo, 0)
             got[own] = np.where(ok, at + self.base[r], -1)
             if counts:
                 times[own] = np.where(ok, self._counts(r, at), 0)
         ids[ask], c[ask] = got[back], times[back]
         return ids, c
 
-    def key(self, ids: np.ndarray) -> np.ndarray:
-        """The keys of n-grams by number."""
+    def parts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context and last word of n-grams by number."""
         u, back = np.unique(ids, return_inverse=True)
-        out, cut = np.zeros(len(u), np.uint64), np.searchsorted(u, self.base)
+        ctx, word, cut = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.searchsorted(u, self.base)
         for r in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            out[cut[r] : cut[r + 1]] = self.array(r)[u[cut[r] : cut[r + 1]] - self.base[r]]
-        return out[back]
+            own = slice(cut[r], cut[r + 1])
+            at = u[own] - self.base[r]
+            ctx[own] = np.searchsorted(self.array(r, "starts"), at, "right") - 1 + self.first[r]
+            word[own] = self.array(r, "last")[at]
+        return ctx[back], word[back]
 
     def sums(self, ctx: np.ndarray) -> np.ndarray:
         """After each of sorted distinct contexts: the total count, and kinds with count 1, 2 and more."""
         out = np.zeros((len(ctx), 4), np.int64)
-        first = ctx.astype(np.uint64) << self.bits
-        for r, own in self._cuts(first):
-            lo, hi = (np.searchsorted(self.array(r), x) for x in (first[own], first[own] + (_U(1) << self.bits)))
+        for r, own, lo, hi in self._cuts(ctx):
             size = hi - lo
             few = np.flatnonzero((size > 0) & (size <= FEW))
             if len(few):
@@ -253,14 +265,14 @@ def _few_sums(c: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(c, start), kinds & 0xFFFF, kinds >> 16 & 0xFFFF, kinds >> 32], 1)
 
 
-def _finish(folder: str, n: int, r: int, keys: np.ndarray, c: np.ndarray, bits: int) -> None:
-    """Writes the counts of a range, the sums after its contexts of many words, and its counts of counts."""
-    ctx = (keys >> _U(bits)).astype(np.int64)
-    start = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-    many = np.diff(np.append(start, len(ctx))) > FEW
+def _finish(folder: str, n: int, r: int, starts: np.ndarray, first: int, c: np.ndarray) -> None:
+    """Writes the counts of a range whose first context is `first`, the sums after its contexts of many words, and its counts of counts."""
+    size = np.diff(starts.astype(np.int64))
+    there = np.flatnonzero(size)
+    many = size[there] > FEW
     often = np.flatnonzero(c >= 255)
     of = np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.int64)
-    for what, x in (("times", np.minimum(c, 255).astype(np.uint8)), ("often", often), ("most", c[often]), ("many", ctx[start[many]]), ("sums", _sums(c, start)[many]), ("of", of)):
+    for what, x in (("times", np.minimum(c, 255).astype(np.uint8)), ("often", often), ("most", c[often]), ("many", there[many] + first), ("sums", _sums(c, starts[there].astype(np.int64))[many]), ("of", of)):
         _save(_path(folder, what, n, r), x)
 
 
@@ -313,7 +325,7 @@ def train(docs: DataFrame, order: int = 2) -> NgramModel:
             raise ValueError(f"more distinct words and {n - 1}-grams than 63 bits")
         _count(docs, folder, n, order, ranges, kinds, contexts, bits)
         release(spark)
-        each = [len(np.load(x, mmap_mode="r")) if os.path.exists(x := _path(folder, "keys", n, r)) else 0 for r in range(ranges)]
+        each = [len(np.load(x, mmap_mode="r")) if os.path.exists(x := _path(folder, "last", n, r)) else 0 for r in range(ranges)]
         _save(os.path.join(folder, f"sizes-{n}.npy"), np.array(each, np.int64))
         sizes.append(sum(each))
         contexts.append(sizes[-1])
@@ -333,7 +345,8 @@ def _levels(folder: str, n: int, ranges: int, contexts: list[int], bits: int) ->
 
 def _count(docs: DataFrame, folder: str, n: int, order: int, ranges: int, kinds: int, contexts: list[int], bits: int) -> None:
     """Writes the n-grams, the counts of the order below, and if n is the highest order its own."""
-    edge, mask = _edges(ranges, contexts[n - 2]).astype(np.uint64) << _U(bits), _U((1 << bits) - 1)
+    first, mask = _edges(ranges, contexts[n - 2]), _U((1 << bits) - 1)
+    edge = first.astype(np.uint64) << _U(bits)
 
     def sent(runs: list[tuple[np.ndarray, np.ndarray]], edges: np.ndarray) -> pa.RecordBatch:
         k, c = _merged(runs)
@@ -381,19 +394,21 @@ def _count(docs: DataFrame, folder: str, n: int, order: int, ranges: int, kinds:
         """Numbers of the last words but one of n-grams by number, of the order of the last of levels."""
         if not levels:
             raise ValueError("a word has no last words but one")
-        k = levels[-1].key(ids)
-        word = (k & mask).astype(np.int64)
-        return levels[-2].find(last(levels[:-1], (k >> _U(bits)).astype(np.int64)), word)[0] if len(levels) > 1 else word
+        before, word = levels[-1].parts(ids)
+        return levels[-2].find(last(levels[:-1], before), word)[0] if len(levels) > 1 else word
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = _levels(folder, n - 1, ranges, contexts, bits)
         for r, k, c in ranged(batches):
-            _save(_path(folder, "keys", n, r), k)
+            ids, at = (k & mask).astype(np.int64), (k >> _U(bits)).astype(np.int64) - first[r]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=first[r + 1] - first[r]))])
+            starts = starts.astype(np.uint32 if len(k) < 2**32 else np.uint64)
+            _save(_path(folder, "last", n, r), ids.astype(np.uint32 if bits <= 32 else np.uint64))
+            _save(_path(folder, "starts", n, r), starts)
             if n == order:
-                _finish(folder, n, r, k, c, bits)
+                _finish(folder, n, r, starts, first[r], c)
             else:
                 _save(_path(folder, "raw", n, r), c.astype(np.uint32 if c.max() < 2**32 else np.uint64))
-            ids = (k & mask).astype(np.int64)
             if levels:
                 ids = levels[-1].find(last(levels, (k >> _U(bits)).astype(np.int64)), ids)[0]
             u, times = np.unique(ids, return_counts=True)
@@ -411,7 +426,7 @@ def _count(docs: DataFrame, folder: str, n: int, order: int, ranges: int, kinds:
             elif levels[-1].sizes[r]:
                 x = np.load(_path(folder, "raw", n - 1, r)).astype(np.int64)
                 x[k.astype(np.int64) - levels[-1].base[r]] = c  # what nothing comes before begins with the start mark
-                _finish(folder, n - 1, r, np.asarray(levels[-1].array(r)), x, bits)
+                _finish(folder, n - 1, r, levels[-1].array(r, "starts"), levels[-1].first[r], x)
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32())], names=["r"])
 
     runs = docs.select("text").mapInArrow(grams, "r int, run binary").repartition("r").sortWithinPartitions("r")
