@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import claim, cut, slices
 
-DIMENSIONS, PARTS, SMOOTH, AMBIGUOUS, CHUNK = 1 << 15, 32, 0.05, 0.05, 8_192
+DIMENSIONS, PARTS, SMOOTH, AMBIGUOUS = 1 << 15, 32, 0.05, 0.05
 
 
 def codewords(n: int) -> np.ndarray:
@@ -90,11 +90,10 @@ class EcocModel:
         self.border, self.scale, self.trust = np.zeros(bits), np.ones(bits), np.ones(bits)
 
     def margins(self, at: np.ndarray) -> np.ndarray:
-        """The mean log-odds of a text's n-grams for each bit, in float64 and in chunks of CHUNK, whatever its length."""
-        total = np.zeros(self.weights.shape[1])
-        for i in range(0, len(at), CHUNK):
-            total += self.weights[at[i : i + CHUNK]].sum(0, dtype=np.float64)
-        return total / len(at)
+        """The mean log-odds of a text's n-grams for each bit, summed in float64 over its distinct n-grams, whatever its length."""
+        times = np.bincount(at, minlength=DIMENSIONS)
+        there = np.flatnonzero(times)
+        return times[there] @ self.weights[there].astype(np.float64) / len(at)
 
     def calibrate(self, sums: np.ndarray) -> None:
         """sums: of each bit and each kind (bit 1, bit 0) the number of training documents, of their margins and squared margins."""

@@ -738,6 +738,31 @@ def test_packed_runs():
     assert (k == keys).all() and (c == counts).all()
 
 
+CLASHING = "_row _id _sha _text _len _low _plain _rows _w x y key low high n one ones rep part role component keys_a sketch h g c r run at v sums docs lang_pred held_out score n_tokens n_shingles component_id kept keep_id group_size labels base m nr k s e rank left found host path evidence w width hash shingle line ids decoded words last starts".split()
+OPERATORS = {
+    "bpe": lambda d, f: bpe.bpe_digests(d, vocabulary("word_bpe_49k.json")),
+    "counts": lambda d, f: token_counts.token_counts(d.withColumn("edits", token_counts.stated_edits()), vocabulary("byte_bpe_50k.json")),
+    "quality": lambda d, f: quality.quality_table(d, f("labels")),
+    "exact": lambda d, f: exact_dedup.exact_dedup(d),
+    "lm": lambda d, f: ngram_lm.lm_table(d, 3).drop("perplexity"),
+    "decontamination": lambda d, f: decontaminate.contaminated(d, f("benchmark")),
+    "near": lambda d, f: near_dedup.near_dedup(d),
+    "lines": lambda d, f: line_dedup.line_dedup(d).select("doc_id", "n_lines", "n_removed", "clean_text"),
+    "licenses": lambda d, f: licenses.license_table(d),
+    "language": lambda d, f: language_id.language_table(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_columns_of_other_names_change_nothing(spark, corpus, docs, name):
+    """Each operator over nulls, repeated rows and very long texts, with and without columns that bear names of its own."""
+    own = docs.select("doc_id", "text", "lang", "source").unionByName(corpus.select((F.col("doc_id") + 10_000).alias("doc_id"), "text", "lang", "source").limit(60))
+    file = lambda x: spark.read.parquet(f"{SF}/{x}.parquet")
+    shown = lambda df: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    plain, clashing = (shown(OPERATORS[name](d, file)) for d in (own, own.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))))
+    assert plain == clashing and (len(plain) == own.count() or name == "decontamination")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
