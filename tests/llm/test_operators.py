@@ -738,6 +738,50 @@ def test_packed_runs():
     assert (k == keys).all() and (c == counts).all()
 
 
+@pytest.fixture
+def small_skew(spark):
+    """Joins are shuffled, and a partition of some kilobytes that is twice as large as the others counts as skewed."""
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_text_that_fills_a_third(spark, small_skew):
+    """The join of ids to the owner of a text that a third of all rows have is split, and its group is whole."""
+    n = 30_000
+    held = spark.range(n).select(F.xxhash64("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(BASE)).otherwise(F.concat(F.lit("own "), F.col("id").cast("string"))).alias("text")).repartition(8)
+    hot = {r.doc_id for r in held.where("text not like 'own %'").select("doc_id").collect()}
+    first, got = min(hot), exact_dedup.exact_dedup(held)
+    rows = got.collect()
+    assert len(rows) == n and len(hot) == n // 3 and all((r.keep_id, r.group_size) == ((first, len(hot)) if r.doc_id in hot else (r.doc_id, 1)) for r in rows)
+    assert {r.doc_id for r in rows if r.group_size > 1} == hot
+    assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_copies_that_fill_a_third(spark, small_skew):
+    """A family of near copies as large as a third of the rows becomes one component without its pairs being formed."""
+    words, rows = BASE.split(), []
+    for i in range(1_500):
+        if i % 3 == 0:
+            k = R.randrange(len(words))
+            rows.append((i, " ".join([*words[:k], f"new{i}", *words[k + 1 :]])))
+        else:
+            rows.append((i, " ".join(f"x{i}y{j}" for j in range(12))))
+    got = by_id(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i].component_id == (0 if i % 3 == 0 else i) for i, _ in rows)
+
+
+def test_a_path_that_holds_a_third(spark, small_skew, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
+    rows = [(i, "The plain words of a calm text. " * 3, "en", "hot/path" if i % 3 == 0 else f"h{i}/p") for i in range(6_000)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
+    assert got.select("doc_id").distinct().count() == 6_000 == got.count()
+
+
 CLASHING = "_row _id _sha _text _len _low _plain _rows _w x y key low high n one ones rep part role component keys_a sketch h g c r run at v sums docs lang_pred held_out score n_tokens n_shingles component_id kept keep_id group_size labels base m nr k s e rank left found host path evidence w width hash shingle line ids decoded words last starts".split()
 OPERATORS = {
     "bpe": lambda d, f: bpe.bpe_digests(d, vocabulary("word_bpe_49k.json")),
