@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import re
@@ -15,6 +16,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,8 +176,6 @@ def word_hashes(texts: list[str | None], table: bytes = _TO_LOWER) -> tuple[np.n
 
 
 _STAGES: list[tuple[SparkSession, str]] = []
-
-
 _CACHES: dict[str, Callable[[], object]] = {}
 
 
@@ -188,21 +188,26 @@ def claim(name: str, forget: Callable[[], object] | None = None) -> None:
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    """The URI of a folder, not made yet, for a stage's table in the shared folder; drop_stages removes it."""
+    """The URI of a folder, not made yet, for a stage's table in the shared folder; drop_stage removes it."""
     path = f"{shared_folder(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
     _STAGES.append((spark, path))
     return path
 
 
-def drop_stages(keep: str | None = None) -> None:
-    """Removes this process's stage tables but for `keep`; called at its end too, where the session still lives."""
-    held = [x for x in _STAGES if x[1] == keep]
-    gone = [x for x in _STAGES if x[1] != keep]
-    _STAGES[:] = held
-    for spark, path in gone:
+def drop_stage(path: str) -> None:
+    """Removes a stage table that nothing reads any more."""
+    for spark, own in [x for x in _STAGES if x[1] == path]:
+        _STAGES.remove((spark, own))
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_all() -> None:
+    """At the end of the process, what is left, where the session still lives."""
+    for spark, path in list(_STAGES):
         if spark.sparkContext._jsc is not None:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            with contextlib.suppress(Py4JError, OSError):
+                drop_stage(path)
 
 
-atexit.register(drop_stages)
+atexit.register(_drop_all)
