@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
-from tabulon.llm.common import drop_stages, new_stage_path, with_row_key
+from tabulon.llm.common import drop_stage, new_stage_path, with_row_key
 from tabulon.llm.queries import table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -69,11 +69,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last goes through files in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each but the last goes through files in the shared folder, which go once the next one's are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_stage_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        drop_stages(path)  # the one before has been read
-        docs = spark.read.parquet(path)
+        if before:
+            drop_stage(before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
