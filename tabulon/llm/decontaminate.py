@@ -1,10 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame operations only.
 
-Items are split by their number of distinct shingles into classes (powers of two). The sketch of an item is its bottom-k
+Items are partitioned by their number of distinct shingles into classes (powers of two). The sketch of an item is its bottom-k
 MinHash: the k smallest shingle hashes, with k = floor((1 - t) * class bound) + 1 at most the item's size. A text that holds a
 share t of an item lacks at most (1 - t) of its shingles, so it holds one of those k: the search misses nothing. A document's
-shingle joins only below the largest sketch hash of any class, which spares most of a long text. Candidates are
-verified by exact containment: distinct shingle strings that item and document share, over those of the item.
+shingle joins only below the largest sketch hash, which spares most of a long text; what it finds are the classes in which the
+document may hold an item. In these classes alone it is verified by exact containment: distinct shingle strings that item
+and document share, over those of the item.
 
 Words are runs of letters and digits (WORD), A to Z lower-cased; an item of fewer than `width` words is one shingle of its own length.
 
@@ -59,10 +60,9 @@ def item_shingles(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast if a sum of bytes proves it small (at most BROADCAST_BYTES); else Spark joins by shuffle."""
-    texts = [c for c, kind in df.dtypes if kind == "string"]
     size = F.lit(16 * len(df.columns))
-    for c in texts:
-        size = size + F.octet_length(c)
+    for c, kind in df.dtypes:
+        size = size + (F.octet_length(c) if kind == "string" else 8 * F.size(c) if kind.startswith("array") else 0)
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
@@ -70,23 +70,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cont
     """doc_id, item_id, n_shared, n_item, containment of each item that a document holds."""
     items = cut(item_shingles(benchmark, width))
     size = items.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    bound = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item")))).cast("long")
-    sized = items.join(size, "item_id").withColumn("k", F.least(F.col("n_item"), F.floor(F.lit(1 - contained) * bound + 1e-9) + 1))
-    ranked = sized.select("item_id", "width", "hash", "k", F.row_number().over(Window.partitionBy("item_id").orderBy("hash")).alias("r")).where("r <= k")
-    sketch = cut(ranked.groupBy("width", "hash").agg(F.count("*").alias("n")).select("width", "hash"))
+    sized = items.join(size, "item_id").withColumn("bound", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n_item")))).cast("long"))
+    sized = sized.withColumn("k", F.least(F.col("n_item"), F.floor(F.lit(1 - contained) * F.col("bound") + 1e-9) + 1))
+    ranked = sized.select("item_id", "width", "hash", "bound", "k", F.row_number().over(Window.partitionBy("item_id").orderBy("hash")).alias("r")).where("r <= k")
+    sketch = cut(ranked.select("width", "hash", "bound").distinct())
     tops = {r["width"]: r["top"] for r in sketch.groupBy("width").agg(F.max("hash").alias("top")).collect()}  # at most `width` rows
     sketch = _maybe_broadcast(sketch)
 
     own = docs.where("doc_id is not null").select("doc_id", _words().alias("w"))
     low = [_below(F.col("w"), n, top) for n, top in sorted(tops.items())] or [F.array().cast("array<struct<width:int,hash:bigint>>")]
     low = F.concat(*low)
-    hits = own.select("doc_id", F.explode(low).alias("s")).select("doc_id", "s.width", "s.hash").join(sketch, ["width", "hash"]).select("doc_id").distinct()
-    hits = cut(hits)
+    hits = own.select("doc_id", F.explode(low).alias("s")).select("doc_id", "s.width", "s.hash").join(sketch, ["width", "hash"])
+    hits = cut(hits.groupBy("doc_id").agg(F.collect_set("bound").alias("classes")))  # some twenty classes at most
 
-    # verification: only documents that hold a sketch value, on strings
-    texts = docs.select("doc_id", "text").join(_maybe_broadcast(hits), "doc_id", "left_semi").select("doc_id", _words().alias("w"))
+    # verification: only documents that hold a sketch value, in its classes, on strings
+    texts = docs.select("doc_id", "text").join(_maybe_broadcast(hits), "doc_id").select("doc_id", "classes", _words().alias("w"))
     each = F.flatten(F.array(*(F.array_distinct(_shingles(F.col("w"), F.lit(n))) for n in sorted(tops) or [width])))
-    found = texts.select("doc_id", F.explode(each).alias("shingle")).join(_maybe_broadcast(items.select("item_id", "shingle")), "shingle").distinct()
+    found = texts.select("doc_id", "classes", F.explode(each).alias("shingle")).join(_maybe_broadcast(sized.select("item_id", "shingle", "bound")), "shingle")
+    found = found.where(F.array_contains("classes", F.col("bound"))).select("doc_id", "item_id", "shingle").distinct()
     return (
         found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared")).join(size, "item_id")
         .where(F.col("n_shared") >= F.lit(contained) * F.col("n_item") - 1e-9)
