@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from .common import LETTERS, claim, cut, word_hashes
 SAMPLE, THRESHOLD, RIDGE = 20_000, 0.5, 1.0
 #: Up to so many bytes, counted before, the rates of paths are broadcast; beyond, they are joined by a shuffle with SALTS copies of each.
 BROADCAST_BYTES, SALTS = 8 << 20, 16
-#: Words of the second model at most, the documents of the label that each has at least, and the bits of a word's hash.
-TOXIC_WORDS, TOXIC_LEAST, WORD_BITS = 64, 3, 20
+#: Words of the second model at most, the documents of the label that each has at least, those without it at most, and the bits of a word's hash.
+TOXIC_WORDS, TOXIC_LEAST, TOXIC_SAMPLE, WORD_BITS = 64, 3, 5_000, 20
 SLICE = 1 << 20
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _DIGIT, _SPACE, _STOP = b"0123456789", b" \t\n\r\x0b\x0c", b".,;:'\"-()?"
@@ -79,10 +80,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def words_in(texts: list[str | None]) -> list[np.ndarray]:
-    """The distinct hashed words, of letters only, of each text."""
+    """The hashed words, of letters only, of each text."""
     h, ends = word_hashes(texts, LETTERS)
     h = (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int32)
-    return [np.unique(h[s : e - 1]) for s, e in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
+    return [h[s : e - 1] for s, e in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
 
 
 class Model:
@@ -94,21 +95,31 @@ class Model:
             mean = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
             self.prior = math.log(mean / (1 - mean))
         self.words, self.toxic = np.zeros(0, np.int32), None
-        known = np.flatnonzero(toxic >= 0)  # not every label tells
-        bad = [words[i] for i in known if toxic[i]]
-        if 0 < len(bad) < len(known):
-            every = np.concatenate([words[i] for i in known])
-            u, n = np.unique(np.concatenate(bad), return_counts=True)
-            often = u[n >= TOXIC_LEAST]
-            both, all_n = np.unique(every, return_counts=True)
-            n, rest = n[n >= TOXIC_LEAST], all_n[np.searchsorted(both, often)]
-            odds = np.log((n + 0.5) / len(bad)) - np.log((rest - n + 0.5) / (len(known) - len(bad)))
-            order = np.lexsort((often, -odds * np.sqrt(n)))[:TOXIC_WORDS]
-            self.words = np.sort(often[order[odds[order] > 1]])
-            self.toxic = fit(np.array([self._row(words[i]) for i in known]), (toxic[known] > 0).astype(float))
+        bad, good = np.flatnonzero(toxic > 0), np.flatnonzero(toxic == 0)[:TOXIC_SAMPLE]  # not every label tells
+        if len(bad) and len(good):
+            n, rest = (np.bincount(np.concatenate([words[i] for i in rows]), minlength=1 << WORD_BITS) for rows in (bad, good))
+            often = np.flatnonzero(n >= TOXIC_LEAST)
+            odds = np.log((n[often] + 0.5) / len(bad)) - np.log((rest[often] + 0.5) / len(good))
+            order = np.lexsort((often, -odds * np.sqrt(n[often])))[:TOXIC_WORDS]
+            self.words = np.sort(often[order[odds[order] > 1]]).astype(np.int32)
+            both = np.concatenate([bad, good])
+            self.toxic = fit(np.array([self._row(words[i]) for i in both]), np.repeat([1.0, 0.0], [len(bad), len(good)]))
+
+    @cached_property
+    def _place(self) -> np.ndarray:
+        """The column of each hashed word, 0 for others; made where it is used."""
+        out = np.zeros(1 << WORD_BITS, np.int16)
+        out[self.words] = np.arange(1, len(self.words) + 1)
+        return out
 
     def _row(self, words: np.ndarray) -> np.ndarray:
-        return np.append(1.0, np.isin(self.words, words, assume_unique=True))
+        out = np.zeros(len(self.words) + 1)
+        out[self._place[words]] = 1.0
+        out[0] = 1.0
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_place"}
 
     def evidence(self, text: str | None) -> float:
         """The log likelihood ratio of a text: the model's logit less that of its own sample's prior."""
@@ -132,7 +143,7 @@ def _sample_row(text: Column) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         claim("quality")
         for a in texts:
-            rows = [{"x": features(t), "words": w.tobytes()} for part in _parts(a) for t, w in zip(part, words_in(part))]
+            rows = [{"x": features(t), "words": w.tobytes()} for part in _parts(a) for t, w in zip(part, map(np.unique, words_in(part)))]
             yield pa.array(rows, pa.struct([("x", pa.list_(pa.float64())), ("words", pa.binary())]))
 
     return run(text)
@@ -150,6 +161,16 @@ def _scores(text: Column, model: Model) -> Column:
     return run(text)
 
 
+def _evidence(text: Column, model: Model) -> Column:
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("quality")
+        for a in texts:
+            yield pa.array([model.evidence(t) for part in _parts(a) for t in part], pa.float64())
+
+    return run(text)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float]:
     """The models from a bounded sample of labelled rows, and the share of good labels over all of them."""
     good = labels.where("doc_id is not null and quality is not null")
@@ -195,9 +216,8 @@ def rates(scored: DataFrame, share: float) -> tuple[DataFrame, int]:
     return paths.select("host", "path", "host_rate", ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate")), size
 
 
-def _judged(scored: DataFrame, share: float, threshold: float) -> DataFrame:
-    """scored with host_rate, path_rate, posterior and keep."""
-    by_path, size = rates(scored, share)
+def _judged(scored: DataFrame, by_path: DataFrame, size: int, threshold: float) -> DataFrame:
+    """scored with host_rate, path_rate, posterior and keep, by the rates of paths and their bytes."""
     if size <= BROADCAST_BYTES:
         joined = scored.join(F.broadcast(by_path), ["host", "path"])
     else:  # a path may hold a third of all rows
@@ -215,7 +235,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     """
     model, share = train(docs, labels, sample)
     scored = docs.select(F.struct("*").alias("doc"), host_of().alias("host"), path_of().alias("path"), _scores(F.col("text"), model).alias("s")).select("doc", "host", "path", "s.*")
-    out = _judged(scored, share, threshold)
+    out = _judged(scored, *rates(docs.select(host_of().alias("host"), path_of().alias("path"), _evidence(F.col("text"), model).alias("evidence")), share), threshold)
     return out.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in RESULTS), *RESULTS)
 
 
@@ -223,4 +243,5 @@ def quality_table(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
     """doc_id, host, path and the results, one row per document, without its text."""
     model, share = train(docs, labels, sample)
     scored = docs.select("doc_id", host_of().alias("host"), path_of().alias("path"), _scores(F.col("text"), model).alias("s"))
-    return _judged(cut(scored.select("doc_id", "host", "path", "s.*")), share, threshold).select("doc_id", "host", "path", *RESULTS)
+    scored = cut(scored.select("doc_id", "host", "path", "s.*"))
+    return _judged(scored, *rates(scored, share), threshold).select("doc_id", "host", "path", *RESULTS)
