@@ -17,7 +17,7 @@ from ..row import Row
 from ..schema import RelationSchema
 from ..types import from_spark
 from .group import GroupBy
-from .position import POSITION, number_rows, read_with_position
+from .position import POSITION, number_rows, read_with_position, renumber_rows
 
 TAKE_LITERALS = 1_000
 
@@ -26,7 +26,7 @@ class Relation:
     """A relation. Operators that ask for a position need one: from a Parquet file, driver rows or an order.
 
     Positions count the rows of this relation. Operators that drop rows keep the order but leave gaps; the next operator that
-    asks for places numbers the rows anew (`dense`), by range partitions.
+    asks for places numbers the rows anew (`dense`), in blocks of the positions they had.
     """
 
     def __init__(self, df: DataFrame, schema: RelationSchema | None = None, dense: bool = True):
@@ -125,7 +125,7 @@ class Relation:
         if self._gapless:
             return self
         if self._dense_form is None:
-            self._dense_form = self._with(number_rows(self.held.withColumnRenamed(POSITION, "_was"), "_was").drop("_was"), self._schema, True)
+            self._dense_form = self._with(renumber_rows(self.held.withColumnRenamed(POSITION, "_was"), "_was"), self._schema, True)
         return self._dense_form
 
     def _sorted(self) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-POSITION = "_position"
+from ..shared import cut
+
+POSITION, BLOCK = "_position", 1 << 18
 
 
 def _offsets(df: DataFrame, key: str) -> DataFrame:
@@ -29,10 +31,22 @@ def read_with_position(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, *order: str | Column) -> DataFrame:
-    """df with _position by an order that should be unique."""
+    """df with _position by an order that should be unique.
+
+    Bounds of range partitions come from samples that differ from plan to plan, so the partitioned rows are written once, and both
+    numbers and counts are read from that.
+    """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, so that no later plan merges some of them
-    held = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_part", F.spark_partition_id())
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*cols)) - 1
-    held = held.withColumn("_inner", inner.cast("long"))
-    return held.join(_offsets(held, "_part"), F.col("_part") == F.col("_k")).withColumn(POSITION, F.col("_inner") + F.col("_before")).drop("_part", "_inner", "_k", "_before")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = cut(df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()))
+    held = held.withColumn("_part", F.shiftright("_at", 33)).withColumn("_inner", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.broadcast(_offsets(held, "_part"))  # a row for each partition
+    return held.join(before, F.col("_part") == F.col("_k")).withColumn(POSITION, F.col("_inner") + F.col("_before")).drop("_at", "_part", "_inner", "_k", "_before")
+
+
+def renumber_rows(df: DataFrame, was: str) -> DataFrame:
+    """df with _position counted without gaps in the order of `was`, distinct numbers from 0: in blocks of them, with the counts of those before."""
+    held = df.withColumn("_block", F.floor(F.col(was) / BLOCK).cast("long"))
+    inner = F.row_number().over(Window.partitionBy("_block").orderBy(was)) - 1
+    counts = _offsets(df.select(F.floor(F.col(was) / BLOCK).cast("long").alias("_block")), "_block")
+    return held.withColumn("_inner", inner.cast("long")).join(counts, F.col("_block") == F.col("_k")).withColumn(POSITION, F.col("_inner") + F.col("_before")).drop(was, "_block", "_inner", "_k", "_before")

@@ -187,3 +187,20 @@ def test_builder_counts_bytes(spark):
         b.append({"a": i, "b": "x" * i})
         sizes.append(b.nbytes)
     assert sizes[0] > 0 and all(y > x for x, y in zip(sizes, sizes[1:])) and b.relation().rowcount == 5
+
+
+def test_numbers_of_many_rows(spark, monkeypatch):
+    """Places stay gapless where range bounds are sampled and where rows fill many blocks."""
+    from tabulon.operators import position
+
+    n = 400_000
+    df = spark.range(0, n, 1, 16).withColumn("v", F.xxhash64("id")).repartition(16, "v")
+    numbered = number_rows(df, "v").select("v", POSITION)
+    one = numbered.agg(F.count("*"), F.countDistinct(POSITION), F.min(POSITION), F.max(POSITION)).first()
+    assert tuple(one) == (n, n, 0, n - 1)
+    ordered = [r.v for r in numbered.where(F.col(POSITION).isin([0, 1, 200_000, n - 1])).orderBy(POSITION).collect()]
+    assert ordered == sorted(ordered) and ordered[0] == df.agg(F.min("v")).first()[0] and ordered[-1] == df.agg(F.max("v")).first()[0]
+    monkeypatch.setattr(position, "BLOCK", 1_000)
+    some = Relation(spark.range(0, n, 1, 16).withColumn(POSITION, F.col("id") * 7)).query("id % 3 = 1").dense()
+    wrong = some.held.where(F.col("id") != F.col(POSITION) * 3 + 1).count()
+    assert some.rowcount == n // 3 and wrong == 0
