@@ -8,7 +8,6 @@ import gc
 import os
 import re
 import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -20,6 +19,9 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.position import POSITION, number_rows
+from ..shared import cut, shared_folder
+
 #: Words of the licence and benchmark operators: runs of ASCII letters, digits and all non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,28 +29,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The URI of the folder all executors share, from spark.checkpoint.dir; a fresh local one only in local mode."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        now = sc._jsc.sc().getCheckpointDir()
-        if now.isDefined():
-            return now.get()
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        atexit.register(shutil.rmtree, folder[7:], ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable files in the shared folder, so that a lost executor costs nothing before them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A new folder on a mounted shared file system, for files that workers map into memory; removed at exit."""
     uri = urlparse(shared_folder(spark))
@@ -96,8 +76,6 @@ def with_row_key(docs: DataFrame, key: str = "_row") -> tuple[DataFrame, bool]:
     Where every row has an id of its own, which a count of ids shows without their texts, that is the number. Else the distinct
     (doc_id, SHA-256 of the text) are numbered by range partitions; repeated rows share a number.
     """
-    from ..operators.position import POSITION, number_rows
-
     odd = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
     if not odd:
         return docs.withColumn(key, F.col("doc_id").cast("long")), False
