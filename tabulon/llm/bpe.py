@@ -33,7 +33,7 @@ from .common import claim, slices
 
 #: Entries of a worker's cache of encoded pieces, distinct words put into one trie, and characters of the texts whose
 #: new pieces are encoded together, bytes of texts in hand, and joins of two tokens whose lawfulness is remembered.
-CACHE_PIECES, TRIE_WORDS, GROUP_CHARS, SLICE, JOINS_HELD = 400_000, 20_000, 1 << 20, 4 << 20, 500_000
+CACHE_PIECES, TRIE_WORDS, GROUP_CHARS, SLICE, JOINS_HELD = 700_000, 20_000, 1 << 20, 4 << 20, 500_000
 #: Characters that one trie holds at most, its depth, and the longest piece that the cache keeps beyond its group.
 TRIE_CHARS, TRIE_DEPTH, KEPT_CHARS = 1 << 18, 64, 64
 _REST = "more"  # of a node: words that go on below the trie's depth
