@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from ..types import LogicalType, parse_type
 
 TRUE = ("TRUE", "ON", "YES", "1", "1.0", "T", "Y")
+#: The last second of the year 9999, where Python's datetimes end, and the last whole one of Spark's timestamps.
+LAST_SECOND, LAST_OF_SPARK = 253_402_300_799, 9_223_372_036_854
 
 
 def as_text(c: Column, kind: T.DataType | None = None) -> Column:
@@ -61,21 +63,21 @@ def blob(c: Column, length: int | None = None, kind: T.DataType | None = None) -
     return raw if length is None else F.substring(raw, 1, length)
 
 
-def epoch(seconds: Column) -> Column:
-    """The moment without zone so many whole seconds after 1970 began, whatever the session's zone; null beyond the years 1 to 9999."""
+def epoch(seconds: Column, last: int = LAST_SECOND) -> Column:
+    """The moment without zone so many whole seconds after 1970 began, whatever the session's zone; null before the year 1 and beyond `last`, the end of 9999."""
     s = seconds.cast("bigint")
     days = F.floor(s / 86_400).cast("int")
     moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), F.pmod(s, F.lit(86_400)).cast("decimal(18,6)"))
-    return F.when(s.between(-62_135_596_800, 253_402_300_799), moment)
+    return F.when(s.between(-62_135_596_800, last), moment)
 
 
-def iso_timestamp(c: Column) -> Column:
-    """A moment without zone from text, or null: digits are epoch seconds; an offset or Z is dropped, as are fractions."""
+def iso_timestamp(c: Column, last: int = LAST_SECOND) -> Column:
+    """A moment without zone from text, or null: digits are epoch seconds, up to `last`; an offset or Z is dropped, as are fractions."""
     x = c.cast("string")
     y = F.split_part(F.regexp_replace(x, "Z$", ""), F.lit("+"), F.lit(1))
     whole = y.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}.*)?)?$")
     return (
-        F.when(x.rlike("^[0-9]+$"), epoch(x.try_cast("bigint")))
+        F.when(x.rlike("^[0-9]+$"), epoch(x.try_cast("bigint"), last))
         .when((F.length(x) < 10) | (F.length(x) > 33) | ~whole, F.lit(None).cast("timestamp_ntz"))
         .otherwise(F.substring(y, 1, 19).try_cast("timestamp_ntz"))
     )
@@ -91,6 +93,11 @@ def timestamp(c: Column, kind: T.DataType | None = None) -> Column:
     return iso_timestamp(F.decode(c, "UTF-8") if isinstance(kind, T.BinaryType) else c)
 
 
+def timestamp_text(c: Column) -> Column:
+    """The moment of a text as YYYY-MM-DD HH:MM:SS; epoch seconds count to the end of Spark's timestamps, with more digits for years beyond 9999."""
+    return F.ltrim(iso_timestamp(c, LAST_OF_SPARK).cast("string"), F.lit("+"))
+
+
 def date(c: Column, kind: T.DataType | None = None) -> Column:
     return timestamp(c, kind).cast("date")
 

@@ -271,3 +271,10 @@ def test_validation_of_frames(spark):
     with pytest.raises(Exception, match="c: Column missing"):
         schema.check(df.drop("c")).collect()
     assert schema.check(df.where("a = 1").withColumn("b", F.col("b").cast("string"))).count() == 1
+
+
+def test_timestamp_text_goes_on_beyond_9999(spark):
+    given = ["0", "253402300799", "253402300800", "9223372036854", "9223372036855", "99999999999999999999", "2023-04-18T12:34:56.5Z", "2023-04-18", "x", "", None]
+    want = ["1970-01-01 00:00:00", "9999-12-31 23:59:59", "10000-01-01 00:00:00", "294247-01-10 04:00:54", None, None, "2023-04-18 12:34:56", "2023-04-18 00:00:00", None, None, None]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, v string").coalesce(1)
+    assert [r.v for r in df.select(P.timestamp_text(F.col("v")).alias("v")).collect()] == want
